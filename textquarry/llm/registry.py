@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import mixing, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_secrets": secrets.op2_secrets,
         "op8_mixing": mixing.op8_mixing,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.SQL, "op8_mixing": mixing.SQL}
+    return {"op1_quality": quality.SQL, "op8_mixing": mixing.SQL, "op10_warc": warc.SQL}
