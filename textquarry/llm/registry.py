@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, warc
+from . import mixing, quality, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
         "op2_secrets": secrets.op2_secrets,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op8_mixing": mixing.op8_mixing,
         "op10_warc": warc.op10_warc,
     }
