@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, secrets, toxicity, warc
+from . import decontam, mixing, neardup, quality, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1_quality,
         "op2_secrets": secrets.op2_secrets,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_neardup": neardup.op4_neardup,
         "op6_decontamination": decontam.op6_decontamination,
         "op8_mixing": mixing.op8_mixing,
         "op10_warc": warc.op10_warc,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.SQL, "op6_decontamination": decontam.SQL, "op8_mixing": mixing.SQL, "op10_warc": warc.SQL}
+    return {"op1_quality": quality.SQL, "op4_neardup": neardup.SQL, "op6_decontamination": decontam.SQL, "op8_mixing": mixing.SQL, "op10_warc": warc.SQL}
