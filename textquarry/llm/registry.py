@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, quality, secrets, toxicity, warc
+from . import decontam, mixing, neardup, quality, secrets, toxicity, unitdedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": secrets.op2_secrets,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_neardup": neardup.op4_neardup,
+        "op5_unitdedup": unitdedup.op5_unitdedup,
         "op6_decontamination": decontam.op6_decontamination,
         "op8_mixing": mixing.op8_mixing,
         "op10_warc": warc.op10_warc,
