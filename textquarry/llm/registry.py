@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, pii, quality, secrets, toxicity, unitdedup, warc
+from . import decontam, mixing, neardup, pii, pitmanyor, quality, secrets, toxicity, unitdedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": decontam.op6_decontamination,
         "op7_pii": pii.op7_pii,
         "op8_mixing": mixing.op8_mixing,
+        "op9_pitmanyor": pitmanyor.op9_pitmanyor,
         "op10_warc": warc.op10_warc,
     }
 
