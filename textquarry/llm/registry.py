@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import decontam, mixing, neardup, pii, pitmanyor, quality, secrets, toxicity, unitdedup, warc
 
 
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_pitmanyor": pitmanyor.op9_pitmanyor,
         "op10_warc": warc.op10_warc,
+        "pipeline": corpus_pipeline.run,
     }
 
 
