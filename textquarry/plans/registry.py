@@ -1,2 +1,340 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Queries over the test tables, one for each operator, with their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import html as H
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import chunker, embed, links, resume, search, sections, store
+from ..sources import records
+from . import oracle, synthetic
+
+SITE = "https://site.example/"
+DIMENSION = 16
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def made(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
+    return spark.sql(sql.replace(f"from {table}", f"from {{{table}}}"), **{table: read(spark, sf_dir, table)})
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made(spark, sf_dir, "documents", synthetic.DECISIONS)
+
+
+def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the decisions, with their ingest order."""
+    return chunker.rag_chunks(decisions(spark, sf_dir)).withColumn("seq", F.struct("doc_id", "section_pos", "chunk_index"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk-like rows of the embedding table."""
+    e = read(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.concat(F.lit("case "), F.col("label")).alias("case_no"), F.concat(F.lit("S"), F.col("vec_id") % 3).alias("section"), (F.col("vec_id") % 4).cast("int").alias("chunk_index"), F.concat(F.lit("text "), F.col("vec_id")).alias("text"), "embedding", "label")
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding")
+
+
+def found(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    return search.exact(embeddings(spark, sf_dir), query_vector(spark, sf_dir), k)
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def partly_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return e.withColumn("embedding", F.when(F.col("id") % 7 != 0, F.col("embedding"))).withColumn("token_count", F.when(F.col("id") % 7 != 0, 1))
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", "url", F.col("page_id").alias("seq"))
+
+
+# ---- search ----
+
+
+def cosine_topk(spark, d):
+    return rounded(found(spark, d), "distance", "similarity").select("id", "case_no", "section", "chunk_index", "text", "distance", "similarity")
+
+
+def _distances(spark, d):
+    q = query_vector(spark, d).toDF("q")
+    return embeddings(spark, d).crossJoin(F.broadcast(q.limit(1))).select("id", V.cosine_distance("embedding", "q").alias("distance"))
+
+
+def cosine_distance(spark, d):
+    return rounded(_distances(spark, d), "distance")
+
+
+def similarity(spark, d):
+    return _distances(spark, d).select("id", F.round(V.similarity("distance"), 6).alias("similarity"))
+
+
+def search_response(spark, d):
+    return rounded(search.response(found(spark, d, 5)), "distance", "similarity")
+
+
+def result_table(spark, d):
+    return rounded(search.result_table(search.response(found(spark, d))), "distance", "similarity")
+
+
+def result_labels(spark, d):
+    return search.result_labels(rounded(found(spark, d), "distance", "similarity"))
+
+
+def ivf_topk(spark, d):
+    rows = embeddings(spark, d)
+    centroids = search.centroids_by(rows, "label")
+    own = rows.join(search.nearest_lists(rows, centroids, 1), "id")
+    return rounded(search.ivf(own, centroids, query_vector(spark, d), 10, 2), "distance", "similarity").select("id", "list_id", "distance", "similarity")
+
+
+def ivf_lists(spark, d):
+    rows = embeddings(spark, d)
+    return search.nearest_lists(rows, search.centroids_by(rows, "label"), 1)
+
+
+def scan_chunks(spark, d):
+    return embeddings(spark, d).select("id", "case_no", "section", "chunk_index", "text")
+
+
+# ---- text ----
+
+
+def division_cut(spark, d):
+    return decisions(spark, d).select("doc_id", F.md5(T.division_cut("text")).alias("text_md5"))
+
+
+def meta_case_no(spark, d):
+    return decisions(spark, d).select("doc_id", T.case_no("text").alias("case_no"))
+
+
+def meta_division(spark, d):
+    return decisions(spark, d).select("doc_id", T.division("text").alias("division"))
+
+
+def meta_title(spark, d):
+    return decisions(spark, d).select("doc_id", T.title("text").alias("title"))
+
+
+def word_count(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.word_count("text").cast("long").alias("n_words"))
+
+
+def heading_classify(spark, d):
+    rows = decisions(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return rows.select("doc_id", "pos", sections.heading("line").alias("heading")).where("heading is not null")
+
+
+def section_rows(spark, d):
+    rows = decisions(spark, d).select("doc_id", F.posexplode(sections.sections("text")).alias("pos", "s"))
+    return rows.select("doc_id", "pos", F.col("s.name").alias("name"), F.md5("s.text").alias("text_md5"))
+
+
+def sentences(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.posexplode(chunker.sentences("text")).alias("pos", "sentence"))
+    return rows.select("doc_id", "pos", F.md5("sentence").alias("sentence_md5"))
+
+
+def sentences_legal(spark, d):
+    rows = decisions(spark, d).select("doc_id", F.posexplode(chunker.sentences_legal("text")).alias("pos", "sentence"))
+    return rows.select("doc_id", "pos", F.md5("sentence").alias("sentence_md5"))
+
+
+def _chunks(make):
+    def run(spark, d):
+        rows = read(spark, d, "documents").select("doc_id", F.posexplode(make(chunker.sentences("text"))).alias("chunk_index", "chunk"))
+        return rows.select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))
+
+    return run
+
+
+def rag_chunks(spark, d):
+    rows = chunker.rag_chunks(decisions(spark, d))
+    return rows.select("doc_id", "case_no", "division", "title", "section_pos", "section", "chunk_index", F.md5("text").alias("text_md5"))
+
+
+# ---- store ----
+
+
+def _stored_decisions(spark, d):
+    """A table with every third case already in it."""
+    return decisions(spark, d).select(T.case_no("text").alias("case_no"), F.lit("OLD DIVISION").alias("division"), F.lit(None).cast("string").alias("title")).where("case_no is not null").distinct().where(F.substring("case_no", -1, 1).isin("0", "3", "6", "9")).select(
+        store.decision_id("case_no").alias("id"), "*", F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
+
+
+def decisions_upsert(spark, d):
+    merged = store.upsert_decisions(_stored_decisions(spark, d), store.decisions_of(chunk_rows(spark, d)))
+    return merged.select("case_no", "division", "title")
+
+
+def _stored_chunks(spark, d):
+    old = _stored_decisions(spark, d)
+    return old.select(
+        F.lit(1).cast("long").alias("id"), F.col("id").alias("decision_id"), "case_no", F.lit("FACTS").alias("section"), F.lit(0).alias("chunk_index"), F.lit("old").alias("text"),
+        F.lit(None).cast("int").alias("token_count"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
+
+
+def _merged_chunks(spark, d):
+    rows = chunk_rows(spark, d)
+    known = store.upsert_decisions(_stored_decisions(spark, d), store.decisions_of(rows))
+    return store.insert_chunks(_stored_chunks(spark, d), store.first_chunks(rows), known), known
+
+
+def chunks_upsert(spark, d):
+    return _merged_chunks(spark, d)[0].select("case_no", "section", "chunk_index", F.md5("text").alias("text_md5"))
+
+
+def chunk_decision_fk(spark, d):
+    rows, known = _merged_chunks(spark, d)
+    return rows.join(known.select(F.col("id").alias("decision_id"), F.col("case_no").alias("decision_case_no")), "decision_id").groupBy("decision_case_no").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+def fk_check(spark, d):
+    rows, known = _merged_chunks(spark, d)
+    return store.orphans(rows, known).agg(F.count(F.lit(1)).alias("n_orphans"))
+
+
+def rejects(spark, d):
+    return store.rejects(chunk_rows(spark, d)).select("doc_id").distinct()
+
+
+# ---- embeddings ----
+
+
+def pending_embeddings(spark, d):
+    return embed.pending(partly_embedded(spark, d))
+
+
+def pending_count(spark, d):
+    return embed.pending(partly_embedded(spark, d)).agg(F.count(F.lit(1)).alias("n_pending"))
+
+
+def _weights(column):
+    return F.posexplode(column).alias("bucket", "weight")
+
+
+def _embed(prefix):
+    def run(spark, d):
+        rows = read(spark, d, "documents").where("text is not null").select("doc_id", _weights(embed.embedded("text", lambda: embed.HashingEmbedder(DIMENSION), prefix)))
+        return rows.where("weight <> 0").select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 5).alias("weight"))
+
+    return run
+
+
+def token_count(spark, d):
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), T.word_count("text").cast("int").alias("token_count"))
+
+
+def embed_pending(spark, d):
+    done = embed.embed_pending(partly_embedded(spark, d), lambda: embed.HashingEmbedder(DIMENSION))
+    return done.select("id", "token_count", _weights("embedding")).where("weight <> 0").select("id", "token_count", "bucket", F.round(F.col("weight").cast("double"), 5).alias("weight"))
+
+
+def embed_update(spark, d):
+    rows = partly_embedded(spark, d)
+    new = embed.embed_pending(rows, lambda: embed.HashingEmbedder(DIMENSION))
+    done = embed.apply_embeddings(rows, new)
+    return done.select("id", "token_count", F.size("embedding").alias("dimension"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first_weight"))
+
+
+# ---- pages ----
+
+
+def html_text(spark, d):
+    return read(spark, d, "pages").select("page_id", F.md5(H.text_of("html")["text"]).alias("text_md5"))
+
+
+def html_text_native(spark, d):
+    return read(spark, d, "pages").select("page_id", F.md5(H.text_native("html")).alias("text_md5"))
+
+
+def html_title(spark, d):
+    return read(spark, d, "pages").select("page_id", H.title_native("html").alias("title"))
+
+
+def month_links(spark, d):
+    return links.month_links(made(spark, d, "pages", synthetic.INDEX_PAGES), "page_id", "html", SITE).select(F.col("page").alias("page_id"), "month_key", "url")
+
+
+def decision_links(spark, d):
+    return links.decision_links(made(spark, d, "pages", synthetic.MONTH_PAGES), "page_id", "html", SITE).select(F.col("page").alias("page_id"), "url")
+
+
+def crawl_fanout(spark, d):
+    months = month_links(spark, d).where("page_id < 12").select("month_key", F.concat(F.lit("m"), F.col("page_id")).alias("url"))
+    found = decision_links(spark, d).where("page_id < 12").select(F.concat(F.lit("m"), F.col("page_id")).alias("page"), "url", F.length("url").alias("first_pos"))
+    return links.fan_out(months, found).select("year", "month", "url")
+
+
+def url_join(spark, d):
+    parts = read(spark, d, "pages").select("page_id", F.explode(F.array("url", F.concat(F.lit("/p/"), "page_id"), F.concat(F.lit("q"), "page_id"), F.concat(F.lit("//cdn.example/"), "page_id"))).alias("href"))
+    return parts.select("page_id", "href", H.url_join("href", SITE).alias("url"))
+
+
+def url_key(spark, d):
+    return read(spark, d, "pages").select("page_id", H.url_key("url").alias("url_key"))
+
+
+def skip_done(spark, d):
+    rows = site_pages(spark, d)
+    return resume.skip_done(rows, rows.where("page_id % 3 = 0")).select("page_id")
+
+
+def cache_lookup(spark, d):
+    rows = site_pages(spark, d).select("page_id", "url")
+    cache = rows.where("page_id % 4 = 0").select(H.url_key("url").alias("url_key"), F.concat(F.lit("cached "), "page_id").alias("text")).dropDuplicates(["url_key"])
+    return resume.cache_lookup(rows, cache).select("page_id", (F.col("text").isNotNull()).alias("cached"))
+
+
+def resume_after(spark, d):
+    rows = site_pages(spark, d)
+    return resume.resume_after(rows, rows.where("page_id = 10").select("url")).select("page_id")
+
+
+def ordered_distinct(spark, d):
+    rows = read(spark, d, "pages").select((F.col("page_id") % 10).alias("grp"), (F.col("page_id") % 35).alias("value"), F.col("page_id").alias("pos"))
+    return links.ordered_distinct(rows, ["grp"], "value", "pos")
+
+
+def cap_per_month(spark, d):
+    rows = read(spark, d, "pages").select((F.col("page_id") % 12).alias("month"), "page_id")
+    return links.cap(rows, ["month"], "page_id", 5)
+
+
+def jsonl_scan(spark, d):
+    lines = read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 9 == 0, F.lit("{not json")).otherwise(F.to_json(F.struct(F.lit("1996").alias("year"), F.lit("t").alias("title"), "url", F.lit("x").alias("text")))).alias("value"))
+    parsed = records.parse_jsonl(lines)
+    return parsed.where(F.col(records.CORRUPT).isNull()).select("page_id", "year", F.coalesce("month", F.lit("")).alias("month"), "title", "url", "text")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "cosine_topk": cosine_topk, "cosine_distance": cosine_distance, "similarity": similarity, "search_response": search_response, "result_table": result_table,
+        "result_labels": result_labels, "ivf_topk": ivf_topk, "ivf_lists": ivf_lists, "scan_chunks": scan_chunks,
+        "division_cut": division_cut, "meta_case_no": meta_case_no, "meta_division": meta_division, "meta_title": meta_title, "word_count": word_count,
+        "heading_classify": heading_classify, "sections": section_rows, "sentences": sentences, "sentences_legal": sentences_legal,
+        "chunks": _chunks(chunker.chunks), "chunks_arrow": _chunks(chunker.chunks_arrow), "rag_chunks": rag_chunks,
+        "decisions_upsert": decisions_upsert, "chunks_upsert": chunks_upsert, "chunk_decision_fk": chunk_decision_fk, "fk_check": fk_check, "rejects": rejects,
+        "pending_embeddings": pending_embeddings, "pending_count": pending_count, "embed_passage": _embed(embed.PASSAGE), "embed_query": _embed(embed.QUERY), "token_count": token_count,
+        "embed_pending": embed_pending, "embed_update": embed_update,
+        "html_text": html_text, "html_text_native": html_text_native, "html_title": html_title, "month_links": month_links, "decision_links": decision_links, "crawl_fanout": crawl_fanout,
+        "url_join": url_join, "url_key": url_key, "skip_done": skip_done, "cache_lookup": cache_lookup, "resume_after": resume_after,
+        "ordered_distinct": ordered_distinct, "cap_per_month": cap_per_month, "jsonl_scan": jsonl_scan,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.sql()
