@@ -26,7 +26,8 @@ def normalised(a: Column | str) -> Column:
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
     """1 - cos, never below 0. Vectors of different length are an error."""
     checked = F.when(F.size(_col(a)) == F.size(_col(b)), _col(a)).when(_col(a).isNull() | _col(b).isNull(), None).otherwise(F.raise_error(F.lit("vectors of different length")).cast("array<double>"))
-    return F.greatest(1 - F.try_divide(dot(checked, b), norm(a) * norm(b)), F.lit(0.0))
+    cosine = F.try_divide(dot(checked, b), norm(a) * norm(b))
+    return F.when(cosine > 1, 0.0).otherwise(1 - cosine)
 
 
 def similarity(distance: Column | str) -> Column:
