@@ -90,7 +90,7 @@ def guess_cost(value: str) -> float:
             if j - i >= max(3, 2 * unit):
                 for end in range(i + 2 * unit, j + 1):
                     if (end - i) % unit == 0:
-                        repeat_from.setdefault(end, {})[i] = unit
+                        repeat_from.setdefault(end, {}).setdefault(i, unit)  # the shortest unit
                 i = j - unit + 1
             else:
                 i += 1
