@@ -39,6 +39,8 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 MIN_LENGTH, MIN_DIGITS = 6, 3
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE, ROUNDS = 4, 0.6, 0.6, 2
+#: Words that are sent to every task at most (a few MB).
+MAX_SENT = 100_000
 #: Characters before a seed among which its word is looked for; a longer word is no pattern.
 BEFORE = 48
 
@@ -108,18 +110,32 @@ def tokens(text: Column, spans: Column) -> Column:
     return F.filter(F.transform(places(text, TOKEN, 4), one), taken)
 
 
+def occurrences(texts: DataFrame, text: str, words: DataFrame) -> DataFrame:
+    """(word, total): how often each of the words occurs in all texts.
+
+    At most MAX_SENT words are sent to every task, so that no others are
+    shuffled; more are joined after the words of each task have been counted.
+    """
+    every = texts.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
+    few = words.count() <= MAX_SENT
+    every = every.join(F.broadcast(words), "word", "left_semi") if few else every
+    counted = every.groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    return counted if few else counted.join(words, "word", "left_semi")
+
+
 def believed(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     """(value) of the instances that the graph of patterns and instances supports. found: (word, value, seed)."""
     graph = written(found.groupBy("word", "value").agg(F.max("seed").alias("seed")), "graph")
-    candidates = graph.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")).where(F.col("n") >= MIN_SUPPORT).select("word")
-    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word")
-    total = texts.select(word).join(candidates, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    graph = written(graph.join(total, "word", "left"), "graph")
     scores = graph.where("seed").select("value").distinct().withColumn("score", F.lit(1.0))
+    totals = graph.select("word", F.lit(0).cast("long").alias("total")).limit(0)
     for _ in range(ROUNDS):
         own = graph.join(scores, "value", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        patterns = own.groupBy("word", "total").agg(F.sum("score").alias("good"), F.count(F.when(F.col("score") >= MIN_SCORE, 1)).alias("support"))
-        patterns = patterns.where((F.col("support") >= MIN_SUPPORT) & (F.col("good") >= MIN_CONFIDENCE * F.col("total")))
+        patterns = own.groupBy("word").agg(F.sum("score").alias("good"), F.count(F.when(F.col("score") >= MIN_SCORE, 1)).alias("support"))
+        patterns = written(patterns.where(F.col("support") >= MIN_SUPPORT), "patterns")
+        fresh = patterns.join(totals, "word", "left_anti").select("word")
+        if not fresh.isEmpty():
+            totals = totals.unionAll(written(occurrences(texts, text, fresh), "totals"))
+        patterns = patterns.join(totals, "word").where(F.col("good") >= MIN_CONFIDENCE * F.col("total"))
         patterns = patterns.select("word", F.least(F.col("good") / F.col("total"), F.lit(0.999)).alias("confidence"))
         reached = graph.join(patterns, "word").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         scores = written(reached.unionAll(scores).groupBy("value").agg(F.max("score").alias("score")).where(F.col("score") >= MIN_SCORE), "scores")
