@@ -244,3 +244,23 @@ def test_plans(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
     plan = search.exact(e, [1.0] * 64, 5).select("id", "distance")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "label" not in plan.split("ReadSchema")[1] and "Python" not in plan
+
+
+def test_crawl(spark):
+    from textquarry.operators.crawl import cache_of, crawl, frontier
+
+    root = "https://s.example/"
+    pages = spark.createDataFrame([
+        ("https://s.example/", '<div id="content"><h3>1996</h3><a href="/m/1">Jan</a><a href="/m/2">Feb</a></div>'),
+        ("https://s.example/m/1", '<body><a href="/d/1">G.R. No. 1</a><a href="/d/2">G.R. No. 2</a><a href="/d/3">G.R. No. 3</a></body>'),
+        ("https://s.example/m/2", '<body><a href="/d/4">A.M. No. 4</a></body>'),
+        *((f"https://s.example/d/{i}", f"<title>t{i}</title><body><article>text {i}</article></body>") for i in (1, 2, 4)),
+        ("https://s.example/d/3", None),
+    ], "url string, html string")
+    rows = lambda df: sorted((r.year, r.month, r.title, r.url[-1], r.text) for r in df.collect())
+    every = [("1996", "Feb", "t4", "4", "text 4"), ("1996", "Jan", "t1", "1", "text 1"), ("1996", "Jan", "t2", "2", "text 2")]
+    first = crawl(pages, root, root)
+    assert rows(first) == every and frontier(pages, root, root, 1).count() == 2
+    stored = first.where("url like '%1'")
+    again = crawl(pages.where("url not like '%/d/2'"), root, root, done=stored.select("url"), cache=cache_of(first.where("url like '%2'")), stored=stored)
+    assert rows(again) == every
