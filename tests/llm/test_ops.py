@@ -144,7 +144,8 @@ def test_machine_learns_a_pair():
         a, b = rng.random() < 0.5, rng.random() < 0.5
         texts.append(" ".join(["insult"] * a + ["folk"] * b + [f"n{rng.randrange(50)}" for _ in range(5)]))
         labels.append(float(a and b))
-    m = toxicity.trained([toxicity.terms(t) for t in texts], toxicity.np.array(labels))
+    terms = [toxicity.terms(t) for t in texts]
+    m = toxicity.trained(terms, toxicity.np.array(labels), toxicity.terms("insult folk"))
     column = {b: i for i, b in enumerate(m.buckets.tolist())}
 
     def score(t):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, remainder
+from .common import bounded_batches, read, remainder, written
 
 BUCKETS = 1 << 20
 MAX_TRAIN, MAX_TERMS, MIN_Z = 16_000, 1024, 4.0
@@ -66,23 +66,32 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(y, -30, 30))))
 
 
-def chosen(rows: list[np.ndarray], labels: np.ndarray, min_z: float = MIN_Z, most: int = MAX_TERMS) -> np.ndarray:
-    """The buckets whose share differs most between the labels."""
-    count = [np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y == k] or [np.zeros(0, np.int32)]), minlength=BUCKETS) for k in (0, 1)]
-    n = [max(1, int((labels == k).sum())) for k in (0, 1)]
-    share = (count[0] + count[1]) / (n[0] + n[1])
-    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
-    z = np.abs(count[1] / n[1] - count[0] / n[0]) / spread
-    z[count[0] + count[1] < 3] = 0
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] >= min_z]).astype(np.int32)
+def chosen(rows: DataFrame, min_z: float = MIN_Z, most: int = MAX_TERMS) -> np.ndarray:
+    """The buckets whose share differs most between the labels, from counts that are summed up in the tasks. rows: (tq_label, tq_terms)."""
 
-
-def trained(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Logistic loss by Adagrad over small batches."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, BUCKETS), np.int32)
+        for batch in batches:
+            for y, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[y][np.frombuffer(packed, np.int32)] += 1  # a text's terms are different ones
+        some = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some].astype(np.int64)), pa.array(total[1][some].astype(np.int64))], ["bucket", "n0", "n1"])
+
+    n = {r.tq_label: r.n for r in rows.groupBy("tq_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    if not (n0 and n1):
+        return np.zeros(0, np.int32)
+    sums = rows.select("tq_label", "tq_terms").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    share = (F.col("n0") + F.col("n1")) / (n0 + n1)
+    z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n0 + 1 / n1))
+    best = sums.where("n0 + n1 >= 3").withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "bucket").limit(most).collect()
+    return np.array(sorted(r.bucket for r in best), np.int32)
+
+
+def trained(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, seed: int = 7) -> Machine:
+    """Logistic loss by Adagrad over small batches. rows: the terms of each text, of which those in buckets count."""
     rate = float(labels.mean()) if len(labels) else 0.0
     prior = float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
-    buckets = chosen(rows, labels) if 0 < rate < 1 else np.zeros(0, np.int32)
     d, rng = len(buckets), np.random.default_rng(seed)
     m = Machine(buckets, prior, np.zeros(d), rng.normal(0, 0.02, (d, FACTORS)))
     if not d:
@@ -109,7 +118,7 @@ def trained(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machin
 
 
 def learned(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_TRAIN) -> Machine:
-    """The machine for labelled rows outside the held-out third; the sample's bounded terms come to the driver."""
+    """The machine for labelled rows outside the held-out third. Of the bounded sample, the chosen terms come to the driver."""
     bounded_batches(docs.sparkSession)
     sample = labels.select(F.col(doc_id).alias("tq_id"), F.col(label).cast("int").alias("tq_label")).where("tq_label in (0, 1) and tq_id is not null")
     sample = sample.where(remainder("tq_id", 3) != 1).orderBy(F.xxhash64("tq_id"), "tq_label").limit(most)
@@ -121,9 +130,17 @@ def learned(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
         for batch in batches:
             yield pa.array([terms(t).tobytes() for t in batch.to_pylist()], pa.binary())
 
-    # Rows in one order, whatever order they come in, so that reruns agree.
-    got = sorted((r.tq_id, r.tq_label, bytes(r.tq_terms)) for r in joined.select("tq_id", "tq_label", packed("tq_text").alias("tq_terms")).limit(2 * most).toLocalIterator())
-    return trained([np.frombuffer(t, np.int32) for _, _, t in got], np.array([y for _, y, _ in got], np.float64))
+    rows = written(joined.select("tq_id", "tq_label", packed("tq_text").alias("tq_terms")), "terms")
+    buckets = chosen(rows)
+
+    @F.arrow_udf("binary")
+    def selected(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([np.intersect1d(np.frombuffer(t, np.int32), buckets, assume_unique=True).tobytes() for t in batch.to_pylist()], pa.binary())
+
+    # A few of MAX_TERMS terms of each text; in one order, whatever order they come in, so that reruns agree.
+    got = sorted((r.tq_id, r.tq_label, bytes(r.terms)) for r in rows.select("tq_id", "tq_label", selected("tq_terms").alias("terms")).orderBy("tq_id", "tq_label", "terms").limit(2 * most).collect())
+    return trained([np.frombuffer(t, np.int32) for _, _, t in got], np.array([y for _, y, _ in got], np.float64), buckets)
 
 
 def toxicity(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
