@@ -8,29 +8,32 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, turns: int | None = None, name: str = "components") -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node that it reaches.
 
     Large and small stars take turns: each node's larger, then smaller
     neighbours are hung on the smallest one, until nothing moves. Every round is
     two aggregations with partial sums and two joins, and is written, so that
     lineage stays short; rounds grow with the logarithm of the longest path.
+    With `turns` it stops after so many rounds: a node then has some smaller node
+    that it reaches, and nodes of one component may have different ones.
     """
-    spark = edges.sparkSession
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = edges if turns else written(edges, name)
+    before, left = None, turns
+    while left is None or left > 0:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a")
-        small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         edges = written(small, name)
-    if not state[0]:
-        return spark.createDataFrame([], "node long, component long") if edges.schema["a"].dataType.simpleString() == "bigint" else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        if left is not None:
+            left -= 1
+            continue
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    return nodes.groupBy("node").agg(F.min("component").alias("component"))

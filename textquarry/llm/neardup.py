@@ -12,12 +12,23 @@ every choice of ERRORS values left out, and signatures that agree in an entry ar
 candidates: no pair within that distance is missed. At a similarity of 0.75
 another entry agrees anyway in all but 3 of 10,000 pairs.
 
-Candidates are handled in two rounds so that a group of n alike classes costs n
-links, not n * n. First every class meets the smallest class of each of its
-entries, and keeps the nearest; these links are confirmed and joined to
-components. Then only classes that share an entry across different components
-meet, again within the distance; pairs within one component can't change the
-result. So all components are those of all confirmed pairs.
+Candidates get a finer sketch: one bit from each of 64 * SKETCH more hash functions.
+Pairs that differ in more than SKETCH_FARTHEST bits, 4.5 standard deviations above
+what a similarity of 0.75 leads to, aren't compared in full.
+
+Candidates are handled in rounds so that a group of n alike classes costs n
+comparisons of full sets a round, not n * n. In each of the first ROUNDS every
+class meets one hub of some of its entries, drawn by a digest, and only the
+nearest hub outside its component is compared in full; confirmed links are joined,
+not always completely. After these rounds all classes that share an entry across
+different components meet; pairs within one component can't change the result. So the components are those of all confirmed pairs, whatever ROUNDS is.
+
+What a class shares with others is bounded beforehand: of the classes still to
+be compared, count for each the shingles that no other one has. Two sets of n and
+m shingles with u and v such ones share at most min(n - u, m - v), which must be
+3/7 of n + m for a similarity of 0.75; pairs below that need no comparison, and
+no link is lost. What is left of a large entry is compared in blocks, which hold
+FRAGMENT classes of either side at most, about.
 
 Null, empty and wordless texts have an empty set and link with nothing; rows
 with a null id stay single and are kept, with a null component. Rows with equal
@@ -44,12 +55,21 @@ WORDS, PERCENT = 5, 75
 CHUNKS, LANES, BITS, ERRORS = 8, 5, 12, 1
 #: Signatures further apart are not compared in full. At a similarity of 0.75, 10 of 40 values differ, give or take 2.7.
 FARTHEST = 22
+ROUNDS = 3
+#: Members of an entry that one block compares with as many others at most, about.
+FRAGMENT = 1000
+#: Of them, so many meet all others at once.
+STRIP = 64
+SKETCH = 16
+SKETCH_FARTHEST = 176
 #: Ids of so many texts are sent to every task at most (16 MB); more are joined by a shuffle.
 MAX_SENT = 2_000_000
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 1 << 63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, CHUNKS * LANES, dtype=np.uint64)
+_A32 = _RANDOM.integers(0, 1 << 31, 64 * SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B32 = _RANDOM.integers(0, 1 << 32, 64 * SKETCH, dtype=np.uint32)
 _C = _RANDOM.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -83,7 +103,18 @@ def signature(h: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(lanes << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS)), axis=1).astype(np.int64)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """SKETCH numbers: a bit of the least value under each of 64 * SKETCH hash functions."""
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(64 * SKETCH, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(h), 64):
+        np.minimum(least, (h[i : i + 64, None] * _A32 + _B32).min(0), out=least)
+    bits = (_mixed(least.astype(np.uint64)) >> np.uint64(63)).reshape(SKETCH, 64)
+    return np.bitwise_or.reduce(bits << np.arange(64, dtype=np.uint64), axis=1).astype(np.int64)
+
+
 SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
+BITSET = [f"k{i}" for i in range(SKETCH)]
 
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -110,63 +141,141 @@ def _lanes(value: int) -> int:
     return sum(value << (BITS * i) for i in range(LANES))
 
 
-def distance(a: str, b: str) -> Column:
-    """In how many values two signatures differ: the lanes that aren't 0 in their exclusive or, by arithmetic on the whole numbers."""
-    low, top = F.lit(_lanes((1 << BITS - 1) - 1)), F.lit(_lanes(1 << BITS - 1))
+def bits(a: str, b: str) -> Column:
+    """In how many bits two sketches differ."""
     out = F.lit(0)
-    for s in SIGNATURE:
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        out += F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(top))
+    for k in BITSET:
+        out += F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}")))
     return out
 
 
-def entries(classes: DataFrame) -> DataFrame:
-    """(node, entry): each chunk with each choice of one value left out."""
-    keys = []
-    for i, s in enumerate(SIGNATURE):
-        for left_out in range(LANES):
-            kept = _lanes((1 << BITS) - 1) & ~(((1 << BITS) - 1) << (BITS * left_out))
-            keys.append(F.xxhash64(F.lit(i * LANES + left_out), F.col(s).bitwiseAND(F.lit(kept))))
-    return classes.select("node", F.explode(F.array(*keys)).alias("entry"))
-
-
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, d) of the pairs within the distance and with sizes that allow the similarity."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.struct("n", *SIGNATURE).alias(f"{x}_"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", distance("a_", "b_").alias("d"), F.col("a_.n").alias("an"), F.col("b_.n").alias("bn")).where(_near("d", "an", "bn")).select("a", "b", "d")
-
+def _kept(left_out: int) -> Column:
+    return F.lit(_lanes((1 << BITS) - 1) & ~(((1 << BITS) - 1) << (BITS * left_out)))
 
-def _near(d: str | Column, an: str | Column, bn: str | Column) -> Column:
-    col = lambda x: F.col(x) if isinstance(x, str) else x
-    return (col(d) <= FARTHEST) & (100 * F.least(col(an), col(bn)) >= PERCENT * F.greatest(col(an), col(bn)))
 
-
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike. Sets are made for the texts in pairs alone."""
-    pairs = written(pairs.select("a", "b"), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("tq_text"))
-    ids = F.broadcast(ids) if pairs.count() * 2 <= MAX_SENT else ids
-    rows = rows.join(ids, "node")
-
-    @F.arrow_udf("binary")
-    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([shingles(t).tobytes() for t in batch.to_pylist()], pa.binary())
-
-    @F.arrow_udf("boolean")
-    def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            out = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.array(out, pa.bool_())
-
-    sets = written(rows.select("node", packed("tq_text").alias("set")), "sets")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike("a_set", "b_set")).select("a", "b")
+def entries(classes: DataFrame) -> DataFrame:
+    """(node, slot, entry): each chunk with each choice of one value left out."""
+    keys = [F.xxhash64(F.lit(i * LANES + j), F.col(s).bitwiseAND(_kept(j))) for i, s in enumerate(SIGNATURE) for j in range(LANES)]
+    return classes.select("node", F.posexplode(F.array(*keys)).alias("slot", "entry"))
+
+
+OPEN = ["entry", "low", "high", "own", "slot", "node", "component", "most", "n", *SIGNATURE, *BITSET]
+
+
+def compared(blocks: DataFrame) -> DataFrame:
+    """The pairs (a, b) in each block (entry, low, high) that may be alike: one member of fragment low, one of high, of different components.
+
+    A pair shares many entries; it is given in the first one alone.
+    """
+    low, top = np.uint64(_lanes((1 << BITS - 1) - 1)), np.uint64(_lanes(1 << BITS - 1))
+
+    def within(rows: dict[str, np.ndarray], s: np.ndarray, k: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        left, right = np.flatnonzero(rows["own"] == rows["low"]), np.flatnonzero(rows["own"] == rows["high"])
+        return [strip(rows, s, k, left[i : i + STRIP], right) for i in range(0, len(left), STRIP)]
+
+    def strip(rows: dict[str, np.ndarray], s: np.ndarray, k: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c, n, most = rows["component"], rows["n"], rows["most"]
+        apart = c[left][:, None] < c[right] if rows["low"][0] == rows["high"][0] else c[left][:, None] != c[right]
+        i, j = np.nonzero(apart)
+        a, b = left[i], right[j]
+        for test in (
+            lambda: (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])) & ((100 + PERCENT) * np.minimum(most[a], most[b]) >= PERCENT * (n[a] + n[b])),
+            lambda: np.bitwise_count(k[a] ^ k[b]).sum(1) <= SKETCH_FARTHEST,
+        ):
+            kept = test()
+            a, b = a[kept], b[kept]
+        x = s[a] ^ s[b]
+        lanes = (((x & low) + low) | x) & top
+        differ = np.bitwise_count(lanes)
+        chunk = np.argmax(differ <= ERRORS, axis=1)
+        at = lanes[np.arange(len(a)), chunk]
+        slot = chunk * LANES + np.where(at == 0, 0, np.bitwise_count(np.maximum(at, np.uint64(1)) - np.uint64(1)) // BITS)
+        kept = (differ.sum(1) <= FARTHEST) & (slot == rows["slot"][0])
+        return rows["node"][a[kept]], rows["node"][b[kept]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_none(batches):
+            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            rows = {c: table.column(c).to_numpy() for c in OPEN}
+            s, k = (np.stack([rows[c] for c in names], axis=1).view(np.uint64) for names in (SIGNATURE, BITSET))
+            new = np.flatnonzero((np.diff(rows["entry"]) != 0) | (np.diff(rows["low"]) != 0) | (np.diff(rows["high"]) != 0)) + 1
+            edges = [0, *new.tolist(), *([table.num_rows] if batch is None else [])]  # the last block may go on in the next batch
+            out = [pair for x, y in zip(edges, edges[1:]) for pair in within({c: v[x:y] for c, v in rows.items()}, s[x:y], k[x:y])]
+            held = table.slice(edges[-1])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1)], ["a", "b"])
+
+    return blocks.select(OPEN).repartition("entry", "low", "high").sortWithinPartitions("entry", "low", "high").mapInArrow(run, "a long, b long")
+
+
+def _and_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+class Sets:
+    """Full sets of the texts of `nodes`, made once, in the shared folder."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str):
+        nodes = written(nodes, "nodes")
+        rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("tq_text"))
+        rows = rows.join(F.broadcast(nodes) if nodes.count() <= MAX_SENT else nodes, "node")
+
+        @F.arrow_udf("binary")
+        def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array([shingles(t).tobytes() for t in batch.to_pylist()], pa.binary())
+
+        @F.arrow_udf("struct<" + ",".join(f"{k}:long" for k in BITSET) + ">")
+        def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                k = np.array([sketch(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch], np.int64).reshape(len(batch), SKETCH)
+                yield pa.StructArray.from_arrays([pa.array(k[:, i]) for i in range(SKETCH)], BITSET)
+
+        self.sets = written(rows.select("node", packed("tq_text").alias("set")).withColumn("k", sketched("set")), "sets")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets are alike."""
+
+        @F.arrow_udf("boolean")
+        def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for a, b in batches:
+                out = []
+                for x, y in zip(a, b):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                yield pa.array(out, pa.bool_())
+
+        side = lambda x: self.sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
+        return written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike("a_set", "b_set")).select("a", "b"), "links")
+
+
+    def alone(self, nodes: DataFrame) -> DataFrame:
+        """(node, alone): how many of its shingles no other one of the nodes has."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for node, packed in zip(batch.column(0), batch.column(1)):
+                    h = np.frombuffer(packed.as_buffer(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node.as_py())), pa.array(h)], ["node", "h"])
+
+        rows = self.sets.join(nodes, "node", "left_semi").select("node", "set").mapInArrow(each, "node long, h long")
+        alone = rows.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+        alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+        return nodes.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def nearest(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """For each a of the pairs, the b with the nearest sketch, if it is near enough and of a size that allows the similarity."""
+    side = lambda x: about.select(F.col("node").alias(x), F.col("c").alias(f"{x}_c"))
+    fits = 100 * F.least("a_c.n", "b_c.n") >= PERCENT * F.greatest("a_c.n", "b_c.n")
+    far = F.when(fits, bits("a_c", "b_c")).otherwise(64 * SKETCH + 1)
+    best = pairs.join(side("a"), "a").join(side("b"), "b").groupBy("a").agg(F.min(F.struct(far.alias("far"), "b")).alias("best"))
+    return best.where(F.col("best.far") <= SKETCH_FARTHEST).select("a", "best.b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,24 +284,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     full = prints.where("digest is not null and doc_id is not null")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in SIGNATURE)), "classes")
     every = entries(classes)
-    shared = every.groupBy("entry").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    shared = written(every.join(shared.drop("last"), "entry"), "entries")
-    nearest = near(shared.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), classes)
-    nearest = nearest.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    links = written(confirmed(nearest, docs, doc_id, text), "links")
-    joined = components(links)
-
-    own = lambda df: df.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = own(shared.select("node", "entry"))
+    shared = every.groupBy("entry").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("entry")
+    shared = written(every.join(shared, "entry"), "entries")
+    sets = Sets(docs, shared.select("node").distinct(), doc_id, text)
+    about = written(classes.join(sets.sets.select("node", "k"), "node").select("node", F.struct("n", *SIGNATURE, "k.*").alias("c")), "about")
+    joined, links = None, None
+    for turn in range(ROUNDS):
+        split = shared.withColumn("component", F.col("node")) if joined is None else shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = split.where(F.pmod(F.col("slot") - 2 * turn, F.lit(LANES)) < 2)  # two entries of each chunk a round
+        hubs = split.groupBy("entry").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "entry", F.lit(turn))).alias("hub"))
+        meet = split.join(hubs, "entry").where(F.col("component") != F.col("hub.component")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        new = sets.confirmed(nearest(meet, about))
+        links = new if links is None else links.unionAll(new)
+        # A few turns join most of it; what they leave apart is only compared once more.
+        joined = written(components(links, turns=2 if turn + 1 < ROUNDS else 4), "joined")
+
+    split = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     across = split.groupBy("entry").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("entry")
-    open_ = split.join(across, "entry").join(classes.select("node", "n", *SIGNATURE), "node")
-    open_ = written(open_.select("entry", "node", "component", F.struct("n", *SIGNATURE).alias("c")), "open")
-    a, b = (open_.select("entry", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "c"))) for x in "ab")
-    # In the condition of the join, so that pairs too far apart never become rows.
-    meet = (a["entry"] == b["entry"]) & (F.col("a_component") < F.col("b_component")) & _near(distance("a_c", "b_c"), F.col("a_c.n"), F.col("b_c.n"))
-    further = a.join(b, meet).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    more = written(confirmed(further, docs, doc_id, text), "links")
-    joined = components(links.unionAll(more))
+    open_ = written(split.join(across, "entry"), "open")
+    alone = sets.alone(open_.select("node").distinct())
+    open_ = open_.join(about, "node").join(alone, "node").withColumn("most", F.col("c.n") - F.col("alone"))
+    # A class that can't share enough even with one of its own size, or of the least size allowed, is done.
+    open_ = written(open_.where(100 * F.col("most") >= PERCENT * F.col("c.n")), "open")
+    # Members of a large entry are dealt to fragments, and each pair of fragments is a block of its own.
+    size = open_.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / FRAGMENT).alias("fragments"))
+    open_ = open_.join(size, "entry").withColumn("own", F.pmod(F.xxhash64("node"), "fragments"))
+    blocks = open_.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fragments") - 1)).alias("other"))
+    blocks = blocks.select("entry", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "slot", "node", "component", "most", "c.*")
+    further = compared(blocks)
+    joined = components(links.unionAll(sets.confirmed(further)))
 
     of = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     linked = full.select("doc_id", "n", "digest").join(of, "digest").select("doc_id", "n", "component_id")
