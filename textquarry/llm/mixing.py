@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, read
+from .common import WORD, read, written
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -71,7 +71,8 @@ def mixture(docs: DataFrame, size: Column, source: str = "source", doc_id: str =
         "tq_cell": (F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 4), 16, 10).cast("long") % CELLS).cast("int"),
     }).withColumn("tq_class", (bits * 8 + F.floor(F.col("tq_size") * 8 / F.pow(F.lit(2.0), bits - 1))).cast("int"))  # eight to a doubling
     key = ["tq_source", "tq_class", "tq_cell"]
-    cells = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("tq_size").alias("words"))
+    # Written, since both the targets and the ranks need it: the texts are read once for it.
+    cells = written(docs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("tq_size").alias("words")), "cells")
     goal = targets(cells.groupBy("tq_source").agg(F.sum("words").alias("tq_source_size")))
     before = F.sum("n").over(Window.partitionBy("tq_source").orderBy("tq_class", "tq_cell").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.withColumn("tq_before", F.coalesce(before, F.lit(0))).drop("n", "words").join(goal, "tq_source")
@@ -92,7 +93,7 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", "source", size_of("text").alias("size"))
+    docs = written(docs.select("doc_id", "source", size_of("text").alias("size")), "sizes")
     got = mixture(docs, F.col("size"))
     return got.select("doc_id", "source", "size", F.col("tq_source_size").alias("source_size"), F.col("tq_target").alias("target"), (F.col("tq_copies") * F.col("size")).alias("taken"))
 
