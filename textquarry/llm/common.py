@@ -16,7 +16,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches are cut by bytes, so that a run of very long texts doesn't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
