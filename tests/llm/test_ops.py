@@ -273,6 +273,17 @@ def test_units_keep_offsets_and_the_first(spark):
     assert " ".join(text[x["start"] : x["end"]] for x in got[3].tq_removed) == passage
 
 
+def test_units_of_short_lines_and_other_lead_ins(spark):
+    verse = "\n".join(f"line {i} of verse" for i in range(15))
+    talk = " ".join(f"Say {i} of five words." for i in range(12))
+    rows = [(1, verse, "a"), (2, f"Own heading\n{verse}\nOwn end", "a"), (3, talk, "a"), (4, f"Three words lead. {talk} And a tail.", "a"), (5, "\n".join(["la la la la"] * 11), "a")]
+    got = {r.doc_id: r.text for r in unitdedup.deduplicated(docs_of(spark, rows)).collect()}
+    assert got == {1: verse, 2: "Own heading\nOwn end", 3: talk, 4: "Three words lead. And a tail.", 5: "la la la la\nla la la la"}
+    docs = docs_of(spark, rows)
+    covered = unitdedup.by_document(docs).select("rank", unitdedup.stretches("removed").alias("s")).collect()
+    assert {r["rank"]: [(x.start, x.end) for x in r.s] for r in covered}[2] == [(12, 12 + len(verse))]
+
+
 # ---- 6 decontamination ----
 
 

@@ -1,12 +1,15 @@
 """Substring dedup: repeated lines and sentences of whole documents.
 
-A unit is a line, and a line of several sentences is cut after each of them; a
-piece of fewer than MIN_WORDS words goes with the next one, at the end of a line
-with the one before. Units are normalised (lower case, words joined by one blank)
-and hashed. Digests are grouped over all documents; the earliest occurrence, by
-document rank and then position, stays, and every other one is removed, where
-the unit has at least MIN_WORDS words. Removed pieces keep their offsets in the
-original text (code points, end exclusive).
+A piece is a line, and a line of several sentences is cut after each of them. A
+unit is a run of pieces, over line ends too, that just reaches MIN_WORDS words:
+from each piece on, and back from each piece. So the units within a passage don't
+depend on what stands around it, and cover all its pieces if it has MIN_WORDS
+words or more. Units are normalised (lower case, words joined by one blank) and
+hashed. Digests are grouped over all documents; the earliest occurrence, by
+document rank and then position, stays, and every other one is removed. Removed
+units keep their offsets in the original text (code points, end exclusive) and
+may overlap. A unit that overlaps the first of its kind in its own document, as
+in a line said over and over, is taken together with it as one longer unit.
 
 Documents rank by `rank` (ascending, null last), then by a digest of the text;
 rows equal in both are one document and get the same result. Null and empty
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, read, written
@@ -33,26 +36,36 @@ BLANK = " \t\x0b\x0c\r"
 
 
 def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(digest, start, end) of the units that are long enough to be compared."""
-    out, at = [], 0
+    """(digest, start, end) of the units, by place."""
+    pieces: list[tuple[int, int, int, bytes]] = []  # start, end, number of words, the words
+    at = 0
     for line in (text or "").split("\n"):
         cuts = [0, *(m.end() for m in SENTENCE_END.finditer(line)), len(line)]
-        pieces: list[list] = []
-        start, held = 0, 0
         for a, b in zip(cuts, cuts[1:]):
-            held += len(line[a:b].encode("utf-8", "surrogatepass").split())
-            if held >= min_words:
-                pieces.append([start, b])
-                start, held = b, 0
-        if held and pieces:
-            pieces[-1][1] = len(line)
-        for a, b in pieces:
-            words = line[a:b].lower().encode("utf-8", "surrogatepass").split()
-            lead = len(line[a:b]) - len(line[a:b].lstrip(BLANK))
-            digest = xxhash.xxh3_128_intdigest(b" ".join(words))
-            out.append((digest, at + a + lead, at + a + len(line[a:b].rstrip(BLANK))))
+            piece = line[a:b]
+            words = piece.lower().encode("utf-8", "surrogatepass").split()
+            if words:
+                lead = len(piece) - len(piece.lstrip(BLANK))
+                pieces.append((at + a + lead, at + a + len(piece.rstrip(BLANK)), len(words), b" ".join(words)))
         at += len(line) + 1
-    return out
+    runs, first, held = set(), 0, 0
+    for last, piece in enumerate(pieces):
+        held += piece[2]
+        while held >= min_words:  # the shortest run from `first` on; in the end, the one back from `last`
+            if held - piece[2] < min_words or held - pieces[first][2] < min_words:
+                runs.add((first, last))
+            if held - pieces[first][2] < min_words:
+                break
+            held -= pieces[first][2]
+            first += 1
+    out, seen = [], {}
+    for i, j in sorted(runs):
+        digest = xxhash.xxh3_128_intdigest(b" ".join(p[3] for p in pieces[i : j + 1]))
+        k, end = seen.setdefault(digest, (i, j))
+        if k < i <= end:
+            i, digest = k, xxhash.xxh3_128_intdigest(b" ".join(p[3] for p in pieces[k : j + 1]))
+        out.append((digest, pieces[i][0], pieces[j][1]))
+    return sorted(out, key=lambda u: u[1:])
 
 
 def without(text: str, removed: list[tuple[int, int]]) -> str:
@@ -118,16 +131,35 @@ def deduplicated(docs: DataFrame, rank: str = "doc_id", text: str = "text", min_
     return docs.withColumn(text, cleaned(F.col(text), F.col("tq_removed"))).drop("tq_rank", "tq_key")
 
 
+def stretches(units: str) -> Column:
+    """What units in order of their starts cover, each place once."""
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = []
+            for units in batch.to_pylist():
+                out: list[dict] = []
+                for u in units or []:
+                    if out and u["start"] <= out[-1]["end"]:
+                        out[-1]["end"] = max(out[-1]["end"], u["end"])
+                    else:
+                        out.append({"start": u["start"], "end": u["end"]})
+                rows.append(out)
+            yield pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return merged(units)
+
+
 def op5_unitdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document: its units, how many are removed, their code points, and their places."""
-    found = by_document(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    pieces = F.col("removed")
+    """For each document: its units, how many are removed, the code points that these cover, and the stretches."""
+    found = by_document(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("stretches", stretches("removed"))
+    pieces, covered = F.col("removed"), F.col("stretches")
     return found.select(
         F.col("rank").alias("doc_id"),
         "n_units",
         F.when(pieces.isNull(), 0).otherwise(F.size(pieces)).cast("long").alias("n_removed"),
-        F.coalesce(F.aggregate(pieces, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]), F.lit(0).cast("long")).alias("removed_chars"),
-        F.coalesce(F.array_join(F.transform(pieces, lambda x: F.concat_ws(":", x["start"], x["end"])), ","), F.lit("")).alias("removed"),
+        F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]), F.lit(0).cast("long")).alias("removed_chars"),
+        F.coalesce(F.array_join(F.transform(covered, lambda x: F.concat_ws(":", x["start"], x["end"])), ","), F.lit("")).alias("removed"),
         F.coalesce(F.array_sort(F.array_distinct(F.transform(pieces, lambda x: x["first_rank"]))), F.array().cast("array<long>")).alias("first_doc_ids"),
     )
 
