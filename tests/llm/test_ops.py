@@ -349,6 +349,16 @@ def test_pii_contexts_find_new_identifiers(spark):
     assert all(got[100 + i] == "context:17:28" for i in range(4)) and got[200] == got[400] == "" and got[0] == "email:16:33"
 
 
+def test_pii_contexts_with_copies_and_more_new_identifiers_than_known(spark):
+    rows = [(i, f"hello memberid: user{i}@example.com and the end", "a") for i in range(6)] + [(10 + i, "hello memberid: user0@example.com and the end", "a") for i in range(30)]
+    rows += [(50 + i, "filler memberid: XK-4471-77 then the word", "a") for i in range(20)]
+    rows += [(100 + i, f"my account a{i}@example.com here", "a") for i in range(10)] + [(120 + i, f"an account QQ-{i}88123 here", "a") for i in range(10)]
+    rows += [(200 + i, f"reach b{i}@example.com or reach us all and reach them", "a") for i in range(8)] + [(220, "reach ZZ-5566778 now", "a")]
+    rows += [(300 + i, f"host 10.0.0.{i}@example.com there", "a") for i in range(5)] + [(310 + i, f"host of all {i} of them", "a") for i in range(4)] + [(320, "host YY-5566778 now", "a")]
+    got = {r.doc_id: r.s for r in pii.personal_data(docs_of(spark, rows)).select("doc_id", pii.spans_text(F.col("spans")).alias("s")).collect()}
+    assert all(got[50 + i] == "context:17:27" for i in range(20)) and all(got[120 + i] == "context:11:20" for i in range(10)) and got[220] == got[320] == ""
+
+
 # ---- 8 mixing ----
 
 

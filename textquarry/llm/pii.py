@@ -6,9 +6,11 @@ numbers and phone numbers. They are the seeds of a bootstrap over all documents:
 1. An instance is a string: a seed, or an identifier-like token (MIN_LENGTH
    characters with MIN_DIGITS digits) outside all base spans. Its pattern is the
    word before it.
-2. A pattern's confidence is the sum of its different instances' scores over
-   the number of times that the word occurs before anything, in all documents;
-   it needs MIN_SUPPORT different instances that are believed already.
+2. A pattern's confidence is the sum of the scores over all occurrences of its
+   instances, over the number of times that the word occurs before anything, in
+   all documents, less its occurrences before instances that are not believed
+   yet. So copies of a text count alike on both sides. It needs MIN_SUPPORT
+   different instances that are believed already.
 3. An instance's score is 1 less the product of (1 - confidence) over its kept
    patterns; from MIN_SCORE on it is believed, and counts in the next round.
 
@@ -86,11 +88,12 @@ def base(text: Column) -> Column:
 
 
 def words_before(text: Column, spans: Column) -> Column:
-    """(word, value) of each span with a word before it."""
-    def one(s):
+    """(word, value, n) of each span with a word before it. n is 0 where the span before starts at the same place, which is one occurrence."""
+    def one(s, i):
         at = F.greatest(s["start"] - BEFORE, F.lit(0))
         word = F.regexp_extract(F.substring(text, at + 1, s["start"] - at), r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D\"'(\[<]*$", 1)
-        return F.struct(F.lower(word).alias("word"), s["value"].alias("value"))
+        again = F.coalesce(F.get(spans, i - 1)["start"] == s["start"], F.lit(False))
+        return F.struct(F.lower(word).alias("word"), s["value"].alias("value"), F.when(again, 0).otherwise(1).alias("n"))
 
     return F.filter(F.transform(spans, one), lambda x: x["word"] != "")
 
@@ -124,19 +127,20 @@ def occurrences(texts: DataFrame, text: str, words: DataFrame) -> DataFrame:
 
 
 def believed(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
-    """(value) of the instances that the graph of patterns and instances supports. found: (word, value, seed)."""
-    graph = written(found.groupBy("word", "value").agg(F.max("seed").alias("seed")), "graph")
+    """(value) of the instances that the graph of patterns and instances supports. found: (word, value, seed, n)."""
+    graph = written(found.groupBy("word", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")), "graph")
     scores = graph.where("seed").select("value").distinct().withColumn("score", F.lit(1.0))
     totals = graph.select("word", F.lit(0).cast("long").alias("total")).limit(0)
     for _ in range(ROUNDS):
         own = graph.join(scores, "value", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        patterns = own.groupBy("word").agg(F.sum("score").alias("good"), F.count(F.when(F.col("score") >= MIN_SCORE, 1)).alias("support"))
+        known = F.col("score") >= MIN_SCORE
+        patterns = own.groupBy("word").agg(F.sum(F.col("score") * F.col("n")).alias("good"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("open"), F.count(F.when(known, 1)).alias("support"))
         patterns = written(patterns.where(F.col("support") >= MIN_SUPPORT), "patterns")
         fresh = patterns.join(totals, "word", "left_anti").select("word")
         if not fresh.isEmpty():
             totals = totals.unionAll(written(occurrences(texts, text, fresh), "totals"))
-        patterns = patterns.join(totals, "word").where(F.col("good") >= MIN_CONFIDENCE * F.col("total"))
-        patterns = patterns.select("word", F.least(F.col("good") / F.col("total"), F.lit(0.999)).alias("confidence"))
+        patterns = patterns.join(totals, "word").withColumn("decided", F.col("total") - F.col("open")).where(F.col("good") >= MIN_CONFIDENCE * F.col("decided"))
+        patterns = patterns.select("word", F.least(F.col("good") / F.col("decided"), F.lit(0.999)).alias("confidence"))
         reached = graph.join(patterns, "word").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         scores = written(reached.unionAll(scores).groupBy("value").agg(F.max("score").alias("score")).where(F.col("score") >= MIN_SCORE), "scores")
     return scores.join(graph.where("seed").select("value").distinct(), "value", "left_anti").select("value")
@@ -150,9 +154,9 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                        words_before(F.col("tq_text"), F.col("base")).alias("seeds"),
                        F.when(F.col("tq_text").rlike("[0-9]"), tokens(F.col("tq_text"), F.col("base"))).alias("tokens"))
     rows = written(rows, "pii")
-    seeds = rows.select(F.explode("seeds").alias("x")).select("x.word", "x.value", F.lit(True).alias("seed"))
+    seeds = rows.select(F.explode("seeds").alias("x")).select("x.word", "x.value", F.lit(True).alias("seed"), "x.n")
     every = rows.select("doc_id", "key", F.explode("tokens").alias("x")).select("doc_id", "key", "x.*")
-    new = believed(seeds.unionAll(every.select("word", "value", F.lit(False).alias("seed"))), docs, text)
+    new = believed(seeds.unionAll(every.select("word", "value", F.lit(False).alias("seed"), F.lit(1).alias("n"))), docs, text)
     more = every.join(new, "value").select("doc_id", "key", F.struct("start", "end", F.lit(4).alias("kind"), "value").alias("s")).distinct()
     # No more than a document's own tokens.
     more = more.groupBy("doc_id", "key").agg(F.collect_list("s").alias("more")).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "more")
