@@ -133,6 +133,13 @@ def test_secrets_in_context_and_odd_rows(spark, odd):
     assert ids(secrets.secrets(odd, out="tq_s", redact=True)) == ids(odd)
 
 
+def test_secrets_of_letters_or_digits_alone(spark):
+    rows = [(1, "pwd: XqZvKjWmPtRb", "a"), (2, "the passphrase is kvqhzxwpljtn", "a"), (3, "login: 839201746552", "a"), (4, "the password is important", "a")]
+    rows += [(10 + i, "what is important is said here", "a") for i in range(6)] + [(20 + i, "the passphrase is kvqhzxwpljtn", "a") for i in range(6)]
+    got = {r.doc_id: r.secrets.spans for r in secrets.secrets(docs_of(spark, rows)).collect()}
+    assert got[1] == "guess:5:17" and got[2] == got[20] == "guess:18:30" and got[3] == "guess:7:19" and got[4] == ""
+
+
 # ---- 3 toxicity ----
 
 

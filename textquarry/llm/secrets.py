@@ -6,6 +6,9 @@ passphrase is ...`) are taken as secrets if guessing them is expensive. The cost
 is the cheapest way to build the value from segments: common words (also in leet
 spelling), dates, repeats, keyboard walks, alphabetic sequences, and brute force
 for the rest. A dynamic programme over the value's positions finds that minimum.
+Common words are WORDS, then the corpus's own: those that stand at least MIN_TIMES
+times outside credential values, MAX_WORDS at most, commonest first. So prose after
+a credential word is cheap, and a copied secret doesn't become a word by its copies.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans.
 Repeated rows are scanned each for itself; a value of any length is scored whole
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read
+from .common import bounded_batches, read, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.A)
@@ -50,6 +53,8 @@ WORDS = (
     "king queen angel lucky happy magic power energy secure security computer internet google linux windows apple orange"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+#: Words of the corpus that are sent to every task, and how often such a word occurs at least.
+MAX_WORDS, MIN_TIMES = 20_000, 5
 LEET = str.maketrans("@4380$5170!", "aaebossltoi")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 NEXT = {(a, b) for r in ROWS for a, b in zip(r, r[1:])} | {(a, b) for up, down in zip(ROWS, ROWS[1:]) for i, a in enumerate(up) for b in down[max(0, i - 1) : i + 1]}
@@ -61,7 +66,7 @@ def _alphabet(c: str) -> int:
     return 10 if "0" <= c <= "9" else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, rank: dict[str, int] = RANK) -> float:
     """log10 of the guesses for the cheapest segmentation.
 
     best[j] is the cost of the first j characters. Brute force continues from
@@ -105,10 +110,10 @@ def guess_cost(value: str) -> float:
         for i in range(max(0, j - LONGEST), j - 2):
             word = low[i:j]
             upper = log10(2) if value[i:j] != word else 0.0
-            if word in RANK:
-                offer(i, log10(RANK[word] + 1) + upper)
-            elif plain[i:j] in RANK:
-                offer(i, log10(RANK[plain[i:j]] + 1) + upper + log10(4))
+            if word in rank:
+                offer(i, log10(rank[word] + 1) + upper)
+            elif plain[i:j] in rank:
+                offer(i, log10(rank[plain[i:j]] + 1) + upper + log10(4))
         for i in ends.get(j, ()):
             offer(i, log10(365 * 120) if j - i > 4 else log10(150))
         for back, kinds in ((walk[j - 1], 47 * 4), (step[j - 1], 72)):
@@ -132,7 +137,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, int]], min_cost: float = MIN_COST) -> list[tuple[int, int, int]]:
+def guessed_spans(text: str, base: list[tuple[int, int, int]], min_cost: float = MIN_COST, rank: dict[str, int] = RANK) -> list[tuple[int, int, int]]:
     """Expensive values in a credential context that no known format covers."""
     low = text.lower()
     if not any(w in low for w in STARTS):
@@ -142,8 +147,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], min_cost: float =
         start, value = m.start(1), m[1].rstrip(".,;:!?)]}")
         end = start + len(value)
         if len(value) >= MIN_VALUE and not any(a < end and start < b for a, b, _ in base):
-            mixed = sum((any(c.isdigit() for c in value), any(c.isalpha() for c in value), any(not c.isalnum() for c in value)))
-            if mixed >= 2 and guess_cost(value) >= min_cost:
+            if guess_cost(value, rank) >= min_cost:
                 out.append((start, end, 3))
     return out
 
@@ -167,25 +171,38 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]
 NAMES = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"]
 
 
-def scanned(texts: list[str | None], redact: bool) -> list[tuple]:
+def scanned(texts: list[str | None], redact: bool, rank: dict[str, int] = RANK) -> list[tuple]:
     rows = []
     for text in texts:
         base = base_spans(text or "")
-        every = base + guessed_spans(text or "", base)
+        every = base + guessed_spans(text or "", base, rank=rank)
         counts = [sum(k == i for _, _, k in base) for i in range(3)]
         rows.append((*counts, hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(every), redacted(text, every) if redact and every else text if redact else None))
     return rows
 
 
+def ranks(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """Ranks of WORDS, and after them of the corpus's common words outside credential values."""
+    plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?i){CONTEXT.pattern}"), F.lit(" "))
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit(r"(?<!\p{L})\p{L}{3,%d}(?!\p{L})" % LONGEST), F.lit(0))).alias("word"))
+    common = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TIMES).orderBy(F.desc("n"), "word").limit(MAX_WORDS)
+    out = dict(RANK)
+    # Written first, so that the tasks' commonest words meet in a task and not on the driver.
+    for row in sorted(written(common, "secret-words").collect(), key=lambda x: (-x.n, x.word)):
+        out.setdefault(row.word, len(out) + 1)
+    return out
+
+
 def secrets(docs: DataFrame, text: str = "text", out: str = "secrets", redact: bool = False) -> DataFrame:
     """docs with a struct column `out`: counts, spans and, if asked for, the text with its secrets replaced."""
     bounded_batches(docs.sparkSession)
+    rank = ranks(docs, text)
     types = [pa.int64()] * 3 + [pa.string()] * 3
 
     @F.arrow_udf("struct<n_assign:long,n_access:long,n_hex:long,base_sha256:string,spans:string,redacted:string>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            columns = list(zip(*scanned(batch.to_pylist(), redact))) or [()] * 6
+            columns = list(zip(*scanned(batch.to_pylist(), redact, rank))) or [()] * 6
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], NAMES)
 
     return docs.withColumn(out, scan(docs[text]))
