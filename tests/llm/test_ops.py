@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textquarry.llm import decontam, graph, mixing, neardup, pii, pitmanyor, quality, secrets, toxicity, unitdedup, warc
-from textquarry.llm.common import written
+from textquarry.llm.common import Scratch, shared_dir, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -218,6 +219,37 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == components_by_rule(rows)
 
 
+def test_near_duplicates_in_small_fragments_and_by_entries(spark, monkeypatch):
+    """The result doesn't depend on how blocks are cut, and nothing but tables that the result reads is left."""
+    rng = random.Random(16)
+    texts = []
+    for _ in range(4):
+        seed = words(rng, 60).split()
+        for _ in range(25):
+            w = list(seed)
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(30)}"
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    docs, want = docs_of(spark, [(i, t, "a") for i, t in rows]), components_by_rule(rows)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    for large in (1, 40):
+        monkeypatch.setattr(neardup, "FRAGMENT", 7)
+        monkeypatch.setattr(neardup, "LARGE", large)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()} == want
+    folder = shared_dir(spark).removeprefix("file://")
+    left = [x for x in os.listdir(folder) if x.split("-")[0] in ("sets", "entries", "members", "open", "joined", "near", "hub", "block")]
+    assert left == []
+
+
+def test_block_counts_are_exact():
+    rng = random.Random(17)
+    for _ in range(30):
+        sets = [neardup.np.array(sorted(rng.sample(range(60), rng.randrange(1, 40))), "uint64") for _ in range(9)]
+        got = neardup.alike(sets, neardup.np.arange(4), neardup.np.arange(4, 9))
+        assert got.tolist() == [[100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b)) for b in sets[4:]] for a in sets[:4]]
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     got = neardup.near_duplicates(odd)
     assert ids(got) == ids(odd)
@@ -228,7 +260,9 @@ def test_near_duplicates_odd_rows(spark, odd):
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(90)] + [(500, x) for x in range(501, 600)] + [(7, 7)]
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark) as temp:
+        got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), temp).collect()}
+        assert graph.components(spark.createDataFrame([], "a long, b long"), temp).count() == 0
     parent = {x: x for e in edges for x in e}
 
     def root(x):
@@ -239,7 +273,6 @@ def test_components(spark):
     for a, b in edges:
         parent[max(root(a), root(b))] = min(root(a), root(b))
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_signature_distance_guarantee():

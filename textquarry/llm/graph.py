@@ -5,32 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, settings
 
 
-def components(edges: DataFrame, turns: int | None = None, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, temp: Scratch, name: str = "components") -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node that it reaches.
 
     Large and small stars take turns: each node's larger, then smaller
-    neighbours are hung on the smallest one, until nothing moves. Every round is
+    neighbours are hung on the smallest one, until nothing moves. Every turn is
     two aggregations with partial sums and two joins, and is written, so that
-    lineage stays short; rounds grow with the logarithm of the longest path.
-    With `turns` it stops after so many rounds: a node then has some smaller node
-    that it reaches, and nodes of one component may have different ones.
+    lineage stays short; turns grow with the logarithm of the longest path. A node
+    with very many neighbours is one large key of the joins, which adaptive
+    execution is told to split even where that costs another shuffle. The result reads a table of temp.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = edges if turns else written(edges, name)
-    before, left = None, turns
-    while left is None or left > 0:
+    spark = edges.sparkSession
+    edges = temp.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
+    before = None
+    while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, name)
-        if left is not None:
-            left -= 1
-            continue
+        with settings(spark, {"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}):
+            edges = temp.written(small, name)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

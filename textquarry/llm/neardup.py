@@ -12,29 +12,26 @@ every choice of ERRORS values left out, and signatures that agree in an entry ar
 candidates: no pair within that distance is missed. At a similarity of 0.75
 another entry agrees anyway in all but 3 of 10,000 pairs.
 
-Candidates get a finer sketch: one bit from each of 64 * SKETCH more hash functions.
-Pairs that differ in more than SKETCH_FARTHEST bits, 4.5 standard deviations above
-what a similarity of 0.75 leads to, aren't compared in full.
-
-Candidates are handled in rounds so that a group of n alike classes costs n
-comparisons of full sets a round, not n * n. In each of the first ROUNDS every
-class meets one hub of some of its entries, drawn by a digest, and only the
-nearest hub outside its component is compared in full; confirmed links are joined,
-not always completely. After these rounds all classes that share an entry across
-different components meet; pairs within one component can't change the result. So the components are those of all confirmed pairs, whatever ROUNDS is.
-
-What a class shares with others is bounded beforehand: of the classes still to
-be compared, count for each the shingles that no other one has. Two sets of n and
-m shingles with u and v such ones share at most min(n - u, m - v), which must be
-3/7 of n + m for a similarity of 0.75; pairs below that need no comparison, and
-no link is lost. What is left of a large entry is compared in blocks, which hold
-FRAGMENT classes of either side at most, about.
+Hub rounds: in each of ROUNDS rounds an entry names one hub, drawn by a digest of
+its component, and a class is compared in full with one hub alone, the one that
+most of its entries name. So a group of n alike classes costs n comparisons a
+round, not n * n, and mostly becomes one component.
+
+Blocks: entries in which different components still meet are left over. The
+classes that such entries connect are a neighbourhood, and all of them are
+compared with each other, a block at a time: a class carries its full set once
+into each block, the block counts what every two sets share, and gives back a
+spanning forest of the components that it joins, never pairs. So rows stay in
+proportion to the classes. A neighbourhood that fills more than LARGE fragments is
+a chain of loose groups; it is compared entry by entry instead, which covers the same
+candidates. Either way every two classes that share an entry end up in one
+component if their full sets are alike; what ROUNDS joins before has no influence.
 
 Null, empty and wordless texts have an empty set and link with nothing; rows
 with a null id stay single and are kept, with a null component. Rows with equal
-ids count as one document. Very long texts are shingled whole. Large groups are
-aggregated before they are shuffled or joined by keys that adaptive execution
-can split; nothing but counts comes to the driver.
+ids are one document with the links of all its texts. Very long texts are
+shingled whole. Large groups are aggregated before they are shuffled or joined by
+keys that adaptive execution can split; nothing but counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -48,28 +45,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, written
+from .common import Scratch, bounded_batches, read, written
 from .graph import components
 
 WORDS, PERCENT = 5, 75
 CHUNKS, LANES, BITS, ERRORS = 8, 5, 12, 1
-#: Signatures further apart are not compared in full. At a similarity of 0.75, 10 of 40 values differ, give or take 2.7.
-FARTHEST = 22
-ROUNDS = 3
-#: Members of an entry that one block compares with as many others at most, about.
-FRAGMENT = 1000
-#: Of them, so many meet all others at once.
-STRIP = 64
-SKETCH = 16
-SKETCH_FARTHEST = 176
+ROUNDS = 2
+#: Classes, and shingles of their sets, that a fragment holds at most, about; a block is two fragments.
+FRAGMENT, FRAGMENT_SHINGLES = 1000, 2_000_000
+#: Neighbourhoods of more fragments are compared entry by entry: a class has at most CHUNKS * LANES entries.
+LARGE = CHUNKS * LANES
+#: Columns of the membership matrix that are multiplied at once.
+COLUMNS = 2048
 #: Ids of so many texts are sent to every task at most (16 MB); more are joined by a shuffle.
 MAX_SENT = 2_000_000
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 1 << 63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, CHUNKS * LANES, dtype=np.uint64)
-_A32 = _RANDOM.integers(0, 1 << 31, 64 * SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B32 = _RANDOM.integers(0, 1 << 32, 64 * SKETCH, dtype=np.uint32)
 _C = _RANDOM.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -103,18 +96,7 @@ def signature(h: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(lanes << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS)), axis=1).astype(np.int64)
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """SKETCH numbers: a bit of the least value under each of 64 * SKETCH hash functions."""
-    h = (h >> np.uint64(32)).astype(np.uint32)
-    least = np.full(64 * SKETCH, np.iinfo(np.uint32).max, np.uint32)
-    for i in range(0, len(h), 64):
-        np.minimum(least, (h[i : i + 64, None] * _A32 + _B32).min(0), out=least)
-    bits = (_mixed(least.astype(np.uint64)) >> np.uint64(63)).reshape(SKETCH, 64)
-    return np.bitwise_or.reduce(bits << np.arange(64, dtype=np.uint64), axis=1).astype(np.int64)
-
-
 SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
-BITSET = [f"k{i}" for i in range(SKETCH)]
 
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -141,14 +123,6 @@ def _lanes(value: int) -> int:
     return sum(value << (BITS * i) for i in range(LANES))
 
 
-def bits(a: str, b: str) -> Column:
-    """In how many bits two sketches differ."""
-    out = F.lit(0)
-    for k in BITSET:
-        out += F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}")))
-    return out
-
-
 def _kept(left_out: int) -> Column:
     return F.lit(_lanes((1 << BITS) - 1) & ~(((1 << BITS) - 1) << (BITS * left_out)))
 
@@ -159,68 +133,55 @@ def entries(classes: DataFrame) -> DataFrame:
     return classes.select("node", F.posexplode(F.array(*keys)).alias("slot", "entry"))
 
 
-OPEN = ["entry", "low", "high", "own", "slot", "node", "component", "most", "n", *SIGNATURE, *BITSET]
+def alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the sets in left and right are alike, as a matrix: exact counts of common shingles, by products of membership."""
+    n = np.array([len(x) for x in sets], np.int64)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    common = times > 1  # what only one set has adds nothing
+    row, column = row[common[column]], (np.cumsum(common) - 1)[column[common[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float64)
+    for at in range(0, int(common.sum()), COLUMNS):
+        i, j = np.searchsorted(column, (at, at + COLUMNS))
+        member = np.zeros((len(sets), COLUMNS), np.float32)
+        member[row[i:j], column[i:j] - at] = 1
+        both += member[left] @ member[right].T
+    return 100 * both >= PERCENT * (n[left][:, None] + n[right] - both)
+
+
+def joined_in(component: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """(a, b): the components a that alike sets of left and right join to others, and the smallest, b, of those."""
+    names, label = np.unique(component, return_inverse=True)
+    group = np.arange(len(names))
+    for i, mates in zip(left, alike(sets, left, right)):
+        meet = np.unique(group[label[np.append(right[mates], i)]])
+        if len(meet) > 1:
+            group[np.isin(group, meet)] = meet[0]
+    return [(int(names[k]), int(names[g])) for k, g in enumerate(group) if k != g]
 
 
 def compared(blocks: DataFrame) -> DataFrame:
-    """The pairs (a, b) in each block (entry, low, high) that may be alike: one member of fragment low, one of high, of different components.
-
-    A pair shares many entries; it is given in the first one alone.
-    """
-    low, top = np.uint64(_lanes((1 << BITS - 1) - 1)), np.uint64(_lanes(1 << BITS - 1))
-
-    def within(rows: dict[str, np.ndarray], s: np.ndarray, k: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        left, right = np.flatnonzero(rows["own"] == rows["low"]), np.flatnonzero(rows["own"] == rows["high"])
-        return [strip(rows, s, k, left[i : i + STRIP], right) for i in range(0, len(left), STRIP)]
-
-    def strip(rows: dict[str, np.ndarray], s: np.ndarray, k: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c, n, most = rows["component"], rows["n"], rows["most"]
-        apart = c[left][:, None] < c[right] if rows["low"][0] == rows["high"][0] else c[left][:, None] != c[right]
-        i, j = np.nonzero(apart)
-        a, b = left[i], right[j]
-        for test in (
-            lambda: (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])) & ((100 + PERCENT) * np.minimum(most[a], most[b]) >= PERCENT * (n[a] + n[b])),
-            lambda: np.bitwise_count(k[a] ^ k[b]).sum(1) <= SKETCH_FARTHEST,
-        ):
-            kept = test()
-            a, b = a[kept], b[kept]
-        x = s[a] ^ s[b]
-        lanes = (((x & low) + low) | x) & top
-        differ = np.bitwise_count(lanes)
-        chunk = np.argmax(differ <= ERRORS, axis=1)
-        at = lanes[np.arange(len(a)), chunk]
-        slot = chunk * LANES + np.where(at == 0, 0, np.bitwise_count(np.maximum(at, np.uint64(1)) - np.uint64(1)) // BITS)
-        kept = (differ.sum(1) <= FARTHEST) & (slot == rows["slot"][0])
-        return rows["node"][a[kept]], rows["node"][b[kept]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _and_none(batches):
-            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if table is None or not table.num_rows:
-                continue
-            rows = {c: table.column(c).to_numpy() for c in OPEN}
-            s, k = (np.stack([rows[c] for c in names], axis=1).view(np.uint64) for names in (SIGNATURE, BITSET))
-            new = np.flatnonzero((np.diff(rows["entry"]) != 0) | (np.diff(rows["low"]) != 0) | (np.diff(rows["high"]) != 0)) + 1
-            edges = [0, *new.tolist(), *([table.num_rows] if batch is None else [])]  # the last block may go on in the next batch
-            out = [pair for x, y in zip(edges, edges[1:]) for pair in within({c: v[x:y] for c, v in rows.items()}, s[x:y], k[x:y])]
-            held = table.slice(edges[-1])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1)], ["a", "b"])
-
-    return blocks.select(OPEN).repartition("entry", "low", "high").sortWithinPartitions("entry", "low", "high").mapInArrow(run, "a long, b long")
-
-
-def _and_none(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+    """A spanning forest (a, b) of the components that the blocks (unit, low, high) join: sets of fragment low with those of high."""
+
+    def each(key: tuple, table: pa.Table) -> pa.Table:
+        _, low, high = (k.as_py() for k in key)
+        own, component = (table.column(c).to_numpy() for c in ("own", "component"))
+        pairs = []
+        if len(component) > 1 and (component != component[0]).any():
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+            pairs = joined_in(component, sets, np.flatnonzero(own == low), np.flatnonzero(own == high))
+        return pa.table([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return blocks.groupBy("unit", "low", "high").applyInArrow(each, "a long, b long")
 
 
 class Sets:
     """Full sets of the texts of `nodes`, made once, in the shared folder."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str):
-        nodes = written(nodes, "nodes")
+    def __init__(self, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, temp: Scratch):
+        nodes = temp.written(nodes, "nodes")
         rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("tq_text"))
         rows = rows.join(F.broadcast(nodes) if nodes.count() <= MAX_SENT else nodes, "node")
 
@@ -229,19 +190,13 @@ class Sets:
             for batch in batches:
                 yield pa.array([shingles(t).tobytes() for t in batch.to_pylist()], pa.binary())
 
-        @F.arrow_udf("struct<" + ",".join(f"{k}:long" for k in BITSET) + ">")
-        def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                k = np.array([sketch(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch], np.int64).reshape(len(batch), SKETCH)
-                yield pa.StructArray.from_arrays([pa.array(k[:, i]) for i in range(SKETCH)], BITSET)
-
-        self.sets = written(rows.select("node", packed("tq_text").alias("set")).withColumn("k", sketched("set")), "sets")
+        self.sets = temp.written(rows.select("node", packed("tq_text").alias("set")), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are alike."""
+        """The pairs (node, hub, ...) whose full sets are alike."""
 
         @F.arrow_udf("boolean")
-        def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        def confirm(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             for a, b in batches:
                 out = []
                 for x, y in zip(a, b):
@@ -251,70 +206,68 @@ class Sets:
                 yield pa.array(out, pa.bool_())
 
         side = lambda x: self.sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
-        return written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike("a_set", "b_set")).select("a", "b"), "links")
+        return pairs.join(side("node"), "node").join(side("hub"), "hub").where(confirm("node_set", "hub_set"))
 
 
-    def alone(self, nodes: DataFrame) -> DataFrame:
-        """(node, alone): how many of its shingles no other one of the nodes has."""
+def further_joined(joined: DataFrame, edges: DataFrame, name: str, temp: Scratch) -> DataFrame:
+    """joined (node, component) after edges (a, b) between components."""
+    more = components(edges, temp, name).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    return joined.join(more, "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
 
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for node, packed in zip(batch.column(0), batch.column(1)):
-                    h = np.frombuffer(packed.as_buffer(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node.as_py())), pa.array(h)], ["node", "h"])
 
-        rows = self.sets.join(nodes, "node", "left_semi").select("node", "set").mapInArrow(each, "node long, h long")
-        alone = rows.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
-        alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-        return nodes.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+def across(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """(entry, node, component) of the entries in which different components meet."""
+    split = shared.join(joined, "node")
+    mixed = split.groupBy("entry").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("entry")
+    return split.join(mixed, "entry")
 
 
-def nearest(pairs: DataFrame, about: DataFrame) -> DataFrame:
-    """For each a of the pairs, the b with the nearest sketch, if it is near enough and of a size that allows the similarity."""
-    side = lambda x: about.select(F.col("node").alias(x), F.col("c").alias(f"{x}_c"))
-    fits = 100 * F.least("a_c.n", "b_c.n") >= PERCENT * F.greatest("a_c.n", "b_c.n")
-    far = F.when(fits, bits("a_c", "b_c")).otherwise(64 * SKETCH + 1)
-    best = pairs.join(side("a"), "a").join(side("b"), "b").groupBy("a").agg(F.min(F.struct(far.alias("far"), "b")).alias("best"))
-    return best.where(F.col("best.far") <= SKETCH_FARTHEST).select("a", "best.b")
+def fragments(members: DataFrame, key: str, size: DataFrame) -> DataFrame:
+    """(key, fragments): how many fragments the different nodes of each key fill. size: (node, n)."""
+    filled = F.ceil(F.greatest(F.count(F.lit(1)) / FRAGMENT, F.sum("n") / FRAGMENT_SHINGLES))
+    return members.select(key, "node").distinct().join(size, "node").groupBy(key).agg(filled.alias("fragments"))
+
+
+def connected(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, temp: Scratch) -> DataFrame:
+    """(node, component) of every class that shares an entry with another one. The result reads tables of temp."""
+    every = entries(classes)
+    shared = every.groupBy("entry").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("entry")
+    shared = temp.written(every.join(shared, "entry"), "entries")
+    sets = Sets(docs, shared.select("node").distinct(), doc_id, text, temp)
+    joined = sets.sets.select("node", F.col("node").alias("component")).distinct()
+    for turn in range(ROUNDS):
+        split = shared.join(joined, "node") if turn == 0 else temp.written(across(shared, joined), "open")
+        hubs = split.groupBy("entry").agg(F.min_by(F.struct("component", "node"), F.xxhash64("component", F.lit(turn))).alias("hub"))
+        meet = split.join(hubs, "entry").where(F.col("component") != F.col("hub.component"))
+        named = meet.groupBy("node", "component", "hub").agg(F.count(F.lit(1)).alias("n"))
+        best = named.groupBy("node", "component").agg(F.max_by("hub", F.struct("n", "hub")).alias("best")).select("node", F.col("component").alias("a"), F.col("best.node").alias("hub"), F.col("best.component").alias("b"))
+        joined = temp.written(further_joined(joined, sets.confirmed(best).select("a", "b"), "hub-links", temp), "joined")
+
+    open_ = temp.written(across(shared, joined), "open")
+    # Components that open entries connect are one neighbourhood.
+    least = open_.groupBy("entry").agg(F.min("component").alias("b"))
+    near = components(open_.join(least, "entry").select(F.col("component").alias("a"), "b").distinct(), temp, "near")
+    open_ = open_.join(near.select(F.col("node").alias("component"), F.col("component").alias("near")), "component")
+    size = classes.groupBy("node").agg(F.max("n").alias("n"))
+    filled = temp.written(fragments(open_, "near", size), "filled")
+    loose = F.col("fragments") > LARGE
+    unit = F.struct(loose.alias("loose"), F.when(loose, F.col("entry")).otherwise(F.col("near")).alias("of"))
+    members = temp.written(open_.join(filled, "near").select(unit.alias("unit"), "node", "component").distinct(), "members")
+    # Members of a large unit are dealt to fragments, and each pair of fragments is a block of its own.
+    members = members.join(fragments(members, "unit", size), "unit").withColumn("own", F.pmod(F.xxhash64("node"), "fragments"))
+    members = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fragments") - 1)).alias("other"))
+    blocks = members.select("unit", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component").join(sets.sets, "node")
+    return further_joined(joined, compared(blocks), "block-links", temp)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
     prints = written(fingerprints(docs, doc_id, text), "fingerprints")
     full = prints.where("digest is not null and doc_id is not null")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in SIGNATURE)), "classes")
-    every = entries(classes)
-    shared = every.groupBy("entry").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("entry")
-    shared = written(every.join(shared, "entry"), "entries")
-    sets = Sets(docs, shared.select("node").distinct(), doc_id, text)
-    about = written(classes.join(sets.sets.select("node", "k"), "node").select("node", F.struct("n", *SIGNATURE, "k.*").alias("c")), "about")
-    joined, links = None, None
-    for turn in range(ROUNDS):
-        split = shared.withColumn("component", F.col("node")) if joined is None else shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = split.where(F.pmod(F.col("slot") - 2 * turn, F.lit(LANES)) < 2)  # two entries of each chunk a round
-        hubs = split.groupBy("entry").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "entry", F.lit(turn))).alias("hub"))
-        meet = split.join(hubs, "entry").where(F.col("component") != F.col("hub.component")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-        new = sets.confirmed(nearest(meet, about))
-        links = new if links is None else links.unionAll(new)
-        # A few turns join most of it; what they leave apart is only compared once more.
-        joined = written(components(links, turns=2 if turn + 1 < ROUNDS else 4), "joined")
-
-    split = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    across = split.groupBy("entry").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("entry")
-    open_ = written(split.join(across, "entry"), "open")
-    alone = sets.alone(open_.select("node").distinct())
-    open_ = open_.join(about, "node").join(alone, "node").withColumn("most", F.col("c.n") - F.col("alone"))
-    # A class that can't share enough even with one of its own size, or of the least size allowed, is done.
-    open_ = written(open_.where(100 * F.col("most") >= PERCENT * F.col("c.n")), "open")
-    # Members of a large entry are dealt to fragments, and each pair of fragments is a block of its own.
-    size = open_.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / FRAGMENT).alias("fragments"))
-    open_ = open_.join(size, "entry").withColumn("own", F.pmod(F.xxhash64("node"), "fragments"))
-    blocks = open_.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fragments") - 1)).alias("other"))
-    blocks = blocks.select("entry", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "slot", "node", "component", "most", "c.*")
-    further = compared(blocks)
-    joined = components(links.unionAll(sets.confirmed(further)))
-
-    of = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    with Scratch(docs.sparkSession) as temp:
+        classes = temp.written(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in SIGNATURE)), "classes")
+        joined = connected(docs, classes, doc_id, text, temp)
+        of = written(classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "components")
     linked = full.select("doc_id", "n", "digest").join(of, "digest").select("doc_id", "n", "component_id")
     alone = prints.where("digest is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
