@@ -13,32 +13,41 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm import decontam, mixing, neardup, secrets, toxicity
-from textquarry.llm.common import read, written
+from textquarry.llm.common import Scratch, free, read, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below the threshold."""
-    machine = toxicity.learned(docs, read(spark, sf_dir, "labels"))
-    return toxicity.toxicity(docs, machine, out="tq_score").where(F.col("tq_score") < toxicity.THRESHOLD).select(docs.columns)
+    machine, score = toxicity.learned(docs, read(spark, sf_dir, "labels")), free(docs, "score")
+    return toxicity.toxicity(docs, machine, out=score).where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows with one id, one. Rows without an id stay."""
-    dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    stay = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti")
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return stay.withColumn("tq_row", row).where("tq_row = 1").select(docs.columns).unionAll(docs.where("doc_id is null"))
+    """The document with the smallest id of each group, and rows without an id.
+
+    Rows with one id are one document: it stays or goes with all its texts. Of
+    the one that stays, each different text stays once.
+    """
+    marked = neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept")
+    marked = written(marked, "marked")  # what goes, and ids that repeat
+    single = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    again = docs.join(marked.where("kept").select("doc_id"), "doc_id", "left_semi")
+    number = free(docs, "number")
+    row = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*docs.columns)))
+    return single.unionAll(again.withColumn(number, row).where(F.col(number) == 1).select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return decontam.decontamination(docs, read(spark, sf_dir, "benchmark"), out="tq_found").where("not tq_found.contaminated").select(docs.columns)
+    found = free(docs, "found")
+    return decontam.decontamination(docs, read(spark, sf_dir, "benchmark"), out=found).where(~F.col(f"{found}.contaminated")).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark."""
-    found = secrets.secrets(docs, out="tq_found", redact=True)
-    changed = {"text": F.col("tq_found.redacted"), "n_chars": F.when(F.col("tq_found.spans") != "", F.length("tq_found.redacted")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
+    name = free(docs, "found")
+    found = secrets.secrets(docs, out=name, redact=True)
+    changed = {"text": F.col(f"{name}.redacted"), "n_chars": F.when(F.col(f"{name}.spans") != "", F.length(f"{name}.redacted")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
     return found.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
@@ -59,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        own = Scratch(spark)
+        docs = own.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            before.__exit__()  # the next stage's table is whole
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)
