@@ -247,7 +247,8 @@ def connected(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, temp:
     # Components that open entries connect are one neighbourhood.
     least = open_.groupBy("entry").agg(F.min("component").alias("b"))
     near = components(open_.join(least, "entry").select(F.col("component").alias("a"), "b").distinct(), temp, "near")
-    open_ = open_.join(near.select(F.col("node").alias("component"), F.col("component").alias("near")), "component")
+    # Written, so that nothing after the join keeps a large component's rows together.
+    open_ = temp.written(open_.join(near.select(F.col("node").alias("component"), F.col("component").alias("near")), "component"), "open-near")
     size = classes.groupBy("node").agg(F.max("n").alias("n"))
     filled = temp.written(fragments(open_, "near", size), "filled")
     loose = F.col("fragments") > LARGE
