@@ -1,8 +1,8 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-A token is a word or the end of its text. The word before it chooses one of
-CONTEXTS context restaurants (by digest, so their number doesn't grow); all of
-them share one parent restaurant, whose own parent is uniform over the V known
+A token is a word or the end of its text. The word before it chooses its context
+restaurant, one of CONTEXTS by digest: the common words have one nearly to
+themselves, and rare ones share it. All of them share one parent restaurant, whose own parent is uniform over the V known
 tokens and one unknown. In the context restaurant u a token's customers are its
 occurrences after u in the training texts, its tables are customers of the
 parent restaurant there. The predictive probability is
@@ -28,12 +28,13 @@ it is needed instead of being stored, so a lost executor changes nothing.
 What comes to the driver is totals; what a task holds is a block or a shard.
 
 Null and empty texts have one token, the end. Null ids train (the digest is that
-of the empty text). Repeated rows count as often as they occur. Token digests
-have 59 bits.
+of the empty text). Repeated rows count as often as they occur. Other columns are
+not returned.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,26 +43,30 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, remainder, scratch, written
+from .common import Scratch, bounded_batches, read, remainder, scratch
 from .warc import opened
 
-CONTEXTS = 32
+CONTEXTS = 1 << 16
 SWEEPS, BURN_IN, EXACT, SEED = 4, 1, 64, 11
 STRENGTH = 1.0
 BLOCK_BYTES, SHARD_BYTES = 32 << 20, 24 << 20
 
+CONTEXT_BITS = np.uint64(16)
 LOW = np.uint64(CONTEXTS - 1)
+#: Folders of answers at most; more blocks than that share them.
+MAX_FOLDERS = 20_000
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line end
 
 
 class Block:
-    """The tokens of some texts: key of each (token | context), its text, and whether that trains."""
+    """The tokens of some texts, each with its context, its text, and whether that trains."""
 
     def __init__(self, name: str):
         self.name, self.size = name, 0
         self.ids: list = []
         self.train: list[bool] = []
-        self.parts: list[np.ndarray] = []
+        self.tokens: list[np.ndarray] = []
+        self.contexts: list[np.ndarray] = []
         self.lengths: list[int] = []
 
     def add(self, doc_id, text: str | None, train: bool) -> None:
@@ -70,17 +75,28 @@ class Block:
         h = np.empty(len(words) + 2, np.uint64)
         h[0] = h[-1] = END
         h[1:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        self.parts.append((h[1:] & ~LOW) | ((h[:-1] >> np.uint64(5)) & LOW))
+        self.tokens.append(h[1:])
+        self.contexts.append(h[:-1] >> np.uint64(48))
         self.ids.append(doc_id)
         self.train.append(train)
         self.lengths.append(len(words) + 1)
         self.size += len(data)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different keys in order, the place of each token's key among them, and training counts."""
-        keys, place = np.unique(np.concatenate(self.parts), return_inverse=True)
+    def folder(self, folders: int) -> int:
+        return zlib.crc32(self.name.encode()) % folders
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Different tokens in order; different pairs in order, as keys of a token's place and a context; the place of each token's pair; training counts."""
+        tokens, keys = keyed(np.concatenate(self.tokens), np.concatenate(self.contexts))
+        keys, place = np.unique(keys, return_inverse=True)
         trains = np.repeat(np.array(self.train, bool), self.lengths)
-        return keys, place, np.bincount(place[trains], minlength=len(keys))
+        return tokens, keys, place, np.bincount(place[trains], minlength=len(keys))
+
+
+def keyed(tokens: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different tokens in order, and a key for each pair: the token's place among them, then the context."""
+    different, place = np.unique(tokens, return_inverse=True)
+    return different, (place.astype(np.uint64) << CONTEXT_BITS) | contexts
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -110,7 +126,7 @@ def shard_count(docs: DataFrame) -> int:
 
 def starts(keys: np.ndarray) -> np.ndarray:
     """Where each different token begins among keys in order."""
-    return np.flatnonzero(np.concatenate([[True], (keys[1:] & ~LOW) != (keys[:-1] & ~LOW)])) if len(keys) else np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], (keys[1:] >> CONTEXT_BITS) != (keys[:-1] >> CONTEXT_BITS)])) if len(keys) else np.zeros(0, np.int64)
 
 
 def seated(customers: np.ndarray, attraction: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -136,8 +152,8 @@ def seated(customers: np.ndarray, attraction: np.ndarray, discount: float, rng:
 class Shard:
     """Merged counts of a range of tokens, and their seating."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, number: int):
-        self.keys, self.counts, self.number = keys, counts, number
+    def __init__(self, tokens: np.ndarray, keys: np.ndarray, counts: np.ndarray, number: int):
+        self.tokens, self.keys, self.counts, self.number = tokens, keys, counts, number
         self.first = starts(keys)
         self.token = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(keys))))
         self.context = (keys & LOW).astype(np.int64)
@@ -168,7 +184,10 @@ def _ints(rows: list, kind) -> np.ndarray:
 
 
 def _shard(row: dict) -> Shard:
-    return Shard(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64), row["shard"])
+    return Shard(np.frombuffer(row["tokens"], np.uint64), np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64), row["shard"])
+
+
+NOTHING = Shard(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
 
 
 REQUEST = "shard int, block string, tokens binary, each binary, contexts binary, counts binary"
@@ -180,45 +199,48 @@ def requests(docs: DataFrame, shards: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            keys, _, counts = block.pairs()
-            edges = np.append(np.searchsorted(keys, np.arange(shards, dtype=np.uint64) << shift), len(keys))
+            tokens, keys, _, counts = block.pairs()
+            at = np.append(starts(keys), len(keys))
+            edges = np.append(np.searchsorted(tokens, np.arange(shards, dtype=np.uint64) << shift), len(tokens))
             rows = []
-            for i in range(shards):
-                own = keys[edges[i] : edges[i + 1]]
-                if len(own):
-                    at = starts(own)
-                    rows.append((i, block.name, own[at].tobytes(), np.diff(np.append(at, len(own))).astype(np.uint8).tobytes(), (own & LOW).astype(np.uint8).tobytes(), counts[edges[i] : edges[i + 1]].astype(np.uint32).tobytes()))
+            for i, (a, b) in enumerate(zip(edges, edges[1:])):
+                if a < b:
+                    own = slice(at[a], at[b])
+                    rows.append((i, block.name, tokens[a:b].tobytes(), np.diff(at[a : b + 1]).astype(np.uint32).tobytes(), (keys[own] & LOW).astype(np.uint16).tobytes(), counts[own].astype(np.uint32).tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.string(), *[pa.binary()] * 4])], [x.split()[0] for x in REQUEST.split(", ")])
 
     return docs.mapInArrow(cut, REQUEST)
 
 
-def keys_of(row: dict) -> np.ndarray:
-    tokens = np.repeat(np.frombuffer(row["tokens"], np.uint64) & ~LOW, np.frombuffer(row["each"], np.uint8))
-    return tokens | np.frombuffer(row["contexts"], np.uint8).astype(np.uint64)
+def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Token and context of each pair that a block asks for."""
+    tokens = np.repeat(np.frombuffer(row["tokens"], np.uint64), np.frombuffer(row["each"], np.uint32))
+    return tokens, np.frombuffer(row["contexts"], np.uint16).astype(np.uint64)
 
 
-MERGED = "shard int, keys binary, counts binary, types long, customers array<long>, pairs array<long>, once array<long>, twice array<long>"
+MERGED = "shard int, tokens binary, keys binary, counts binary, types long, customers array<long>, pairs array<long>, once array<long>, twice array<long>"
 
 
 def merged(asked: DataFrame) -> DataFrame:
     """A row for each shard: its keys that occur in training, and what it adds to the totals."""
     names = [x.split()[0] for x in MERGED.split(", ")]
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), *[pa.list_(pa.int64())] * 4]
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        keys, counts = [], []
+        tokens, contexts, counts = [], [], []
         for row in table.select(["tokens", "each", "contexts", "counts"]).to_pylist():
             n = np.frombuffer(row["counts"], np.uint32)
-            keys.append(keys_of(row)[n > 0])
+            for to, part in zip((tokens, contexts), pairs_of(row)):
+                to.append(part[n > 0])
             counts.append(n[n > 0])
-        keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+        tokens, keys = keyed(np.concatenate(tokens), np.concatenate(contexts))
+        keys, place = np.unique(keys, return_inverse=True)
         counts = np.bincount(place, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
-        s = Shard(keys, counts, key[0].as_py())
+        s = Shard(tokens, keys, counts, key[0].as_py())
         per = lambda x=None: np.bincount(s.context, weights=x, minlength=CONTEXTS).astype(np.int64).tolist()
         kinds_up = np.add.reduceat(np.ones(len(keys), np.int64), s.first) if len(keys) else np.zeros(0, np.int64)
-        row = (s.number, keys.tobytes(), counts.tobytes(), len(s.first), per(counts), per(), [int((counts == 1).sum()), int((kinds_up == 1).sum())], [int((counts == 2).sum()), int((kinds_up == 2).sum())])
+        row = (s.number, tokens.tobytes(), keys.tobytes(), counts.tobytes(), len(s.first), per(counts), per(), [int((counts == 1).sum()), int((kinds_up == 1).sum())], [int((counts == 2).sum()), int((kinds_up == 2).sum())])
         return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names)
 
     return asked.groupBy("shard").applyInArrow(merge, MERGED)
@@ -226,8 +248,9 @@ def merged(asked: DataFrame) -> DataFrame:
 
 def _sums(df: DataFrame, column: str) -> np.ndarray:
     """Sums by place of the arrays of all shards."""
-    rows = df.select(F.posexplode(column)).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
-    return np.array([r.n for r in rows], np.float64)
+    # As many sums as there are contexts at most.
+    table = df.select(F.posexplode(column)).groupBy("pos").agg(F.sum("col").alias("n")).toArrow().sort_by("pos")
+    return table.column("n").to_numpy().astype(np.float64)
 
 
 def fitted(shards: DataFrame) -> dict:
@@ -248,7 +271,7 @@ def fitted(shards: DataFrame) -> dict:
                 yield pa.RecordBatch.from_pydict({"tables": pa.array([sums.tolist()], pa.list_(pa.int64()))})
 
     for _ in range(SWEEPS if types else 0):
-        sums = _sums(shards.select("shard", "keys", "counts").mapInArrow(swept, "tables array<long>"), "tables")
+        sums = _sums(shards.select("shard", "tokens", "keys", "counts").mapInArrow(swept, "tables array<long>"), "tables")
         model["totals"].append((sums[:CONTEXTS], float(sums[CONTEXTS])))
     return model
 
@@ -260,8 +283,7 @@ def answers(asked: DataFrame, shards: DataFrame, model: dict) -> DataFrame:
     """For each block and shard: log10 of the averaged probability of each pair asked for, and the count of each token."""
     def answer(key: tuple, ask: pa.Table, own: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = own.to_pylist()
-        s = _shard(rows[0]) if rows else Shard(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
-        tokens = s.keys[s.first] & ~LOW if len(s.keys) else s.keys
+        s = _shard(rows[0]) if rows else NOTHING
         total = np.add.reduceat(s.counts, s.first) if len(s.keys) else s.counts
         samples = []
         for k, (t, up, tables) in enumerate(s.sampled(model, SWEEPS)):
@@ -269,21 +291,24 @@ def answers(asked: DataFrame, shards: DataFrame, model: dict) -> DataFrame:
                 samples.append((k, t, parent_probability(model, k, up, tables)))
         room = STRENGTH + model["customers"]
         for row in ask.select(["block", "tokens", "each", "contexts"]).to_pylist():
-            keys = keys_of(row)
-            context, token = (keys & LOW).astype(np.int64), keys & ~LOW
+            token, context = pairs_of(row)
             if len(s.keys):
-                i, j = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1), np.minimum(np.searchsorted(s.keys, keys), len(s.keys) - 1)
-                known, seen = tokens[i] == token, s.keys[j] == keys
-            p = np.zeros(len(keys))
+                i = np.minimum(np.searchsorted(s.tokens, token), len(s.tokens) - 1)
+                known = s.tokens[i] == token
+                keys = (i.astype(np.uint64) << CONTEXT_BITS) | context
+                j = np.minimum(np.searchsorted(s.keys, keys), len(s.keys) - 1)
+                seen = known & (s.keys[j] == keys)
+            context = context.astype(np.int64)
+            p = np.zeros(len(token))
             for k, t, up in samples:
                 nothing = float(parent_probability(model, k, np.zeros(1), np.zeros(1))[0])
-                above = np.where(known, up[i], nothing) if len(s.keys) else np.full(len(keys), nothing)
+                above = np.where(known, up[i], nothing) if len(s.keys) else np.full(len(token), nothing)
                 here = np.where(seen, s.counts[j] - model["d1"] * t[j], 0.0) if len(s.keys) else 0.0
                 p += (here + (STRENGTH + model["d1"] * model["totals"][k + 1][0][context]) * above) / room[context]
-            asked_tokens = np.frombuffer(row["tokens"], np.uint64) & ~LOW
+            asked_tokens = np.frombuffer(row["tokens"], np.uint64)
             if len(s.keys):
-                i = np.minimum(np.searchsorted(tokens, asked_tokens), len(tokens) - 1)
-                count = np.where(tokens[i] == asked_tokens, total[i], 0)
+                i = np.minimum(np.searchsorted(s.tokens, asked_tokens), len(s.tokens) - 1)
+                count = np.where(s.tokens[i] == asked_tokens, total[i], 0)
             else:
                 count = np.zeros(len(asked_tokens), np.int64)
             out = [[row["block"]], [key[0].as_py()], [np.log10(p / len(samples)).astype(np.float32).tobytes()], [count.astype(np.int64).tobytes()]]
@@ -293,7 +318,7 @@ def answers(asked: DataFrame, shards: DataFrame, model: dict) -> DataFrame:
         found = list(answer(key, ask, own))
         return pa.Table.from_batches(found) if found else pa.table({"block": pa.array([], pa.string()), "shard": pa.array([], pa.int32()), "scores": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
 
-    return asked.select("shard", "block", "tokens", "each", "contexts").groupBy("shard").cogroup(shards.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(whole, ANSWER)
+    return asked.select("shard", "block", "tokens", "each", "contexts").groupBy("shard").cogroup(shards.select("shard", "tokens", "keys", "counts").groupBy("shard")).applyInArrow(whole, ANSWER)
 
 
 SCORED = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -305,30 +330,31 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     bounded_batches(spark)
     rows = source(docs, doc_id, text)
     shards = shard_count(docs.select(doc_id, text))
-    asked = written(requests(rows, shards), "lm-asked")
-    state = written(merged(asked), "lm-shards")
-    model = fitted(state)
     folder = scratch(spark, "lm-answers")
-    # A folder for each block, which its task opens again when it scores the texts.
-    answers(asked, state, model).repartition("block").write.partitionBy("block").parquet(folder)
+    with Scratch(spark) as temp:
+        asked = temp.written(requests(rows, shards), "lm-asked")
+        state = temp.written(merged(asked), "lm-shards")
+        model = fitted(state)
+        # Each block's answers lie in one folder, in order of blocks, where its task finds them again when it scores the texts.
+        folders = min(MAX_FOLDERS, max(1, asked.select("block").distinct().count()))
+        found = answers(asked, state, model).withColumn("folder", F.pmod(F.crc32(F.col("block").cast("binary")), F.lit(folders)))
+        found.repartition("folder").sortWithinPartitions("folder", "block").write.option("parquet.block.size", 8 << 20).option("compression", "zstd").partitionBy("folder").parquet(folder)
     n, v = float(model["customers"].sum()), model["types"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
+        from pyarrow import fs
 
         files, top = opened(folder)
         names = ["doc_id", *(x.split()[0] for x in SCORED.split(", "))]
         for block in blocks(batches):
-            from pyarrow import fs
-
             parts = {}
-            for f in files.get_file_info(fs.FileSelector(f"{top}/block={block.name}")):
+            for f in files.get_file_info(fs.FileSelector(f"{top}/folder={block.folder(folders)}")):
                 if f.base_name.endswith(".parquet"):
-                    with files.open_input_file(f.path) as file:
-                        for r in pq.ParquetFile(file).read(["shard", "scores", "counts"]).to_pylist():
-                            parts[r["shard"]] = r
+                    table = pq.read_table(f.path, filesystem=files, columns=["shard", "scores", "counts"], filters=[("block", "=", block.name)], partitioning=None)
+                    parts.update((r["shard"], r) for r in table.to_pylist())
             order = [parts[k] for k in sorted(parts)]
-            keys, place, _ = block.pairs()
+            _, keys, place, _ = block.pairs()
             of_pair = _ints([r["scores"] for r in order], np.float32).astype(np.float64)
             at = starts(keys)
             count = np.repeat(_ints([r["counts"] for r in order], np.int64), np.diff(np.append(at, len(keys))))
