@@ -9,13 +9,16 @@ offset in its window fixes where the window would have to begin (positional
 bound), which must lie inside the text with all its words (length bound); what
 is left is compared word by word. A word in any occurrence of a window is hit.
 
-The benchmark is a stated query set: its index goes to all tasks in blocks of at
-most BLOCK_WORDS words of windows, each block a pass over the texts, so that no
-broadcast grows with the benchmark. Documents never meet each other.
+The benchmark is a stated query set. Its windows are made and grouped in Spark and
+dealt to blocks of about BLOCK_WINDOWS by a digest; the driver holds one block at a
+time, and tasks look it up by the first and then the second word of its prefixes.
+Each block is a pass over the texts, so no broadcast grows with the benchmark.
+Documents never meet each other.
 
 Null and empty texts have no words and hit nothing; null or wordless items have
 no windows. Repeated rows are looked up each for itself; items with equal texts
-are all reported. Items with a null id mark words but are not listed.
+are all reported. Items with a null id mark words but are not listed. A column of
+docs named like the output stays, and the output gets underscores.
 """
 
 from __future__ import annotations
@@ -29,28 +32,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read
+from .common import Scratch, bounded_batches, free, read
 
 WINDOW, SHINGLE = 10, 2
-BLOCK_WORDS = 2_000_000
+#: Windows of a block, about: 10 words each.
+BLOCK_WINDOWS = 200_000
 SEPARATE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-Windows = dict[tuple[bytes, ...], set[str | None]]
+Windows = dict[tuple[bytes, ...], set[str]]
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(SEPARATE).split()
 
 
-def windows_of(items: list[tuple[object, str | None]]) -> Windows:
-    """The items of each different window."""
-    out: Windows = {}
-    for item, text in items:
-        w = words_of(text)
-        if w:
-            for i in range(max(1, len(w) - WINDOW + 1)):
-                out.setdefault(tuple(w[i : i + WINDOW]), set()).add(None if item is None else str(item))
-    return out
+def windows_of(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(window, items): each different window, its words joined by blanks, with the ids of its items."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words_of(text)
+                own = {b" ".join(w[i : i + WINDOW]) for i in range(max(1, len(w) - WINDOW + 1))} if w else ()
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([item] * len(own), pa.string())], ["window", "item"])
+
+    rows = benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).mapInArrow(cut, "window binary, item string")
+    return rows.groupBy("window").agg(F.collect_set("item").alias("items"))  # null ids are no items
 
 
 def shingles_of(window: tuple[bytes, ...]) -> list[tuple[bytes, ...]]:
@@ -78,95 +85,81 @@ def frequencies(docs: DataFrame, text: str, shingles: set[tuple[bytes, ...]]) ->
 
 
 class Index:
-    """Windows by their rarest shingle: for its first word, the rest of the shingle; for that, (offset, window, items)."""
+    """Windows by the words of their rarest shingle: (offset, window, items) under its first and second word, or under a single one."""
 
     def __init__(self, windows: Windows, counts: Counter):
-        self.by: dict[bytes, dict[tuple[bytes, ...], list]] = {}
+        self.single: dict[bytes, list] = {}
+        self.by: dict[bytes, dict[bytes, list]] = {}
         for window, items in windows.items():
             at, prefix = min(enumerate(shingles_of(window)), key=lambda s: (counts[s[1]], s[1], s[0]))
-            self.by.setdefault(prefix[0], {}).setdefault(prefix, []).append((at, list(window), items))
+            found = self.single if len(prefix) == 1 else self.by.setdefault(prefix[0], {})
+            found.setdefault(prefix[-1], []).append((at, list(window), items))
 
-    def hits(self, words: list[bytes]) -> tuple[bytearray, set[str | None]]:
+    def hits(self, words: list[bytes]) -> tuple[bytearray, set[str]]:
         """A byte for each word, 1 where hit, and the items."""
         hit, items, n = bytearray(len(words)), set(), len(words)
-        by = self.by
-        for i in [i for i, w in enumerate(words) if w in by]:
-            for prefix, found in by[words[i]].items():
-                if len(prefix) > 1 and tuple(words[i : i + len(prefix)]) != prefix:
-                    continue
-                for at, window, own in found:
-                    start, end = i - at, i - at + len(window)
-                    if start >= 0 and end <= n and words[start:end] == window:
-                        hit[start:end] = b"\x01" * len(window)
-                        items |= own
+        by, single = self.by, self.single
+        found = [(i, own) for i, w in enumerate(words) if w in by and i + 1 < n and (own := by[w].get(words[i + 1]))]
+        if single:
+            found += [(i, single[w]) for i, w in enumerate(words) if w in single]
+        for i, own in found:
+            for at, window, listed in own:
+                start, end = i - at, i - at + len(window)
+                if start >= 0 and end <= n and words[start:end] == window:
+                    hit[start:end] = b"\x01" * len(window)
+                    items |= listed
         return hit, items
 
 
-def blocks(windows: Windows) -> list[Windows]:
-    per = max(1, BLOCK_WORDS // WINDOW)
-    order = sorted(windows)
-    return [{w: windows[w] for w in order[i : i + per]} for i in range(0, len(order), per)]
-
-
 FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def found_in(text: str | None, hit: bytearray, items: set[str | None], n: int) -> tuple:
-    listed = sorted(x for x in items if x is not None)
+def found_in(hit: bytearray, items: set[str]) -> tuple:
+    listed = sorted(items)
     n_hit = hit.count(1)
-    return n, n_hit, len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), n_hit > 0
+    return len(hit), n_hit, len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), n_hit > 0
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "decontamination") -> DataFrame:
-    """docs with a struct column `out` that says what of the benchmark each text contains."""
+    """docs with a struct column `out` (or free(docs, out)) that says what of the benchmark each text contains."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = blocks(windows_of([tuple(r) for r in benchmark.select(item_id, item_text).toLocalIterator()])) or [{}]
-    shipped = []
-    for part in parts:
-        counts = frequencies(docs, text, {s for w in part for s in shingles_of(w)}) if part else Counter()
-        shipped.append(spark.sparkContext.broadcast((part, counts)))
+    out, state = free(docs, out), free(docs, "state")
     types = [pa.int64()] * 3 + [pa.string(), pa.bool_()]
     names = [x.split()[0] for x in FIELDS.split(", ")]
 
-    @F.arrow_udf(f"struct<{FIELDS.replace(', ', ',').replace(' ', ':')}>")
-    def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(*shipped[0].value)
-        for batch in batches:
-            rows = [found_in(t, *index.hits(w), len(w)) for t in batch.to_pylist() for w in (words_of(t),)]
-            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], names)
-
-    if len(parts) == 1:
-        return docs.withColumn(out, whole(docs[text]))
+    def one(block, last: bool):
+        """What is found so far (as bytes and items), or, after the last block, the result."""
 
-    def one(block):
-        @F.arrow_udf("struct<hit:binary,items:array<string>>")
-        def pass_over(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        @F.arrow_udf(f"struct<{FIELDS.replace(', ', ',').replace(' ', ':')}>" if last else "struct<hit:binary,items:array<string>>")
+        def look_up(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             index = Index(*block.value)
             for batch, before in batches:
-                hits, items = [], []
+                rows = []
                 for t, b in zip(batch.to_pylist(), before.to_pylist()):
-                    hit, own = index.hits(words_of(t))
+                    hit, items = index.hits(words_of(t))
                     if b is not None:
                         hit = bytearray(x | y for x, y in zip(hit, b["hit"]))
-                        own |= set(b["items"])
-                    hits.append(bytes(hit))
-                    items.append(sorted(own, key=lambda x: (x is None, x)))
-                yield pa.StructArray.from_arrays([pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["hit", "items"])
-
-        return pass_over
-
-    @F.arrow_udf(f"struct<{FIELDS.replace(', ', ',').replace(' ', ':')}>")
-    def summed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = [found_in(None, bytearray(b["hit"]), set(b["items"]), len(b["hit"])) for b in batch.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], names)
-
-    state = F.lit(None).cast("struct<hit:binary,items:array<string>>")
-    for block in shipped:
-        docs = docs.withColumn("tq_state", one(block)(docs[text], state))
-        state = docs["tq_state"]
-    return docs.withColumn(out, summed(docs["tq_state"])).drop("tq_state")
+                        items |= set(b["items"])
+                    rows.append(found_in(hit, items) if last else (bytes(hit), sorted(items)))
+                kinds = types if last else [pa.binary(), pa.list_(pa.string())]
+                columns = list(zip(*rows)) or [()] * len(kinds)
+                yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names if last else ["hit", "items"])
+
+        return look_up
+
+    with Scratch(spark) as temp:
+        windows = temp.written(windows_of(benchmark, item_id, item_text), "windows")
+        n = max(1, -(-windows.count() // BLOCK_WINDOWS))
+        found = F.lit(None).cast("struct<hit:binary,items:array<string>>")
+        for i in range(n):
+            # One block of a bounded number of windows at a time.
+            part = {tuple(bytes(r.window).split()): set(r.items) for r in windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == i).toLocalIterator()}
+            counts = frequencies(docs, text, {s for w in part for s in shingles_of(w)}) if part else Counter()
+            found = one(spark.sparkContext.broadcast((part, counts)), i == n - 1)(docs[text], found)
+            docs = docs.withColumn(out if i == n - 1 else state, found)
+            found = docs[state] if i < n - 1 else None
+    return docs.drop(state) if n > 1 else docs
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
