@@ -14,7 +14,8 @@ for archives without the field (stamped=False) the decoded header decides.
 
 Null payloads count as empty, null ids are written as an empty id and never
 win over others; rows that share both payload and the largest id are all
-responses. Any number of copies of one payload is counted before it is shuffled.
+responses. Any number of copies of one payload is counted before it is shuffled,
+and payloads are never brought together by digest.
 Paths are opened by pyarrow's file systems; the folder must be shared.
 """
 
@@ -26,16 +27,19 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, scratch
+from .common import Scratch, bounded_batches, read, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 ID = "urn:x-record:"
 SPLIT = 16 << 20
+#: Bytes of archives that a task of the reader goes through.
+TASK_BYTES = 128 << 20
 CHUNK = 1 << 20
 
 
@@ -75,12 +79,19 @@ def write(pages: DataFrame, path: str, rid: str, uri: str, payload: str, least:
     spark = pages.sparkSession
     bounded_batches(spark)
     rows = pages.select(F.col(rid).cast("string").alias("id"), F.col(rid).alias("rank"), F.col(uri).cast("string").alias("uri"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("payload", "utf-8")))
-    sized = rows.where(F.octet_length("payload") >= least) if least else rows
-    copies = sized.groupBy("digest").agg(F.max("rank").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(copies, "digest", "left")
-    revisit = F.col("largest").isNotNull() & (F.octet_length("payload") >= least) & ~F.col("rank").eqNullSafe(F.col("largest"))
-    rows = rows.select("id", "uri", "payload", F.when(revisit, F.col("largest").cast("string")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("payload", "utf-8"))))
+    with Scratch(spark) as temp:
+        # Ids and digests alone find the revisits; payloads meet them by id and digest, which no two different rows share.
+        keys = temp.written(rows.where(F.octet_length("payload") >= least).select("rank", "digest"), "digests")
+        largest = keys.groupBy("digest").agg(F.max("rank").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1 and largest is not null").drop("n")
+        revisits = keys.join(largest, "digest").where(~F.col("rank").eqNullSafe(F.col("largest"))).distinct()
+        revisits = temp.written(revisits.select(F.col("rank").alias("r"), F.col("digest").alias("d"), F.col("largest").cast("string").alias("refers_to")), "revisits")
+        rows = rows.join(revisits, F.col("rank").eqNullSafe(F.col("r")) & (F.col("digest") == F.col("d")), "left").select("id", "uri", "payload", "refers_to")
+        return archived(rows, path, date)
+
+
+def archived(rows: DataFrame, path: str, date: str) -> list[tuple[str, int]]:
+    """Archives of rows (id, uri, payload, refers_to): one of each task."""
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -185,9 +196,12 @@ OUT = "archive string, at long, record_type string, record_id string, target_uri
 def read_back(spark: SparkSession, archives: list[tuple[str, int]], split: int = SPLIT, stamped: bool = True, payload: bool = True) -> DataFrame:
     """A row for each record. Size and digest are those of the full payload; a revisit's come from its headers, and it has no payload."""
     bounded_batches(spark)
-    ranges = [(p, a, min(a + split, n), n) for p, n in archives for a in range(0, n, split)]
-    # A row for each range, and each to a task of its own: at most the archives' size / split of them.
-    tasks = spark.createDataFrame(ranges, "path string, start long, stop long, size long").repartition(max(1, len(ranges)))
+    # A list of archives, no longer than the tasks that wrote them. Ranges are numbered over all archives and found again by number.
+    first = np.concatenate([[0], np.cumsum([-(-n // split) for _, n in archives])]).astype(np.int64)
+    total = int(first[-1])
+    per = max(1, TASK_BYTES // split)  # ranges of a task, fewer where cores would be idle
+    tasks = min(total, max(-(-total // per), 4 * spark.sparkContext.defaultParallelism))
+    shipped = spark.sparkContext.broadcast((archives, first))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in OUT.split(", ")]
@@ -197,7 +211,12 @@ def read_back(spark: SparkSession, archives: list[tuple[str, int]], split: int =
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
         for batch in batches:
-            for path, start, stop, size in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "stop", "size"))):
+            for number in batch.column(0).to_pylist():
+                listed, first = shipped.value
+                k = int(np.searchsorted(first, number, side="right")) - 1
+                path, size = listed[k]
+                start = (number - int(first[k])) * split
+                stop = min(start + split, size)
                 files, at = opened(path)
                 rows, held = [], 0
                 with files.open_input_file(at) as file:
@@ -222,7 +241,7 @@ def read_back(spark: SparkSession, archives: list[tuple[str, int]], split: int =
                 if rows:
                     yield batch_of(rows)
 
-    return tasks.mapInArrow(records, OUT)
+    return spark.range(0, total, 1, max(1, tasks)).mapInArrow(records, OUT)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
