@@ -14,7 +14,8 @@ window. A hot source spreads over all its cells.
 
 Null texts have size 0; null sources are one source, the last. A source whose
 sizes are all 0 has target 0 and takes nothing. Equal rows are ranked each for
-itself. Everything is a function of the rows, so reruns agree.
+itself. Everything is a function of the rows, so reruns agree. The number of cells
+doubles with the table, so that a cell, the one task of a window, stays small.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, read, written
+from .common import WORD, free, read, written
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
-#: Digest cells of each size class.
-CELLS = 64
+#: Digest cells of each size class at least, and rows of the table for each of them: their number doubles with the table.
+CELLS, CELL_ROWS = 64, 1_000_000
 SEED = "mix-1"
 
 
@@ -63,32 +64,42 @@ def targets(by: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame, size: Column, source: str = "source", doc_id: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """docs with tq_size, tq_source_size, tq_target and tq_copies, the times that the mix takes the document."""
+    """docs with tq_size, tq_source_size, tq_target and tq_copies, the times that the mix takes the document.
+
+    The caller's columns travel in one struct, so none can clash with those used here; where
+    docs has a column of an output's name, the output gets underscores.
+    """
+    names = [free(docs, c) for c in ("tq_size", "tq_source_size", "tq_target", "tq_copies")]
+    cells_of = CELLS * (1 << max(0, (docs.count() - 1) // (CELLS * CELL_ROWS)).bit_length())
     bits = F.length(F.bin("tq_size"))
-    docs = docs.withColumns({
-        "tq_size": size,
-        "tq_source": F.coalesce(F.concat(F.lit("a"), F.col(source).cast("string")), F.lit("b")),  # by code point, null last
-        "tq_cell": (F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 4), 16, 10).cast("long") % CELLS).cast("int"),
-    }).withColumn("tq_class", (bits * 8 + F.floor(F.col("tq_size") * 8 / F.pow(F.lit(2.0), bits - 1))).cast("int"))  # eight to a doubling
+    docs = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        size.alias("tq_size"),
+        F.coalesce(F.concat(F.lit("a"), F.col(source).cast("string")), F.lit("b")).alias("tq_source"),  # by code point, null last
+        (F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % cells_of).alias("tq_cell"),
+    ).withColumn("tq_class", (bits * 8 + F.floor(F.col("tq_size") * 8 / F.pow(F.lit(2.0), bits - 1))).cast("int"))  # eight to a doubling
     key = ["tq_source", "tq_class", "tq_cell"]
     # Written, since both the targets and the ranks need it: the texts are read once for it.
     cells = written(docs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("tq_size").alias("words")), "cells")
     goal = targets(cells.groupBy("tq_source").agg(F.sum("words").alias("tq_source_size")))
     before = F.sum("n").over(Window.partitionBy("tq_source").orderBy("tq_class", "tq_cell").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.withColumn("tq_before", F.coalesce(before, F.lit(0))).drop("n", "words").join(goal, "tq_source")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("tq_size", F.col(doc_id).asc_nulls_first()))
-    docs = docs.withColumn("tq_rank", rank).join(cells, key)
+    # Rows that also agree in the last digest are equal in all that is mixed.
+    order = ["tq_size", F.col(f"row.{doc_id}").asc_nulls_first(), F.xxhash64("row")]
+    docs = docs.withColumn("tq_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).join(cells, key)
     each = F.least(F.lit(float(MOST_COPIES)), F.coalesce(F.try_divide("tq_target", "tq_source_size"), F.lit(0.0)))
     offset = _unit(F.concat(F.lit(seed + ":"), F.col("tq_source")))
     upto = F.col("tq_before") + F.col("tq_rank")
     copies = F.least(F.floor(offset + upto * each) - F.floor(offset + (upto - 1) * each), F.lit(MOST_COPIES)).cast("long")
-    return docs.withColumn("tq_copies", copies).drop(*key, "tq_before", "tq_rank")
+    made = (F.col("tq_size"), F.col("tq_source_size"), F.col("tq_target"), copies)
+    return docs.select("row.*", *(c.alias(n) for c, n in zip(made, names)))
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, numbered by tq_copy from 1."""
-    got = mixture(docs, size_of(text), source, doc_id, seed).where("tq_copies > 0")
-    return got.withColumn("tq_copy", F.explode(F.sequence(F.lit(1), F.col("tq_copies").cast("int")))).drop("tq_source_size", "tq_target", "tq_copies")
+    """The mix itself: each document as many times as it is taken, with its tq_size, numbered by tq_copy from 1."""
+    size, copies, number = free(docs, "tq_size"), free(docs, "tq_copies"), free(docs, "tq_copy")
+    got = mixture(docs, size_of(text), source, doc_id, seed).where(F.col(copies) > 0)
+    return got.select(*(f"`{c}`" for c in docs.columns), size, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(number))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +111,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-             coalesce('a' || source, 'b') as s, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 4))::bigint % 64 as cell from documents),
+             coalesce('a' || source, 'b') as s, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % 64 as cell from documents), -- 64 cells up to 64 million rows
 e as (select *, length(bin(size)) * 8 + floor(size * 8 / pow(2.0, length(bin(size)) - 1))::int as class from d),
 t as (select s, sum(size)::bigint as source_size from d group by s),
 n as (select *, ((row_number() over (order by s) - 1) % 3 + 1)::bigint as w, source_size * 3 as cap from t),
