@@ -3,12 +3,13 @@
 Every text gets its base metrics in one pass. A text that passes the base rule
 then goes through the further rules, one after another, until one rejects it:
 metrics that only a later rule needs are not computed for it. The order of the
-rules comes from a bounded sample: at each step the rule that rejects most of
+rules comes from a random sample of bounded size: at each step the rule that rejects most of
 the survivors per second of its own cost goes next. A verdict is a conjunction,
 so the order changes the time and never the result.
 
 Null and empty texts have no words, fail the base rule and are not kept. Rows
-with equal or null ids are judged each for itself; other columns are passed on.
+with equal or null ids are judged each for itself; other columns are passed on, and
+where docs has a column named like the output, the output gets underscores.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read
+from .common import bounded_batches, free, read
 
 MIN_WORDS = 50
 SPACE = b" \t\n\x0b\x0c\r"
@@ -151,9 +152,17 @@ def judged(texts: list[str | None], rules: tuple[Rule, ...]) -> list[tuple]:
 
 
 def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, out: str = "quality") -> DataFrame:
-    """docs with a struct column `out`: the base metrics and the verdict of each text."""
+    """docs with a struct column `out` (or free(docs, out)): the base metrics and the verdict of each text."""
     bounded_batches(docs.sparkSession)
-    cascade = ordered([r[0] for r in docs.select(text).limit(sample).collect()], rules)
+    out = free(docs, out)
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [t for batch in batches for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_pydict({"at": pa.array([rules.index(r) for r in ordered(texts, rules)], pa.int64())})
+
+    # Drawn over the whole table and estimated in one task; only the order comes to the driver.
+    drawn = docs.select(text).orderBy(F.rand(1)).limit(sample).coalesce(1)
+    cascade = tuple(rules[r["at"]] for r in drawn.mapInArrow(estimate, "at long").collect()) or rules  # an empty table has no task
     types = [pa.int64()] * 5 + [pa.bool_()] * 2
     names = [x.split()[0] for x in OUT.split(", ")]
 

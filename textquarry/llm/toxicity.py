@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, remainder, written
+from .common import bounded_batches, free, read, remainder, written
 
 BUCKETS = 1 << 20
 MAX_TRAIN, MAX_TERMS, MIN_Z = 16_000, 1024, 4.0
@@ -144,8 +144,8 @@ def learned(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def toxicity(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with the score of each text. The machine has at most MAX_TERMS terms."""
-    spark = docs.sparkSession
+    """docs with the score of each text as `out` (or free(docs, out)). The machine has at most MAX_TERMS terms."""
+    spark, out = docs.sparkSession, free(docs, out)
     bounded_batches(spark)
     shipped = spark.sparkContext.broadcast((machine.buckets, machine.bias, machine.weights, machine.factors))
 
