@@ -49,7 +49,7 @@ from .warc import opened
 CONTEXTS = 1 << 16
 SWEEPS, BURN_IN, EXACT, SEED = 4, 1, 64, 11
 STRENGTH = 1.0
-BLOCK_BYTES, SHARD_BYTES = 24 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
 
 CONTEXT_BITS = np.uint64(16)
 LOW = np.uint64(CONTEXTS - 1)
@@ -76,7 +76,7 @@ class Block:
         h[0] = h[-1] = END
         h[1:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         self.tokens.append(h[1:])
-        self.contexts.append(h[:-1] >> np.uint64(48))
+        self.contexts.append((h[:-1] >> np.uint64(48)).astype(np.uint16))
         self.ids.append(doc_id)
         self.train.append(train)
         self.lengths.append(len(words) + 1)
@@ -87,7 +87,9 @@ class Block:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Different tokens in order; different pairs in order, as keys of a token's place and a context; the place of each token's pair; training counts."""
-        tokens, keys = keyed(np.concatenate(self.tokens), np.concatenate(self.contexts))
+        tokens, contexts = np.concatenate(self.tokens), np.concatenate(self.contexts)
+        self.tokens, self.contexts = [], []
+        tokens, keys = keyed(tokens, contexts)
         keys, place = np.unique(keys, return_inverse=True)
         trains = np.repeat(np.array(self.train, bool), self.lengths)
         return tokens, keys, place, np.bincount(place[trains], minlength=len(keys))
@@ -96,7 +98,10 @@ class Block:
 def keyed(tokens: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different tokens in order, and a key for each pair: the token's place among them, then the context."""
     different, place = np.unique(tokens, return_inverse=True)
-    return different, (place.astype(np.uint64) << CONTEXT_BITS) | contexts
+    keys = place.view(np.uint64)  # in place, since a block's arrays are most of a worker's memory
+    keys <<= CONTEXT_BITS
+    keys |= contexts
+    return different, keys
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -216,7 +221,7 @@ def requests(docs: DataFrame, shards: int) -> DataFrame:
 def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Token and context of each pair that a block asks for."""
     tokens = np.repeat(np.frombuffer(row["tokens"], np.uint64), np.frombuffer(row["each"], np.uint32))
-    return tokens, np.frombuffer(row["contexts"], np.uint16).astype(np.uint64)
+    return tokens, np.frombuffer(row["contexts"], np.uint16)
 
 
 MERGED = "shard int, tokens binary, keys binary, counts binary, types long, customers array<long>, pairs array<long>, once array<long>, twice array<long>"
@@ -295,7 +300,7 @@ def answers(asked: DataFrame, shards: DataFrame, model: dict) -> DataFrame:
             if len(s.keys):
                 i = np.minimum(np.searchsorted(s.tokens, token), len(s.tokens) - 1)
                 known = s.tokens[i] == token
-                keys = (i.astype(np.uint64) << CONTEXT_BITS) | context
+                keys = (i.astype(np.uint64) << CONTEXT_BITS) | context.astype(np.uint64)
                 j = np.minimum(np.searchsorted(s.keys, keys), len(s.keys) - 1)
                 seen = known & (s.keys[j] == keys)
             context = context.astype(np.int64)
