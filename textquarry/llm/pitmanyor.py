@@ -49,7 +49,7 @@ from .warc import opened
 CONTEXTS = 1 << 16
 SWEEPS, BURN_IN, EXACT, SEED = 4, 1, 64, 11
 STRENGTH = 1.0
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 3 << 20
 
 CONTEXT_BITS = np.uint64(16)
 LOW = np.uint64(CONTEXTS - 1)
