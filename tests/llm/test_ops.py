@@ -460,6 +460,68 @@ def test_pii_contexts_with_copies_and_more_new_identifiers_than_known(spark):
     assert all(got[50 + i] == "context:17:27" for i in range(20)) and all(got[120 + i] == "context:11:20" for i in range(10)) and got[220] == got[320] == ""
 
 
+def contexts_by_rule(texts):
+    """Occurrences (text, place among words) of believed instances, for texts whose words stand one blank apart."""
+    split = [t.split(" ") for t in texts]
+    seed = lambda w: PII[0].fullmatch(w) is not None
+    like = lambda w: len(w) >= 6 and sum(c.isdigit() for c in w) >= 3 and not seed(w)
+    graph, total = collections.Counter(), collections.Counter()
+    for words in split:
+        for i, w in enumerate(words):
+            b, t, a = (words[k] if 0 <= k < len(words) else None for k in (i - 1, i - 2, i + 1))
+            c = words[i + 2] if i + 2 < len(words) else None
+            total.update([("b", w), ("t", b, w), ("a", w), ("s", w, c)])
+            if seed(w) or like(w):
+                graph.update((p, w) for p in (("b", b), ("t", t, b), ("a", a), ("s", b, a)) if None not in p)
+    score = {w: 1.0 for words in split for w in words if seed(w)}
+    while True:
+        good, open_, support = collections.Counter(), collections.Counter(), collections.Counter()
+        for (p, w), n in graph.items():
+            good[p] += n * score.get(w, 0)
+            support[p] += w in score
+            open_[p] += 0 if w in score else n
+        sure = {p: min(good[p] / (total[p] - open_[p]), 0.999) for p in support if support[p] >= 4 and total[p] > open_[p] and good[p] >= 0.6 * (total[p] - open_[p])}
+        new = dict(score)
+        for w in {w for _, w in graph}:
+            s = 1 - math.prod(1 - sure[p] for p, v in graph if v == w and p in sure)
+            if s >= 0.6:
+                new[w] = max(new.get(w, 0), s)
+        if len(new) == len(score):
+            return {(k, i) for k, words in enumerate(split) for i, w in enumerate(words) if like(w) and w in new}
+        score = new
+
+
+def test_pii_graph_against_a_plain_version(spark):
+    rng = random.Random(22)
+    texts = []
+    for _ in range(400):
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            own = rng.choice([f"u{rng.randrange(40)}@example.com", f"XK-{rng.randrange(60)}4471", f"zz{rng.randrange(9)}9981"])
+            out += [rng.choice(["plain", "words", "here", "uid"]) for _ in range(rng.randrange(3))]
+            out += rng.choice([["memberid:", own], ["my", "uid", own], [own, "signed"], ["from", own, "to"], ["plain", own], [own, own + "7"]])
+        texts.append(" ".join(out))
+    want = contexts_by_rule(texts)
+    got = set()
+    for r in pii.personal_data(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect():
+        got |= {(r.doc_id, texts[r.doc_id][: s.start].count(" ")) for s in r.spans if s.kind == 4}
+    assert got == want and 10 < len(want) < sum(t.count("4471") + t.count("9981") for t in texts)
+
+
+def test_pii_finds_planted_identifiers(spark):
+    """Unseen identifiers in the contexts of known ones, of which a part is in two-word, right-hand or chained contexts, and others in none."""
+    rng = random.Random(23)
+    fill = lambda: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(8))
+    frames = ["{} contact handle {} {}", "{} {} enrolled {}", "{} badge {} {}"]
+    known = [f.format(fill(), *([f"p{i}@example.com", fill()])) for i in range(12) for f in frames]
+    planted = [(f.format(fill(), f"ID-{rng.randrange(10**6, 10**7)}", fill()), True) for _ in range(20) for f in frames]
+    others = [(f"{fill()} {w} ZZ-{rng.randrange(10**6, 10**7)} {fill()}", False) for w in ("order", "page", "was") for _ in range(15)]
+    rows = [(i, t, "a") for i, t in enumerate(known)] + [(1000 + i, t, "a") for i, (t, _) in enumerate(planted + others)]
+    got = {r.doc_id: [s for s in r.spans if s.kind == 4] for r in pii.personal_data(docs_of(spark, rows)).collect()}
+    hit = [bool(got[1000 + i]) for i in range(len(planted + others))]
+    assert all(h == w for h, (_, w) in zip(hit, planted + others))
+
+
 # ---- 8 mixing ----
 
 

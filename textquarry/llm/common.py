@@ -66,6 +66,11 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver collects its garbage, which may otherwise be long after."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables in the shared folder that a step needs for a while; `with` deletes them at its end."""
 

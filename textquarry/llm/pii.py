@@ -4,24 +4,24 @@ Four kinds of span come from fixed patterns: e-mail addresses, IP addresses, car
 numbers and phone numbers. They are the seeds of a bootstrap over all documents:
 
 1. An instance is a string: a seed, or an identifier-like token (MIN_LENGTH
-   characters with MIN_DIGITS digits) outside all base spans. Its pattern is the
-   word before it.
+   characters with MIN_DIGITS digits) outside all base spans. Its patterns are
+   lexical: the word before it, the two words before it, the word after it, and
+   the words on both sides. They stand within WITHIN characters of it.
 2. A pattern's confidence is the sum of the scores over all occurrences of its
-   instances, over the number of times that the word occurs before anything, in
-   all documents, less its occurrences before instances that are not believed
-   yet. So copies of a text count alike on both sides. It needs MIN_SUPPORT
-   different instances that are believed already.
+   instances, over the number of times that its words occur around anything, in
+   all documents, less its occurrences at instances that are not believed yet. So
+   copies of a text count alike on both sides. It needs MIN_SUPPORT different
+   instances that are believed already.
 3. An instance's score is 1 less the product of (1 - confidence) over its kept
    patterns; from MIN_SCORE on it is believed, and counts in the next round.
 
-After ROUNDS rounds each occurrence of a believed instance is a span of the kind
-`context`. A word that mostly stands before other things never becomes a
-pattern, however often it stands before a seed.
+Rounds go on until no further instance is believed; then each occurrence of a
+believed instance is a span of the kind `context`. Words that mostly stand around
+other things never become a pattern, however often they stand around a seed.
 
 Only DataFrame functions are used. Spans are code points, ends exclusive. Null
 and empty texts have none. Rows that share id and text get the same result. The
-patterns are possessive, so that a text of one long word costs linear time. The
-second of two neighbouring identifier-like tokens has no pattern of its own.
+base patterns are possessive, so that a text of one long word costs linear time.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import Scratch, read, written
 
 KINDS = ("email", "ip", "card", "phone", "context")
 # A run that fails at its first character fails at the others, so matches are tried where a run begins or the last match ended.
@@ -38,13 +38,16 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+SPACE = r"\x20\x09-\x0D"
+TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
 MIN_LENGTH, MIN_DIGITS = 6, 3
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE, ROUNDS = 4, 0.6, 0.6, 2
-#: Words that are sent to every task at most (a few MB).
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE = 4, 0.6, 0.6
+#: A pattern's words stand within so many characters of an instance.
+WITHIN = 100
+#: Patterns that are sent to every task at most (a few MB).
 MAX_SENT = 100_000
-#: Characters before a seed among which its word is looked for; a longer word is no pattern.
-BEFORE = 48
+#: Kinds of patterns by first letter: the word before, the two before, the word after, and those on both sides.
+BEFORE, TWO, AFTER, AROUND = "b", "t", "a", "s"
 
 SPAN = "struct<start:int,end:int,kind:int,value:string>"
 NONE = f"array<{SPAN}>"
@@ -87,63 +90,100 @@ def base(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def words_before(text: Column, spans: Column) -> Column:
-    """(word, value, n) of each span with a word before it. n is 0 where the span before starts at the same place, which is one occurrence."""
+def patterns_of(text: Column, start: Column, end: Column, value: Column) -> Column:
+    """The patterns of an instance at [start, end)."""
+    at = F.greatest(start - WITHIN, F.lit(0))
+    # A word that the window cuts has no blank before (or after) it and doesn't match.
+    left = F.concat(F.when(at == 0, " ").otherwise(""), F.substring(text, at + 1, start - at))
+    right = F.concat(F.substring(text, end + 1, F.lit(WITHIN)), F.when(F.length(text) <= end + WITHIN, " ").otherwise(""))
+    last = rf"[{SPACE}]([^{SPACE}]++)[{SPACE}]++[\"'(\[<]*+\z"
+    two = rf"[{SPACE}]([^{SPACE}]++)[{SPACE}]++[^{SPACE}]++[{SPACE}]++[\"'(\[<]*+\z"
+    # A match of nothing is an empty text here.
+    one = lambda pattern, where: F.lower(F.regexp_extract(where, pattern, 1))
+
+    def made(words: Column) -> Column:
+        b, t, a = words["b"], words["t"], words["a"]
+        return F.array(
+            F.when(b != "", F.concat(F.lit(BEFORE + " "), b)),
+            F.when((b != "") & (t != ""), F.concat(F.lit(TWO + " "), t, F.lit(" "), b)),
+            F.when(a != "", F.concat(F.lit(AFTER + " "), a)),
+            F.when((b != "") & (a != "") & ~value.rlike(f"[{SPACE}]"), F.concat(F.lit(AROUND + " "), b, F.lit(" "), a)),
+        )
+
+    words = F.struct(one(last, left).alias("b"), one(two, left).alias("t"), one(rf"\A[^{SPACE}]*+[{SPACE}]++([^{SPACE}]++)[{SPACE}]", right).alias("a"))
+    return F.filter(F.flatten(F.transform(F.array(words), made)), lambda p: p.isNotNull())
+
+
+def seeds(text: Column, spans: Column) -> Column:
+    """(patterns, value, n) of each span. n is 0 where the span before starts at the same place, which is one occurrence."""
     def one(s, i):
-        at = F.greatest(s["start"] - BEFORE, F.lit(0))
-        word = F.regexp_extract(F.substring(text, at + 1, s["start"] - at), r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D\"'(\[<]*$", 1)
         again = F.coalesce(F.get(spans, i - 1)["start"] == s["start"], F.lit(False))
-        return F.struct(F.lower(word).alias("word"), s["value"].alias("value"), F.when(again, 0).otherwise(1).alias("n"))
+        return F.struct(patterns_of(text, s["start"], s["end"], s["value"]).alias("patterns"), s["value"].alias("value"), F.when(again, 0).otherwise(1).alias("n"))
 
-    return F.filter(F.transform(spans, one), lambda x: x["word"] != "")
+    return F.transform(spans, one)
 
 
 def tokens(text: Column, spans: Column) -> Column:
-    """(word, value, start, end) of the identifier-like tokens outside the base spans."""
-    def one(s):
-        word = F.lower(F.regexp_extract(s["value"], r"^([^\x20\x09-\x0D]++)", 1))
-        token = F.regexp_extract(s["value"], r"([^\x20\x09-\x0D]++)$", 1)
-        core = F.regexp_extract(token, r"^[^A-Za-z0-9]*+(.*[A-Za-z0-9])[^A-Za-z0-9]*$", 1)
-        start = s["end"] - F.length(F.regexp_replace(token, r"^[^A-Za-z0-9]*+", ""))
-        return F.struct(word.alias("word"), core.alias("value"), start.alias("start"), (start + F.length(core)).alias("end"))
+    """(patterns, value, start, end) of the identifier-like tokens outside the base spans."""
+    def core(s):
+        start = s["end"] - F.length(F.regexp_replace(s["value"], r"^[^A-Za-z0-9]*+", ""))
+        value = F.regexp_extract(s["value"], r"^[^A-Za-z0-9]*+(.*[A-Za-z0-9])[^A-Za-z0-9]*$", 1)
+        return F.struct(value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end"))
 
     def taken(x):
         return (F.length(x["value"]) >= MIN_LENGTH) & (F.length(digits(x["value"])) >= MIN_DIGITS) & ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
 
-    return F.filter(F.transform(places(text, TOKEN, 4), one), taken)
+    found = F.filter(F.transform(places(text, TOKEN, 4), core), taken)
+    return F.transform(found, lambda x: F.struct(patterns_of(text, x["start"], x["end"], x["value"]).alias("patterns"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end")))
 
 
-def occurrences(texts: DataFrame, text: str, words: DataFrame) -> DataFrame:
-    """(word, total): how often each of the words occurs in all texts.
+def occurrences(texts: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often the words of each of the patterns occur in all texts, one word apart where they stand around.
 
-    At most MAX_SENT words are sent to every task, so that no others are
-    shuffled; more are joined after the words of each task have been counted.
+    At most MAX_SENT patterns are sent to every task, so that no others are
+    shuffled; more are joined after those of each task have been counted.
     """
-    every = texts.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
-    few = words.count() <= MAX_SENT
-    every = every.join(F.broadcast(words), "word", "left_semi") if few else every
-    counted = every.groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    return counted if few else counted.join(words, "word", "left_semi")
-
-
-def believed(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
-    """(value) of the instances that the graph of patterns and instances supports. found: (word, value, seed, n)."""
-    graph = written(found.groupBy("word", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")), "graph")
-    scores = graph.where("seed").select("value").distinct().withColumn("score", F.lit(1.0))
-    totals = graph.select("word", F.lit(0).cast("long").alias("total")).limit(0)
-    for _ in range(ROUNDS):
+    kinds = {r[0] for r in patterns.select(F.substring("pattern", 1, 1)).distinct().collect()}
+
+    def made(words: Column) -> Column:
+        def one(x, i):
+            before, after = F.get(words, i - 1), F.get(words, i + 2)
+            every = {BEFORE: x, TWO: F.concat(before, F.lit(" "), x), AFTER: x, AROUND: F.concat(x, F.lit(" "), after)}
+            return F.array(*(F.concat(F.lit(k + " "), v) for k, v in every.items() if k in kinds))
+
+        return F.flatten(F.transform(words, one))
+
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"[^{SPACE}]+"), F.lit(0))
+    # The words are bound once, as the element of a one-element array.
+    every = texts.select(F.explode(F.flatten(F.transform(F.array(words), made))).alias("pattern"))
+    few = patterns.count() <= MAX_SENT
+    every = every.join(F.broadcast(patterns), "pattern", "left_semi") if few else every
+    counted = every.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    return counted if few else counted.join(patterns, "pattern", "left_semi")
+
+
+def believed(found: DataFrame, texts: DataFrame, text: str, temp: Scratch) -> DataFrame:
+    """(value) of the instances that the graph of patterns and instances supports. found: (pattern, value, seed, n)."""
+    graph = temp.written(found.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")), "graph")
+    known_ids = graph.where("seed").select("value").distinct()
+    scores = temp.written(known_ids.withColumn("score", F.lit(1.0)), "scores")
+    totals = graph.select("pattern", F.lit(0).cast("long").alias("total")).limit(0)
+    before, n = -1, scores.count()
+    while n > before:
         own = graph.join(scores, "value", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         known = F.col("score") >= MIN_SCORE
-        patterns = own.groupBy("word").agg(F.sum(F.col("score") * F.col("n")).alias("good"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("open"), F.count(F.when(known, 1)).alias("support"))
-        patterns = written(patterns.where(F.col("support") >= MIN_SUPPORT), "patterns")
-        fresh = patterns.join(totals, "word", "left_anti").select("word")
+        patterns = own.groupBy("pattern").agg(F.sum(F.col("score") * F.col("n")).alias("good"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("open"), F.count(F.when(known, 1)).alias("support"))
+        patterns = temp.written(patterns.where(F.col("support") >= MIN_SUPPORT), "patterns")
+        fresh = temp.written(patterns.join(totals, "pattern", "left_anti").select("pattern"), "fresh")
         if not fresh.isEmpty():
-            totals = totals.unionAll(written(occurrences(texts, text, fresh), "totals"))
-        patterns = patterns.join(totals, "word").withColumn("decided", F.col("total") - F.col("open")).where(F.col("good") >= MIN_CONFIDENCE * F.col("decided"))
-        patterns = patterns.select("word", F.least(F.col("good") / F.col("decided"), F.lit(0.999)).alias("confidence"))
-        reached = graph.join(patterns, "word").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
-        scores = written(reached.unionAll(scores).groupBy("value").agg(F.max("score").alias("score")).where(F.col("score") >= MIN_SCORE), "scores")
-    return scores.join(graph.where("seed").select("value").distinct(), "value", "left_anti").select("value")
+            totals = totals.unionAll(temp.written(occurrences(texts, text, fresh), "totals"))
+        decided = F.col("total") - F.col("open")
+        patterns = patterns.join(totals, "pattern").where((decided > 0) & (F.col("good") >= MIN_CONFIDENCE * decided))
+        patterns = patterns.select("pattern", F.least(F.col("good") / decided, F.lit(0.999)).alias("confidence"))
+        reached = graph.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        scores = temp.written(reached.unionAll(scores).groupBy("value").agg(F.max("score").alias("score")).where(F.col("score") >= MIN_SCORE), "scores")
+        before, n = n, scores.count()  # a believed instance stays so, and their number is bounded
+    return scores.join(known_ids, "value", "left_anti").select("value")
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,15 +191,17 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("tq_text"))
     rows = own.withColumn("base", base(F.col("tq_text")))
     rows = rows.select("doc_id", F.xxhash64("tq_text").alias("key"), "base",
-                       words_before(F.col("tq_text"), F.col("base")).alias("seeds"),
+                       seeds(F.col("tq_text"), F.col("base")).alias("seeds"),
                        F.when(F.col("tq_text").rlike("[0-9]"), tokens(F.col("tq_text"), F.col("base"))).alias("tokens"))
     rows = written(rows, "pii")
-    seeds = rows.select(F.explode("seeds").alias("x")).select("x.word", "x.value", F.lit(True).alias("seed"), "x.n")
-    every = rows.select("doc_id", "key", F.explode("tokens").alias("x")).select("doc_id", "key", "x.*")
-    new = believed(seeds.unionAll(every.select("word", "value", F.lit(False).alias("seed"), F.lit(1).alias("n"))), docs, text)
-    more = every.join(new, "value").select("doc_id", "key", F.struct("start", "end", F.lit(4).alias("kind"), "value").alias("s")).distinct()
-    # No more than a document's own tokens.
-    more = more.groupBy("doc_id", "key").agg(F.collect_list("s").alias("more")).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "more")
+    with Scratch(docs.sparkSession) as temp:
+        known = rows.select(F.explode("seeds").alias("x")).select(F.explode("x.patterns").alias("pattern"), "x.value", F.lit(True).alias("seed"), "x.n")
+        every = rows.select("doc_id", "key", F.explode("tokens").alias("x")).select("doc_id", "key", "x.*")
+        new = believed(known.unionAll(every.select(F.explode("patterns").alias("pattern"), "value", F.lit(False).alias("seed"), F.lit(1).alias("n"))), docs, text, temp)
+        more = every.join(new, "value").select("doc_id", "key", F.struct("start", "end", F.lit(4).alias("kind"), "value").alias("s")).distinct()
+        # No more than a document's own tokens.
+        more = more.groupBy("doc_id", "key").agg(F.collect_list("s").alias("more")).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "more")
+        more = written(more, "pii-contexts")
     joined = rows.select("doc_id", "key", "base").join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     return joined.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(NONE)))).alias("spans"))
 

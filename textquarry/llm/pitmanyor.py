@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, read, remainder, scratch
+from .common import Scratch, bounded_batches, read, release, remainder, scratch
 from .warc import opened
 
 CONTEXTS = 1 << 16
@@ -339,6 +339,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     with Scratch(spark) as temp:
         asked = temp.written(requests(rows, shards), "lm-asked")
         state = temp.written(merged(asked), "lm-shards")
+        release(spark)
         model = fitted(state)
         # Each block's answers lie in one folder, in order of blocks, where its task finds them again when it scores the texts.
         folders = min(MAX_FOLDERS, max(1, asked.select("block").distinct().count()))
