@@ -140,23 +140,25 @@ def tokens(text: Column, spans: Column) -> Column:
 def occurrences(texts: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     """(pattern, total): how often the words of each of the patterns occur in all texts, one word apart where they stand around.
 
-    At most MAX_SENT patterns are sent to every task, so that no others are
-    shuffled; more are joined after those of each task have been counted.
+    At most MAX_SENT patterns are sent to every task: words that stand in none of
+    them are dropped before any pattern is made. More are joined by a shuffle, after
+    the patterns of each task have been counted.
     """
-    kinds = {r[0] for r in patterns.select(F.substring("pattern", 1, 1)).distinct().collect()}
-
-    def made(words: Column) -> Column:
-        def one(x, i):
-            before, after = F.get(words, i - 1), F.get(words, i + 2)
-            every = {BEFORE: x, TWO: F.concat(before, F.lit(" "), x), AFTER: x, AROUND: F.concat(x, F.lit(" "), after)}
-            return F.array(*(F.concat(F.lit(k + " "), v) for k, v in every.items() if k in kinds))
-
-        return F.flatten(F.transform(words, one))
+    def each(words: Column) -> Column:
+        return F.transform(words, lambda x, i: F.struct(x.alias("w"), F.get(words, i - 1).alias("before"), F.get(words, i + 2).alias("after")))
 
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"[^{SPACE}]+"), F.lit(0))
     # The words are bound once, as the element of a one-element array.
-    every = texts.select(F.explode(F.flatten(F.transform(F.array(words), made))).alias("pattern"))
+    every = texts.select(F.explode(F.flatten(F.transform(F.array(words), each))).alias("x")).select("x.*")
     few = patterns.count() <= MAX_SENT
+    if few:
+        kind = F.substring("pattern", 1, 1)
+        # The word of a pattern that its others are counted from.
+        anchors = patterns.select(F.when(kind == AROUND, F.split("pattern", " ")[1]).otherwise(F.substring_index("pattern", " ", -1)).alias("w")).distinct()
+        every = every.join(F.broadcast(anchors), "w", "left_semi")
+    w = F.col("w")
+    made = {BEFORE: w, TWO: F.concat("before", F.lit(" "), w), AFTER: w, AROUND: F.concat(w, F.lit(" "), F.col("after"))}
+    every = every.select(F.explode(F.array(*(F.concat(F.lit(k + " "), v) for k, v in made.items()))).alias("pattern"))
     every = every.join(F.broadcast(patterns), "pattern", "left_semi") if few else every
     counted = every.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
     return counted if few else counted.join(patterns, "pattern", "left_semi")
