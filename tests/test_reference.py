@@ -49,32 +49,31 @@ def test_chunk_slices(spark):
         assert [[len(x.split()) for x in g] for g in got] == [[sum(c[a:b]) for a, b in w] for c, w in cases.items()]
 
 
-def test_chunkers_agree_with_the_list_form(spark):
-    def plain(sents, most, overlap):
-        out, now = [], []
-        for i, s in enumerate(sents):
-            if sum(len(x.split()) for x in now) + len(s.split()) <= most:
-                now.append(s)
-            else:
-                if now:
-                    out.append(" ".join(now))
-                now = sents[max(0, i - overlap) : i] + [s] if overlap else [s]
-        if now:
-            out.append(" ".join(now))
-        merged = []
-        for x in out:
-            if len(x.split()) < 4 and merged:
-                merged[-1] += " " + x
-            else:
-                merged.append(x)
-        return merged
-
+def test_chunkers_keep_their_promises(spark):
+    """Runs of whole sentences that cover all, as full as the limit allows, each beginning with the overlap; both forms alike."""
     rng = random.Random(5)
-    cases = [[words(rng.choice((1, 2, 5, 12, 30))) for _ in range(rng.randrange(15))] for _ in range(60)]
+    cases = [[" ".join(f"s{i}" for _ in range(rng.choice((1, 2, 5, 12, 30)))) for i in range(rng.randrange(15))] for _ in range(60)]
     for overlap in (0, 1, 2, 3):
-        want = [plain(c, 20, overlap) for c in cases]
-        for make in (chunker.chunks, chunker.chunks_arrow):
-            assert column(spark, cases, lambda v: make(v, 20, overlap, 4), "array<string>") == want
+        got = column(spark, cases, lambda v: chunker.chunks(v, 20, overlap, 0), "array<string>")
+        assert got == column(spark, cases, lambda v: chunker.chunks_arrow(v, 20, overlap, 0), "array<string>")
+        for sents, chunks in zip(cases, got):
+            sizes = [len(s.split()) for s in sents]
+            runs = [sorted({int(w[1:]) for w in c.split()}) for c in chunks]
+            assert all(c == " ".join(sents[r[0] : r[-1] + 1]) for c, r in zip(chunks, runs))
+            assert [r[0] for r in runs[:1]] == [0][: len(sents)] and [r[-1] for r in runs[-1:]] == [len(sents) - 1][: len(sents)]
+            for r, after in zip(runs, [*runs[1:], None]):
+                fresh = r if r is runs[0] else r[overlap:]
+                assert sum(sizes[i] for i in r) <= 20 or len(fresh) == 1
+                assert after is None or (after[0] == max(0, r[-1] + 1 - overlap) and sum(sizes[i] for i in r) + sizes[r[-1] + 1] > 20)
+
+
+def test_chunks_of_few_words_join_the_one_before(spark):
+    # Slices: 12 | 9 2; 12 | 9 | 20 | 2 and 19 don't fit together; 2 | 20 | 2 | 20, of which the third is tiny.
+    cases = {(12, 9, 2): [12, 11], (12, 9, 20, 2, 19): [12, 9, 22, 19], (2, 20, 2, 20): [2, 22, 20], (1,): [1], (1, 20): [1, 20]}
+    sents, want = [[words(n) for n in c] for c in cases], list(cases.values())
+    for make in (chunker.chunks, chunker.chunks_arrow):
+        got = column(spark, sents, lambda v: make(v, 20, 0, 4), "array<string>")
+        assert [[len(x.split()) for x in g] for g in got] == want
 
 
 def test_sentences(spark):

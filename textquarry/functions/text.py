@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space of Unicode strings, inside a character class.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 # The patterns that define case number and division, and the lines that are no title.
@@ -57,8 +58,9 @@ def division(text: Column | str) -> Column:
 
 
 def title(text: Column | str) -> Column:
-    """The first of the first non-blank lines that isn't boilerplate, else null."""
-    found = F.filter(F.transform(lines(text), strip), lambda line: line != "")
+    """The first of the first non-blank lines that isn't boilerplate, else null. No more of the text than these lines is taken apart."""
+    head = F.regexp_extract(_col(text), rf"\A(?:[{WS}]*+[^{ENDS}]++){{0,{TITLE_LINES}}}", 0)
+    found = F.filter(F.transform(lines(head), strip), lambda line: line != "")
     return F.try_element_at(F.filter(F.slice(found, 1, TITLE_LINES), lambda line: ~line.rlike(NO_TITLE)), F.lit(1))
 
 

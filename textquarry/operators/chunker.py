@@ -87,14 +87,11 @@ def slices_of(counts: list[int], max_words: int, overlap: int) -> list[tuple[int
 
 
 def chunked(sents: list[str], max_words: int = MAX_WORDS, overlap: int = OVERLAP, tiny: int = TINY) -> list[str]:
-    out: list[str] = []
-    for a, b in slices_of([len(s.split()) for s in sents], max_words, overlap):
-        text = " ".join(sents[a:b])
-        if out and len(text.split()) < tiny:
-            out[-1] += " " + text
-        else:
-            out.append(text)
-    return out
+    """Slices as texts; a slice of few words goes to the chunk before it."""
+    counts = [len(s.split()) for s in sents]
+    runs = slices_of(counts, max_words, overlap)
+    heads = [k for k, (a, b) in enumerate(runs) if k == 0 or sum(counts[a:b]) >= tiny]
+    return [" ".join(" ".join(sents[a:b]) for a, b in runs[k:n]) for k, n in zip(heads, [*heads[1:], len(runs)])]
 
 
 def chunks_arrow(sents: Column | str, max_words: int = MAX_WORDS, overlap: int = OVERLAP, tiny: int = TINY) -> Column:
@@ -112,7 +109,9 @@ def rag_chunks(docs: DataFrame, text: str = "text", max_words: int = MAX_WORDS,
     chunk_index starts at 0 in each section. Everything is narrow.
     """
     others = [F.col(c) for c in docs.columns if c != text]
-    meta = docs.select(*others, metadata(text).alias("tq_meta"), F.posexplode(sections(text)).alias("section_pos", "tq_section"))
+    # Outer forms, since a filter on the size of what is exploded would compute it twice; of a text without sections or chunks no row stays.
+    meta = docs.select(*others, metadata(text).alias("tq_meta"), sections(text).alias("tq_sections"))
+    meta = meta.select(*others, "tq_meta", F.posexplode_outer("tq_sections").alias("section_pos", "tq_section")).where("section_pos is not null")
     cut = (chunks_arrow if arrow else chunks)(splitter(F.col("tq_section.text")), max_words, overlap)
     rows = meta.select(*others, "tq_meta.*", "section_pos", F.col("tq_section.name").alias("section"), cut.alias("tq_chunks"))
-    return rows.select(*others, "case_no", "division", "title", "section_pos", "section", F.posexplode("tq_chunks").alias("chunk_index", "text"))
+    return rows.select(*others, "case_no", "division", "title", "section_pos", "section", F.posexplode_outer("tq_chunks").alias("chunk_index", "text")).where("chunk_index is not null")

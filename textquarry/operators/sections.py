@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,26 +21,36 @@ HEADINGS = {
 PREAMBLE, FULL_TEXT = "PREAMBLE", "FULL_TEXT"
 
 
+#: Any heading, with the blanks and the colons that don't count.
+ANY = rf"(?iu)\A[{WS}]*+(?:{'|'.join(HEADINGS.values())})[{WS}]*+:*+[{WS}]*+\z"
+
+
 def heading(line: Column | str) -> Column:
-    """The canonical name if the line is a heading, else null. Colons at the end don't count."""
-    bare = strip(F.regexp_replace(strip(line), r"(?<!:):++\z", ""))
+    """The canonical name if the line is a heading, else null. Colons at the end don't count.
+
+    One match decides for nearly all lines; which heading it is, is asked only of those that are one.
+    """
+    line = F.col(line) if isinstance(line, str) else line
     out = F.lit(None).cast("string")
     for name, pattern in reversed(HEADINGS.items()):
-        out = F.when(bare.rlike(rf"(?iu)\A(?:{pattern})\z"), F.lit(name)).otherwise(out)
-    return F.when(bare == "", None).otherwise(out)
+        out = F.when(line.rlike(rf"(?iu)\A[{WS}]*+(?:{pattern})[{WS}:]*+\z"), F.lit(name)).otherwise(out)
+    return F.when(line.rlike(ANY), out)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used: as the element of a one-element array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def sections(text: Column | str) -> Column:
     """array<struct<name, text>> in order; blank sections are left out.
 
     Sections are slices of the line array between heading lines, so the work is
-    linear in the text.
+    linear in the text. Lines, heading lines and slices are each bound once.
     """
     text = F.col(text) if isinstance(text, str) else text
-    rows = F.split(text, "\n", -1)
-    marked = F.filter(F.transform(rows, lambda line, i: F.struct(i.alias("at"), heading(line).alias("name"))), lambda x: x["name"].isNotNull())
 
-    def cut(heads: Column) -> Column:
+    def cut(rows: Column, heads: Column) -> Column:
         def body(x, k):
             after = F.when(k + 1 < F.size(heads), F.get(heads, k + 1)["at"]).otherwise(F.size(rows))
             own = F.array_join(F.slice(rows, x["at"] + 2, after - x["at"] - 1), "\n")
@@ -49,7 +61,12 @@ def sections(text: Column | str) -> Column:
         lead = F.array(F.struct(F.lit(PREAMBLE).alias("name"), strip(F.array_join(F.slice(rows, F.lit(1), first), "\n")).alias("text")))
         return F.filter(F.concat(lead, F.transform(heads, body)), lambda s: s["text"] != "")
 
-    # The head list is bound once, as the element of a one-element array, however often `cut` refers to it.
-    found = F.flatten(F.transform(F.array(marked), cut))
-    alone = (F.size(found) == 1) & (F.get(found, F.lit(0))["name"] == PREAMBLE)
-    return F.when(alone, F.transform(found, lambda s: F.struct(F.lit(FULL_TEXT).alias("name"), s["text"].alias("text")))).otherwise(found)
+    def named(found: Column) -> Column:
+        alone = (F.size(found) == 1) & (F.get(found, F.lit(0))["name"] == PREAMBLE)
+        return F.when(alone, F.transform(found, lambda s: F.struct(F.lit(FULL_TEXT).alias("name"), s["text"].alias("text")))).otherwise(found)
+
+    def whole(rows: Column) -> Column:
+        marked = F.filter(F.transform(rows, lambda line, i: F.struct(i.alias("at"), heading(line).alias("name"))), lambda x: x["name"].isNotNull())
+        return bound(bound(marked, lambda heads: cut(rows, heads)), named)
+
+    return bound(F.split(text, "\n", -1), whole)
