@@ -336,7 +336,9 @@ def test_signature_distance_guarantee():
 # ---- 5 lines and sentences ----
 
 
-def test_units_against_plain_grouping(spark, odd):
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_units_against_plain_grouping(spark, odd, monkeypatch, hot):
+    monkeypatch.setattr(unitdedup, "HOT", hot)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["rank"]: r for r in unitdedup.by_document(docs).collect()}
     seen = set()

@@ -28,9 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, written
+from .common import Scratch, bounded_batches, free, read, release, written
 
 MIN_WORDS = 8
+#: Digests that occur so often are joined by broadcast, if they are no more than MAX_SENT (some MB).
+HOT, MAX_SENT = 10_000, 200_000
 SENTENCE_END = re.compile(r"[.!?…]+[\"')\]»”]*(?=[\x20\t\x0b\x0c\r])")
 BLANK = " \t\x0b\x0c\r"
 
@@ -89,7 +91,7 @@ def without(text: str, removed: list[tuple[int, int]]) -> str:
 
 
 def removals(docs: DataFrame, rank: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(documents, removed): (rank, key, n_units) of each row, and (rank, key, start, end, first_rank, first_start) of each removed unit."""
+    """(documents, removed): (rank, key, n_units) of each row, and (rank, key, start, end, first_rank, first_start) of each removed unit of each row."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(rank).alias("rank"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
@@ -104,31 +106,49 @@ def removals(docs: DataFrame, rank: str = "doc_id", text: str = "text", min_word
     rows = written(rows.select("rank", "key", cut("text").alias("units")), "units")
     each = rows.select("rank", "key", F.explode("units").alias("u")).select("rank", "key", "u.*")
     order = F.struct(F.col("rank").isNull().alias("no"), "rank", "key", "start")
-    groups = each.groupBy("h", "l").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").drop("last")
-    repeated = each.join(groups, ["h", "l"]).where(order != F.col("first"))
-    removed = repeated.select("rank", "key", "start", "end", F.col("first.rank").alias("first_rank"), F.col("first.start").alias("first_start")).distinct()
+    with Scratch(spark) as temp:
+        # Digests are counted first, by partial sums of three numbers; only units of repeated ones are ordered.
+        often = temp.written(each.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+        release(spark)
+        hot = temp.written(often.where(F.col("n") >= HOT).select("h", "l"), "hot")
+        few = hot.count() <= MAX_SENT
+        repeated = temp.written(met(each, often.drop("n"), hot, few), "repeated-units")
+        release(spark)
+        first = temp.written(repeated.groupBy("h", "l").agg(F.min(order).alias("first")), "first")
+        removed = met(repeated, first, hot, few).where(order != F.col("first"))
+        removed = written(removed.select("rank", "key", "start", "end", F.col("first.rank").alias("first_rank"), F.col("first.start").alias("first_start")), "removed")
     return rows.select("rank", "key", F.size("units").cast("long").alias("n_units")), removed
 
 
+def met(units: DataFrame, groups: DataFrame, hot: DataFrame, few: bool) -> DataFrame:
+    """units with the columns of their digest's group. Digests in `hot` are sent to every task, if they are few, so that none of them is one task's."""
+    if not few:
+        return units.join(groups, ["h", "l"])
+    sent = F.broadcast(hot)
+    cold = units.join(sent, ["h", "l"], "left_anti").join(groups.join(sent, ["h", "l"], "left_anti"), ["h", "l"])
+    return cold.unionByName(units.join(F.broadcast(groups.join(sent, ["h", "l"], "left_semi")), ["h", "l"]))
+
+
 def by_document(docs: DataFrame, rank: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(rank, key, n_units, removed: its removed pieces in order). A document's pieces are no more than its own units."""
     rows, removed = removals(docs, rank, text, min_words)
-    spans = removed.groupBy("rank", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_rank", "first_start"))).alias("removed"))
+    spans = removed.groupBy("rank", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "first_rank", "first_start"))).alias("removed"))
     spans = spans.select(F.col("rank").alias("r"), F.col("key").alias("k"), "removed")
     return rows.join(spans, F.col("rank").eqNullSafe(F.col("r")) & (F.col("key") == F.col("k")), "left").drop("r", "k")
 
 
 def deduplicated(docs: DataFrame, rank: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated units taken out of `text`, and tq_removed with their offsets in the original."""
-    found = by_document(docs, rank, text, min_words).dropDuplicates(["rank", "key"]).where("removed is not null").select(F.col("rank").alias("tq_rank"), F.col("key").alias("tq_key"), F.col("removed").alias("tq_removed"))
-    docs = docs.join(found, F.col(rank).eqNullSafe(F.col("tq_rank")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("tq_key")), "left")
+    r, k, out = (free(docs, c) for c in ("tq_rank", "tq_key", "tq_removed"))
+    found = by_document(docs, rank, text, min_words).dropDuplicates(["rank", "key"]).where("removed is not null").select(F.col("rank").alias(r), F.col("key").alias(k), F.col("removed").alias(out))
+    docs = docs.join(found, F.col(rank).eqNullSafe(F.col(r)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(k)), "left")
 
     @F.arrow_udf("string")
     def cleaned(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, removed in batches:
             yield pa.array([t if t is None or not r else without(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(texts.to_pylist(), removed.to_pylist())], pa.string())
 
-    return docs.withColumn(text, cleaned(F.col(text), F.col("tq_removed"))).drop("tq_rank", "tq_key")
+    return docs.withColumn(text, cleaned(F.col(text), F.col(out))).drop(r, k)
 
 
 def stretches(units: str) -> Column:
