@@ -57,7 +57,7 @@ FRAGMENT, FRAGMENT_SHINGLES = 1000, 2_000_000
 LARGE = CHUNKS * LANES
 #: Columns of the membership matrix that are multiplied at once.
 COLUMNS = 2048
-#: Ids of so many texts are sent to every task at most (16 MB); more are joined by a shuffle.
+#: Ids of so many texts or components are sent to every task at most (16 MB each); more are joined by a shuffle.
 MAX_SENT = 2_000_000
 
 _RANDOM = np.random.default_rng(20240229)
@@ -247,8 +247,9 @@ def connected(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, temp:
     # Components that open entries connect are one neighbourhood.
     least = open_.groupBy("entry").agg(F.min("component").alias("b"))
     near = components(open_.join(least, "entry").select(F.col("component").alias("a"), "b").distinct(), temp, "near")
-    # Written, so that nothing after the join keeps a large component's rows together.
-    open_ = temp.written(open_.join(near.select(F.col("node").alias("component"), F.col("component").alias("near")), "component"), "open-near")
+    near = temp.written(near.select(F.col("node").alias("component"), F.col("component").alias("near")), "near-of")
+    # Sent to every task if there are few; else written after the join, so that nothing keeps a large component's rows together.
+    open_ = temp.written(open_.join(F.broadcast(near) if near.count() <= MAX_SENT else near, "component"), "open-near")
     size = classes.groupBy("node").agg(F.max("n").alias("n"))
     filled = temp.written(fragments(open_, "near", size), "filled")
     loose = F.col("fragments") > LARGE
