@@ -160,8 +160,9 @@ def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
         texts = [t for batch in batches for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_pydict({"at": pa.array([rules.index(r) for r in ordered(texts, rules)], pa.int64())})
 
-    # Drawn over the whole table and estimated in one task; only the order comes to the driver.
-    drawn = docs.select(text).orderBy(F.rand(1)).limit(sample).coalesce(1)
+    # Drawn over the whole table, so that no task gets more than some times the sample; estimated in one task, and only the order comes to the driver.
+    share = min(1.0, 4 * sample / max(1, docs.count()))
+    drawn = docs.select(text).sample(share, 1).orderBy(F.rand(1)).limit(sample).coalesce(1)
     cascade = tuple(rules[r["at"]] for r in drawn.mapInArrow(estimate, "at long").collect()) or rules  # an empty table has no task
     types = [pa.int64()] * 5 + [pa.bool_()] * 2
     names = [x.split()[0] for x in OUT.split(", ")]
