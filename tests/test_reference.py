@@ -158,6 +158,48 @@ def test_store(spark, tmp_path):
         store.first_chunks(spark.createDataFrame([chunk("c", None, None, "S", 0, "a", 1), chunk("c", None, None, "S", 0, "b", 2)], CHUNK), on_duplicate="error").collect()
 
 
+def test_store_writes_touched_buckets_and_keeps_readers(spark, tmp_path):
+    path = "file://" + str(tmp_path / "t")
+    s = store.Store(spark, path, buckets=8).init()
+    s.ingest(spark.createDataFrame([chunk(f"c{i}", "A", "T", "FACTS", k, f"t{i}", 10 * i + k) for i in range(30) for k in range(2)], CHUNK))
+    before = s.read("decision_chunks")
+    first = s._manifest()["tables"]["decision_chunks"]
+    s.ingest(spark.createDataFrame([chunk("c3", "B", None, "NEW", 0, "more", 1)], CHUNK), make=lambda: embed.HashingEmbedder(8))
+    after = s._manifest()["tables"]["decision_chunks"]
+    assert sum(first[b] != after[b] for b in first) == 1 and store.Store(spark, path).init().buckets == 8
+    assert before.count() == 60 and s.read("decision_chunks").count() == 61  # an open reader keeps its files
+    assert {(r.text, r.embedding is not None) for r in s.case("decision_chunks", "c3").collect()} == {("t3", True), ("more", True)}
+    assert [(r.division, r.title) for r in s.case("decisions", "c3").collect()] == [("B", "T")]
+    s.embed(lambda: embed.HashingEmbedder(8))
+    assert embed.pending(s.read("decision_chunks")).count() == 0
+    s.delete(spark.createDataFrame([("c3",), ("c4",)], "case_no string"))
+    s.vacuum(1)
+    assert s.read("decisions").count() == 28 and s.read("decision_chunks").count() == 56
+    left = [p for p in (tmp_path / "t" / "decision_chunks").glob("v=*/bucket=*")]
+    assert len(left) == len(s._manifest()["tables"]["decision_chunks"])
+
+
+def test_ingest_of_a_file_goes_on_after_its_cursor(spark, tmp_path):
+    from textquarry.streaming.ingest import ingest_file, new_urls
+
+    text = "x\nFIRST DIVISION\n[ G.R. No. {} ]\nFACTS\nIt was so. And so on."
+    line = lambda i: json.dumps({"title": "t", "url": f"u{i}", "text": text.format(i)}) + "\n"
+    file, mark = tmp_path / "a.jsonl", str(tmp_path / "cursor")
+    s = store.Store(spark, "file://" + str(tmp_path / "t"), buckets=4).init()
+    file.write_text(line(1) + "not json\n" + line(2))
+    assert ingest_file(s, str(file), mark, lambda: embed.HashingEmbedder(8)) == {"records": 2, "unusable": 1}
+    assert ingest_file(s, str(file), mark) == {"records": 0, "unusable": 0}
+    file.write_text(line(1) + line(2) + line(3))
+    assert ingest_file(s, str(file), mark, lambda: embed.HashingEmbedder(8)) == {"records": 1, "unusable": 0}
+    assert {r.case_no for r in s.read("decisions").collect()} == {f"G.R. No. {i}" for i in (1, 2, 3)} and embed.pending(s.read("decision_chunks")).count() == 0
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(line(1) + line(1) + line(2))
+    for watermark in (None, "1 day"):
+        q = new_urls(spark, str(tmp_path / "in"), watermark).writeStream.format("memory").queryName("urls").option("checkpointLocation", str(tmp_path / f"c{watermark}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert sorted(r.url for r in spark.table("urls").collect()) == ["u1", "u2"]
+
+
 def test_embed_and_search(spark):
     class Failing(embed.HashingEmbedder):  # local, so that it travels by value
         def encode(self, texts):

@@ -170,17 +170,6 @@ def url_join(href: Column | str, root: str) -> Column:
     return F.coalesce(simple, general(href))
 
 
-def url_join_native(href: Column | str, root: str) -> Column:
-    href = F.col(href) if isinstance(href, str) else href
-    site = root.rstrip("/")
-    return (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.lit(site.split("//")[0]), href))
-        .when(href.startswith("/"), F.concat(F.lit(site), href))
-        .otherwise(F.concat(F.lit(site + "/"), href))
-    )
-
-
 def url_key(url: Column | str) -> Column:
     return F.sha1(url)
 

@@ -32,10 +32,13 @@ class HashingEmbedder:
 
     def encode(self, texts: list[str]) -> list[list[float] | None]:
         out: list[list[float] | None] = []
+        known: dict[str, int] = {}  # a batch's words are digested once
         for text in texts:
-            v = np.zeros(self.dimension)
-            for word in text.split():
-                v[int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % self.dimension] += 1
+            words = text.split()
+            for word in words:
+                if word not in known:
+                    known[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % self.dimension
+            v = np.bincount([known[w] for w in words], minlength=self.dimension).astype(np.float64)
             size = np.sqrt((v * v).sum())
             out.append((v / size).tolist() if size else None)
         return out
@@ -83,3 +86,11 @@ def apply_embeddings(chunks: DataFrame, new: DataFrame, now: Column | None = Non
     new = new.select("id", F.col("embedding").alias("n_embedding"), F.col("token_count").alias("n_tokens"))
     changed = {"embedding": F.coalesce("n_embedding", "embedding"), "token_count": F.coalesce("n_tokens", "token_count"), "updated_at": F.when(F.col("n_embedding").isNotNull(), now).otherwise(F.col("updated_at")) if "updated_at" in chunks.columns else None}
     return chunks.join(new, "id", "left").select(*(changed[c].alias(c) if changed.get(c) is not None else F.col(c) for c in chunks.columns))
+
+
+def embed_in_place(chunks: DataFrame, make: Callable[[], Embedder], tokens: Callable[[Column], Column] = word_count, now: Column | None = None) -> DataFrame:
+    """chunks with vectors where they had none, in one pass: the model sees only the texts without one."""
+    now = F.current_timestamp() if now is None else now
+    new, rows = F.col("tq_new"), chunks.withColumn("tq_new", embedded(F.when(F.col("embedding").isNull(), F.col("text")), make))
+    changed = {"embedding": F.coalesce("embedding", new), "token_count": F.when(new.isNotNull(), tokens(F.col("text")).cast("int")).otherwise(F.col("token_count")), "updated_at": F.when(new.isNotNull(), now).otherwise(F.col("updated_at"))}
+    return rows.select(*(changed.get(c, F.col(c)).alias(c) for c in chunks.columns))

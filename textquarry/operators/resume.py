@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import url_key
@@ -17,6 +18,19 @@ def cache_lookup(rows: DataFrame, cache: DataFrame, key: str = "url") -> DataFra
     return rows.withColumn("url_key", url_key(key)).join(cache, "url_key", "left")
 
 
+def cursor(spark: SparkSession, path: str, key: str = "url") -> DataFrame:
+    """The address in a cursor file, as one row; no row where there is no file or it can't be read as one."""
+    try:
+        rows = spark.read.schema(f"{key} string").json(path).where(f"{key} is not null").limit(1)
+        return spark.createDataFrame(rows.collect(), rows.schema)  # one row at most
+    except AnalysisException:
+        return spark.createDataFrame([], f"{key} string")
+
+
+def write_cursor(spark: SparkSession, path: str, value: str, key: str = "url") -> None:
+    spark.createDataFrame([(value,)], f"{key} string").coalesce(1).write.mode("overwrite").json(path)
+
+
 def resume_after(rows: DataFrame, cursor: DataFrame, key: str = "url", seq: str = "seq") -> DataFrame:
     """Rows after the first one whose address is the cursor's.
 

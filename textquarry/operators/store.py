@@ -6,10 +6,16 @@ a functional merge: read, join, write the next version, then name it current.
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .embed import Embedder, embed_in_place
+
 DECISIONS = T.StructType([T.StructField(n, t, null) for n, t, null in (
     ("id", T.LongType(), False), ("case_no", T.StringType(), False), ("division", T.StringType(), True), ("title", T.StringType(), True),
     ("created_at", T.TimestampType(), True), ("updated_at", T.TimestampType(), True))])
@@ -84,38 +90,115 @@ def delete_decisions(decisions: DataFrame, chunks: DataFrame, case_nos: DataFram
 
 
 class Store:
-    """Versioned Parquet tables under a folder; the catalog view names the current version."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        self.fs, self.Path = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    """Both tables as Parquet in buckets of case numbers, under manifests.
+
+    A commit writes the buckets that it touches as files of a new version, then one
+    manifest that names the version of every bucket of both tables. The last
+    manifest is what is current, so the tables change together or not at all,
+    and a reader keeps the files that its manifest names until `vacuum`. Within a
+    bucket rows stand by case number and chunk, so that a look-up reads one bucket
+    and few row groups.
+    """
+
+    TABLES = {"decisions": (DECISIONS, ["case_no"]), "decision_chunks": (CHUNKS, ["case_no", "chunk_index"])}
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        jvm = spark.sparkContext._jvm
+        self.Path = jvm.org.apache.hadoop.fs.Path
+        self.fs = self.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _manifests(self) -> list[int]:
+        top = self.Path(f"{self.path}/manifests")
+        names = [f.getPath().getName() for f in self.fs.listStatus(top)] if self.fs.exists(top) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n[0].isdigit())
+
+    def _manifest(self, number: int | None = None) -> dict:
+        """The current manifest, or that of a number; an empty one if there is none."""
+        known = self._manifests()
+        if number is None and not known:
+            return {"number": -1, "buckets": self.buckets, "tables": {t: {} for t in self.TABLES}}
+        number = known[-1] if number is None else number
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/manifests/{number}.json").first()[0])
 
     def init(self) -> "Store":
-        for name, schema in (("decisions", DECISIONS), ("decision_chunks", CHUNKS)):
-            if self.version(name) is None:
-                self.write(name, self.spark.createDataFrame([], schema))
+        """Tables that are there stay, with the number of buckets that they were made with."""
+        if not self._manifests():
+            self._commit({}, [])
+        self.buckets = self._manifest()["buckets"]
         return self
 
-    def version(self, name: str) -> int | None:
-        top = self.Path(f"{self.path}/{name}")
-        if not self.fs.exists(top):
-            return None
-        found = [int(n[2:]) for f in self.fs.listStatus(top) if (n := f.getPath().getName()).startswith("v=") and self.fs.exists(self.Path(f"{self.path}/{name}/{n}/_SUCCESS"))]
-        return max(found, default=None)
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(DECISIONS if name == "decisions" else CHUNKS).parquet(f"{self.path}/{name}/v={self.version(name)}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        """The next version; it becomes current when its files are whole. The one before stays for readers, older ones go."""
-        now = self.version(name)
-        n = 0 if now is None else now + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/v={n}")
-        if n > 1:
-            self.fs.delete(self.Path(f"{self.path}/{name}/v={n - 2}"), True)
-
-    def ingest(self, chunks: DataFrame, seq: str | list[str] = "seq", on_duplicate: str = "keep_first") -> None:
-        """Decisions and chunks of one batch."""
-        self.write("decisions", upsert_decisions(self.read("decisions"), decisions_of(chunks, seq)))
-        self.write("decision_chunks", insert_chunks(self.read("decision_chunks"), first_chunks(chunks, seq, on_duplicate), self.read("decisions")))
+    def bucket(self, case_no: Column | str = "case_no") -> Column:
+        return F.pmod(F.xxhash64(case_no), F.lit(self.buckets)).cast("int")
+
+    def read(self, name: str, buckets: list[int] | None = None, manifest: dict | None = None) -> DataFrame:
+        """The table, or some of its buckets."""
+        schema, _ = self.TABLES[name]
+        versions = (manifest or self._manifest())["tables"][name]
+        paths = [f"{self.path}/{name}/v={v}/bucket={b}" for b, v in versions.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def case(self, name: str, case_no: str) -> DataFrame:
+        """A case's rows, from the one bucket that may have them."""
+        own = self.spark.range(1).select(self.bucket(F.lit(case_no)).alias("b")).first().b
+        return self.read(name, [own]).where(F.col("case_no") == case_no)
+
+    def _commit(self, tables: dict[str, DataFrame], touched: list[int]) -> None:
+        """The touched buckets of the tables as they are to be; a commit that loses a race for its number fails."""
+        now = self._manifest()
+        number = now["number"] + 1
+        versions = {t: dict(v) for t, v in now["tables"].items()}
+        for name, df in tables.items():
+            _, order = self.TABLES[name]
+            top = f"{self.path}/{name}/v={number}"
+            rows = df.withColumn("bucket", self.bucket()).repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", *order)
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(top)
+            written = {f.getPath().getName().removeprefix("bucket=") for f in self.fs.listStatus(self.Path(top))}
+            versions[name] = {b: v for b, v in versions[name].items() if int(b) not in touched} | {b: number for b in written if b.isdigit()}
+        text = json.dumps({"number": number, "buckets": now["buckets"], "tables": versions})
+        part, whole = self.Path(f"{self.path}/manifests/.{number}-{uuid.uuid4().hex}"), self.Path(f"{self.path}/manifests/{number}.json")
+        out = self.fs.create(part)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if self.fs.exists(whole) or not self.fs.rename(part, whole):
+            raise RuntimeError(f"another commit took number {number}")
+
+    def ingest(self, chunks: DataFrame, seq: str | list[str] = "seq", on_duplicate: str = "keep_first", make: Callable[[], Embedder] | None = None) -> None:
+        """Decisions and chunks of one batch, and with `make` the vectors that its buckets lack. Only buckets of the batch's cases are read and written."""
+        good = chunks.where("case_no is not null")
+        touched = [r.b for r in good.select(self.bucket().alias("b")).distinct().collect()]  # no more than there are buckets
+        if not touched:
+            return
+        now = self._manifest()
+        decisions = upsert_decisions(self.read("decisions", touched, now), decisions_of(good, seq))
+        ids = good.select("case_no").distinct().withColumn("id", decision_id("case_no"))
+        rows = insert_chunks(self.read("decision_chunks", touched, now), first_chunks(good, seq, on_duplicate), ids)
+        self._commit({"decisions": decisions, "decision_chunks": embed_in_place(rows, make) if make else rows}, touched)
+
+    def embed(self, make: Callable[[], Embedder]) -> None:
+        """Vectors for all chunks that have none, as after a model failed; only their buckets are written."""
+        rows = self.read("decision_chunks")
+        touched = [r.b for r in rows.where("embedding is null").select(self.bucket().alias("b")).distinct().collect()]
+        if touched:
+            self._commit({"decision_chunks": embed_in_place(self.read("decision_chunks", touched), make)}, touched)
+
+    def delete(self, case_nos: DataFrame) -> None:
+        touched = [r.b for r in case_nos.select(self.bucket().alias("b")).distinct().collect()]
+        if touched:
+            decisions, chunks = delete_decisions(self.read("decisions", touched), self.read("decision_chunks", touched), case_nos)
+            self._commit({"decisions": decisions, "decision_chunks": chunks}, touched)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Removes the files that none of the last `keep` manifests names. No commit may run meanwhile."""
+        numbers = self._manifests()
+        named = {(t, str(b), v) for n in numbers[-keep:] for t, versions in self._manifest(n)["tables"].items() for b, v in versions.items()}
+        for n in numbers[:-keep]:
+            self.fs.delete(self.Path(f"{self.path}/manifests/{n}.json"), False)
+        for name in self.TABLES:
+            top = self.Path(f"{self.path}/{name}")
+            for version in self.fs.listStatus(top) if self.fs.exists(top) else []:
+                v = int(version.getPath().getName().removeprefix("v="))
+                for f in self.fs.listStatus(version.getPath()):
+                    b = f.getPath().getName()
+                    if b.startswith("bucket=") and (name, b.removeprefix("bucket="), v) not in named:
+                        self.fs.delete(f.getPath(), True)

@@ -24,11 +24,11 @@ def read_jsonl(spark: SparkSession, path: str, tolerant: bool = True) -> DataFra
 
 
 def usable(records: DataFrame) -> DataFrame:
-    """Records that could be parsed, with empty year and month where they have none; a record without title, url or text is an error."""
+    """Records that could be parsed, with empty year and month where they have none, and seq if they have it; a record without title, url or text is an error."""
     missing = F.raise_error(F.lit("a record lacks title, url or text")).cast("string")
     checked = {c: F.when(F.col(c).isNull(), missing).otherwise(F.col(c)) for c in REQUIRED}
     good = records.where(F.col(CORRUPT).isNull()) if CORRUPT in records.columns else records
-    return good.select(F.coalesce("year", F.lit("")).alias("year"), F.coalesce("month", F.lit("")).alias("month"), *(x.alias(c) for c, x in checked.items()))
+    return good.select(F.coalesce("year", F.lit("")).alias("year"), F.coalesce("month", F.lit("")).alias("month"), *(x.alias(c) for c, x in checked.items()), *(["seq"] if "seq" in records.columns else []))
 
 
 def parse_jsonl(lines: DataFrame, line: str = "value") -> DataFrame:

@@ -10,30 +10,51 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import division_cut
 from ..operators.chunker import rag_chunks
-from ..operators.embed import Embedder, apply_embeddings, embed_pending
+from ..operators.embed import Embedder
+from ..operators.resume import cursor, resume_after, write_cursor
 from ..operators.store import Store, rejects
-from ..sources.records import RECORD, usable
+from ..sources.records import CORRUPT, RECORD, read_jsonl, usable
 
 
 def stored_chunks(records: DataFrame, clean: bool = True) -> DataFrame:
-    """Chunks of records with their ingest order `seq`: address, section, chunk."""
-    text = division_cut("text") if clean else F.col("text")
-    rows = rag_chunks(records.select("url", text.alias("text")))
-    return rows.withColumn("seq", F.struct("url", "section_pos", "chunk_index"))
+    """Chunks of records with their ingest order `seq`: that of the records (their seq, else their address), section, chunk."""
+    text, first = division_cut("text") if clean else F.col("text"), "seq" if "seq" in records.columns else "url"
+    rows = rag_chunks(records.select("url", F.col(first).alias("record"), text.alias("text")))
+    return rows.withColumn("seq", F.struct("record", "section_pos", "chunk_index"))
 
 
 def ingest(store: Store, records: DataFrame, make: Callable[[], Embedder] | None = None, rejected: str | None = None) -> None:
     """One batch. Documents without a case number go to `rejected`, where they can be taken up again."""
     chunks = stored_chunks(usable(records)).persist()
     try:
-        store.ingest(chunks)
+        store.ingest(chunks, make=make)
         if rejected:
             rejects(chunks).select("url").distinct().write.mode("append").json(rejected)
     finally:
         chunks.unpersist()
-    if make:
-        rows = store.read("decision_chunks")
-        store.write("decision_chunks", apply_embeddings(rows, embed_pending(rows, make)))
+
+
+def ingest_file(store: Store, path: str, cursor_path: str, make: Callable[[], Embedder] | None = None, rejected: str | None = None) -> dict[str, int]:
+    """A JSON-lines file from after the cursor on: cleaned, cut, stored and embedded, then the cursor moved to its last record.
+
+    Records follow each other as they lie in the file. A run that failed changes
+    nothing before the commit, and runs again from the same cursor; what is stored
+    already stays as it is. Returns the numbers of records and of unusable lines.
+    """
+    spark = store.spark
+    place = ("_metadata.file_path", "_metadata.file_block_start")
+    rows = read_jsonl(spark, path).select("*", F.struct(*(F.col(c) for c in place), F.monotonically_increasing_id().alias("at")).alias("seq"))
+    rows = resume_after(rows, cursor(spark, cursor_path)).persist()
+    try:
+        bad = rows.where(F.col(CORRUPT).isNotNull()).count()
+        good = rows.where(F.col(CORRUPT).isNull())
+        end = good.agg(F.count(F.lit(1)).alias("n"), F.max_by("url", "seq").alias("url")).first()
+        if end.n:
+            ingest(store, good, make, rejected)
+            write_cursor(spark, cursor_path, end.url)
+        return {"records": end.n, "unusable": bad}
+    finally:
+        rows.unpersist()
 
 
 def stream(spark: SparkSession, source: str, store: Store, checkpoint: str, make: Callable[[], Embedder] | None = None, rejected: str | None = None) -> StreamingQuery:
@@ -47,5 +68,12 @@ def stream(spark: SparkSession, source: str, store: Store, checkpoint: str, make
 
 
 def new_urls(spark: SparkSession, source: str, watermark: str | None = None) -> DataFrame:
-    """Addresses of a stream of records, each once."""
-    return spark.readStream.schema(RECORD).json(source).select("url").dropDuplicates(["url"])
+    """Addresses of a stream of records, each once.
+
+    With a watermark ("7 days") an address is remembered for that time after the file
+    that brought it was changed, which bounds the state; without one, for good.
+    """
+    rows = spark.readStream.schema(RECORD).json(source).select("url", F.col("_metadata.file_modification_time").alias("seen"))
+    if watermark:
+        return rows.withWatermark("seen", watermark).dropDuplicatesWithinWatermark(["url"]).select("url")
+    return rows.select("url").dropDuplicates(["url"])
