@@ -142,7 +142,7 @@ def sql() -> dict[str, str]:
         "html_title": rf"select page_id, {plain(TITLE_TAG)} as title from pages",
         "month_links": f"with {MONTH_LINKS} select page_id, month_key, url from month_links",
         "decision_links": f"with {DECISION_LINKS} select page_id, url from decision_links",
-        "crawl_fanout": f"with {MONTH_LINKS}, {DECISION_LINKS} select string_split(month_key, '-')[1] as year, string_split(month_key, '-')[2] as month, d.url from month_links m join decision_links d using (page_id) where page_id < 12",
+        "crawl_fanout": f"with {MONTH_LINKS}, {DECISION_LINKS} select string_split(month_key, '-')[1] as year, string_split(month_key, '-')[2] as month, d.url from month_links m join decision_links d using (page_id)",
         "url_join": f"select page_id, href, case when regexp_matches(href, '^[a-z][a-z0-9+.-]*:') then href when starts_with(href, '//') then 'https:' || href when starts_with(href, '/') then '{SITE}' || href else '{SITE}/' || href end as url from (select page_id, unnest([url, '/p/' || page_id, 'q' || page_id, '//cdn.example/' || page_id]) as href from pages)",
         "url_key": "select page_id, sha1(url) as url_key from pages",
         "skip_done": "select page_id from pages where url not in (select url from pages where page_id % 3 = 0)",

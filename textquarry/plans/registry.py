@@ -286,8 +286,8 @@ def decision_links(spark, d):
 
 
 def crawl_fanout(spark, d):
-    months = month_links(spark, d).where("page_id < 12").select("month_key", F.concat(F.lit("m"), F.col("page_id")).alias("url"))
-    found = decision_links(spark, d).where("page_id < 12").select(F.concat(F.lit("m"), F.col("page_id")).alias("page"), "url", F.length("url").alias("first_pos"))
+    months = month_links(spark, d).select("month_key", F.concat(F.lit("m"), F.col("page_id")).alias("url"))
+    found = decision_links(spark, d).select(F.concat(F.lit("m"), F.col("page_id")).alias("page"), "url", F.length("url").alias("first_pos"))
     return links.fan_out(months, found).select("year", "month", "url")
 
 
