@@ -587,6 +587,9 @@ def test_model_is_a_distribution_and_beats_the_base(spark, odd):
     assert sum(g.score for g in held) > sum(g.base_score for g in held)
     assert {i: r.score for i, r in got.items()} == {r.doc_id: r.score for r in pitmanyor.scored(docs).collect()}
     assert ids(pitmanyor.scored(written(odd.select("doc_id", "text"), "odd"))) == ids(odd)
+    alone = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]  # nothing to train on
+    some = pitmanyor.scored(written(docs_of(spark, [(i, "a b", "a") for i in alone]), "alone")).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in some} == {(3, 0, 0, 0.0)} and len(some) == len(alone)
 
 
 def test_predictive_probabilities_sum_to_one():

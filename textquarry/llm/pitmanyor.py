@@ -21,7 +21,8 @@ How it is spread out: texts are read in blocks of at most BLOCK_BYTES of one
 file split. A block tells each shard of the vocabulary which tokens and pairs it
 needs, with their counts in its training texts; a shard is a range of token
 digests, so that a frequent token is one entry for each block. Shards merge their
-counts, sample their seating, and answer each block. A sweep needs of the other
+counts, sample their seating, and answer each block. What is asked is shuffled
+once, to the shards' folders, and answers once, to the blocks' folders. A sweep needs of the other
 shards only the restaurants' totals, which are CONTEXTS numbers and recorded;
 a seating is a function of counts, totals and seed, and is sampled again where
 it is needed instead of being stored, so a lost executor changes nothing.
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, read, release, remainder, scratch
+from .common import Scratch, bounded_batches, read, remainder, scratch
 from .warc import opened
 
 CONTEXTS = 1 << 16
@@ -53,7 +54,7 @@ BLOCK_BYTES, SHARD_BYTES = 16 << 20, 3 << 20
 
 CONTEXT_BITS = np.uint64(16)
 LOW = np.uint64(CONTEXTS - 1)
-#: Folders of answers at most; more blocks than that share them.
+#: Folders of a table at most; more blocks or shards than that share them.
 MAX_FOLDERS = 20_000
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line end
 
@@ -82,9 +83,6 @@ class Block:
         self.lengths.append(len(words) + 1)
         self.size += len(data)
 
-    def folder(self, folders: int) -> int:
-        return zlib.crc32(self.name.encode()) % folders
-
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Different tokens in order; different pairs in order, as keys of a token's place and a context; the place of each token's pair; training counts."""
         tokens, contexts = np.concatenate(self.tokens), np.concatenate(self.contexts)
@@ -192,9 +190,6 @@ def _shard(row: dict) -> Shard:
     return Shard(np.frombuffer(row["tokens"], np.uint64), np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64), row["shard"])
 
 
-NOTHING = Shard(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
-
-
 REQUEST = "shard int, block string, tokens binary, each binary, contexts binary, counts binary"
 
 
@@ -227,28 +222,55 @@ def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
 MERGED = "shard int, tokens binary, keys binary, counts binary, types long, customers array<long>, pairs array<long>, once array<long>, twice array<long>"
 
 
-def merged(asked: DataFrame) -> DataFrame:
+class Stored:
+    """A table in the shared folder whose tasks fetch the rows of one value of a column: some values share a folder, in their order."""
+
+    def __init__(self, path: str, column: str, folders: int):
+        self.path, self.column, self.folders = path, column, folders
+
+    def write(self, df: DataFrame) -> "Stored":
+        folder = F.pmod(F.crc32(F.col(self.column).cast("string").cast("binary")), F.lit(self.folders))
+        rows = df.withColumn("folder", folder).repartition("folder").sortWithinPartitions("folder", self.column)
+        rows.write.option("parquet.block.size", 8 << 20).option("compression", "zstd").partitionBy("folder").parquet(self.path)
+        return self
+
+    def fetch(self, value, columns: list[str]) -> list[dict]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        files, top = opened(self.path)
+        out = []
+        for f in files.get_file_info(fs.FileSelector(f"{top}/folder={zlib.crc32(str(value).encode()) % self.folders}", allow_not_found=True)):
+            if f.base_name.endswith(".parquet"):
+                out += pq.read_table(f.path, filesystem=files, columns=columns, filters=[(self.column, "=", value)], partitioning=None).to_pylist()
+        return out
+
+
+def merged(spark: SparkSession, asked: Stored, shards: int) -> DataFrame:
     """A row for each shard: its keys that occur in training, and what it adds to the totals."""
     names = [x.split()[0] for x in MERGED.split(", ")]
     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), *[pa.list_(pa.int64())] * 4]
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        tokens, contexts, counts = [], [], []
-        for row in table.select(["tokens", "each", "contexts", "counts"]).to_pylist():
-            n = np.frombuffer(row["counts"], np.uint32)
-            for to, part in zip((tokens, contexts), pairs_of(row)):
-                to.append(part[n > 0])
-            counts.append(n[n > 0])
-        tokens, keys = keyed(np.concatenate(tokens), np.concatenate(contexts))
-        keys, place = np.unique(keys, return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
-        s = Shard(tokens, keys, counts, key[0].as_py())
-        per = lambda x=None: np.bincount(s.context, weights=x, minlength=CONTEXTS).astype(np.int64).tolist()
-        kinds_up = np.add.reduceat(np.ones(len(keys), np.int64), s.first) if len(keys) else np.zeros(0, np.int64)
-        row = (s.number, tokens.tobytes(), keys.tobytes(), counts.tobytes(), len(s.first), per(counts), per(), [int((counts == 1).sum()), int((kinds_up == 1).sum())], [int((counts == 2).sum()), int((kinds_up == 2).sum())])
-        return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names)
-
-    return asked.groupBy("shard").applyInArrow(merge, MERGED)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                tokens, contexts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint32)]
+                for row in asked.fetch(number, ["tokens", "each", "contexts", "counts"]):
+                    n = np.frombuffer(row["counts"], np.uint32)
+                    for to, part in zip((tokens, contexts), pairs_of(row)):
+                        to.append(part[n > 0])
+                    counts.append(n[n > 0])
+                tokens, keys = keyed(np.concatenate(tokens), np.concatenate(contexts))
+                keys, place = np.unique(keys, return_inverse=True)
+                counts = np.bincount(place, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+                s = Shard(tokens, keys, counts, number)
+                per = lambda x=None: np.bincount(s.context, weights=x, minlength=CONTEXTS).astype(np.int64).tolist()
+                kinds_up = np.add.reduceat(np.ones(len(keys), np.int64), s.first) if len(keys) else np.zeros(0, np.int64)
+                row = (number, tokens.tobytes(), keys.tobytes(), counts.tobytes(), len(s.first), per(counts), per(), [int((counts == 1).sum()), int((kinds_up == 1).sum())], [int((counts == 2).sum()), int((kinds_up == 2).sum())])
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
+
+    # Some shards a task where there are very many.
+    return spark.range(0, shards, 1, min(shards, 20_000)).mapInArrow(merge, MERGED)
 
 
 def _sums(df: DataFrame, column: str) -> np.ndarray:
@@ -275,7 +297,7 @@ def fitted(shards: DataFrame) -> dict:
                 sums = np.append(np.bincount(s.context, weights=t, minlength=CONTEXTS), tables.sum()).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"tables": pa.array([sums.tolist()], pa.list_(pa.int64()))})
 
-    for _ in range(SWEEPS if types else 0):
+    for _ in range(SWEEPS):
         sums = _sums(shards.select("shard", "tokens", "keys", "counts").mapInArrow(swept, "tables array<long>"), "tables")
         model["totals"].append((sums[:CONTEXTS], float(sums[CONTEXTS])))
     return model
@@ -284,25 +306,34 @@ def fitted(shards: DataFrame) -> dict:
 ANSWER = "block string, shard int, scores binary, counts binary"
 
 
-def answers(asked: DataFrame, shards: DataFrame, model: dict) -> DataFrame:
+def answers(asked: Stored, shards: DataFrame, model: dict) -> DataFrame:
     """For each block and shard: log10 of the averaged probability of each pair asked for, and the count of each token."""
-    def answer(key: tuple, ask: pa.Table, own: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = own.to_pylist()
-        s = _shard(rows[0]) if rows else NOTHING
+    names, kinds = [x.split()[0] for x in ANSWER.split(", ")], [pa.string(), pa.int32(), pa.binary(), pa.binary()]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from of_shard(_shard(row))
+
+    def of_shard(s: Shard) -> Iterator[pa.RecordBatch]:
         total = np.add.reduceat(s.counts, s.first) if len(s.keys) else s.counts
         samples = []
         for k, (t, up, tables) in enumerate(s.sampled(model, SWEEPS)):
             if k >= BURN_IN:
                 samples.append((k, t, parent_probability(model, k, up, tables)))
         room = STRENGTH + model["customers"]
-        for row in ask.select(["block", "tokens", "each", "contexts"]).to_pylist():
+        for row in asked.fetch(s.number, ["block", "tokens", "each", "contexts"]):
             token, context = pairs_of(row)
+            asked_tokens = np.frombuffer(row["tokens"], np.uint64)
+            count = np.zeros(len(asked_tokens), np.int64)
             if len(s.keys):
                 i = np.minimum(np.searchsorted(s.tokens, token), len(s.tokens) - 1)
                 known = s.tokens[i] == token
                 keys = (i.astype(np.uint64) << CONTEXT_BITS) | context.astype(np.uint64)
                 j = np.minimum(np.searchsorted(s.keys, keys), len(s.keys) - 1)
                 seen = known & (s.keys[j] == keys)
+                at = np.minimum(np.searchsorted(s.tokens, asked_tokens), len(s.tokens) - 1)
+                count = np.where(s.tokens[at] == asked_tokens, total[at], 0)
             context = context.astype(np.int64)
             p = np.zeros(len(token))
             for k, t, up in samples:
@@ -310,20 +341,10 @@ def answers(asked: DataFrame, shards: DataFrame, model: dict) -> DataFrame:
                 above = np.where(known, up[i], nothing) if len(s.keys) else np.full(len(token), nothing)
                 here = np.where(seen, s.counts[j] - model["d1"] * t[j], 0.0) if len(s.keys) else 0.0
                 p += (here + (STRENGTH + model["d1"] * model["totals"][k + 1][0][context]) * above) / room[context]
-            asked_tokens = np.frombuffer(row["tokens"], np.uint64)
-            if len(s.keys):
-                i = np.minimum(np.searchsorted(s.tokens, asked_tokens), len(s.tokens) - 1)
-                count = np.where(s.tokens[i] == asked_tokens, total[i], 0)
-            else:
-                count = np.zeros(len(asked_tokens), np.int64)
-            out = [[row["block"]], [key[0].as_py()], [np.log10(p / len(samples)).astype(np.float32).tobytes()], [count.astype(np.int64).tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.string(), pa.int32(), pa.binary(), pa.binary()])], [x.split()[0] for x in ANSWER.split(", ")])
-
-    def whole(key: tuple, ask: pa.Table, own: pa.Table) -> pa.Table:
-        found = list(answer(key, ask, own))
-        return pa.Table.from_batches(found) if found else pa.table({"block": pa.array([], pa.string()), "shard": pa.array([], pa.int32()), "scores": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+            out = [[row["block"]], [s.number], [np.log10(p / len(samples)).astype(np.float32).tobytes()], [count.astype(np.int64).tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
-    return asked.select("shard", "block", "tokens", "each", "contexts").groupBy("shard").cogroup(shards.select("shard", "tokens", "keys", "counts").groupBy("shard")).applyInArrow(whole, ANSWER)
+    return shards.select("shard", "tokens", "keys", "counts").mapInArrow(answer, ANSWER)
 
 
 SCORED = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -335,30 +356,19 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     bounded_batches(spark)
     rows = source(docs, doc_id, text)
     shards = shard_count(docs.select(doc_id, text))
-    folder = scratch(spark, "lm-answers")
     with Scratch(spark) as temp:
-        asked = temp.written(requests(rows, shards), "lm-asked")
-        state = temp.written(merged(asked), "lm-shards")
-        release(spark)
+        asked = Stored(temp.folder("lm-asked"), "shard", min(MAX_FOLDERS, shards)).write(requests(rows, shards))
+        state = temp.written(merged(spark, asked, shards), "lm-shards")
         model = fitted(state)
-        # Each block's answers lie in one folder, in order of blocks, where its task finds them again when it scores the texts.
-        folders = min(MAX_FOLDERS, max(1, asked.select("block").distinct().count()))
-        found = answers(asked, state, model).withColumn("folder", F.pmod(F.crc32(F.col("block").cast("binary")), F.lit(folders)))
-        found.repartition("folder").sortWithinPartitions("folder", "block").write.option("parquet.block.size", 8 << 20).option("compression", "zstd").partitionBy("folder").parquet(folder)
+        # As many folders as there are blocks, about: a block's texts come back for its answers.
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        found = Stored(scratch(spark, "lm-answers"), "block", min(MAX_FOLDERS, max(8, size // BLOCK_BYTES))).write(answers(asked, state, model))
     n, v = float(model["customers"].sum()), model["types"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        files, top = opened(folder)
         names = ["doc_id", *(x.split()[0] for x in SCORED.split(", "))]
         for block in blocks(batches):
-            parts = {}
-            for f in files.get_file_info(fs.FileSelector(f"{top}/folder={block.folder(folders)}")):
-                if f.base_name.endswith(".parquet"):
-                    table = pq.read_table(f.path, filesystem=files, columns=["shard", "scores", "counts"], filters=[("block", "=", block.name)], partitioning=None)
-                    parts.update((r["shard"], r) for r in table.to_pylist())
+            parts = {r["shard"]: r for r in found.fetch(block.name, ["shard", "scores", "counts"])}
             order = [parts[k] for k in sorted(parts)]
             _, keys, place, _ = block.pairs()
             of_pair = _ints([r["scores"] for r in order], np.float32).astype(np.float64)
