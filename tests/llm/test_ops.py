@@ -208,6 +208,30 @@ def test_machine_learns_a_pair():
     assert score("insult folk") > 0.7 > 0.4 > max(score("insult"), score("folk"), score("n1 n2"), score(""))
 
 
+def test_terms_that_tell_something_only_together(spark):
+    """Each of two words alone or none: as often toxic as not by itself; the pair decides. Learned from texts, through the choice of terms."""
+    rng = random.Random(24)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(["insulting"] * a + ["folkname"] * b + [f"n{rng.randrange(400)}" for _ in range(5)]), "a"))
+        labels.append((i, 0, int(a == b)))
+    machine = toxicity.learned(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    column = {b: i for i, b in enumerate(machine.buckets.tolist())}
+    score = lambda t: machine.score(toxicity.np.array(sorted(column[b] for b in toxicity.terms(t).tolist() if b in column), int))
+    assert min(score("insulting folkname n1"), score("n1 n2")) > 0.7 > 0.3 > max(score("insulting n1"), score("folkname n3"))
+
+
+def test_toxicity_score_is_the_sum_over_pairs():
+    np = toxicity.np
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(np.arange(9, dtype=np.int32), 0.3, rng.normal(size=9), rng.normal(size=(9, toxicity.FACTORS)))
+    for n in range(6):
+        own = rng.choice(9, n, replace=False)
+        y = 0.3 + sum(m.weights[i] for i in own) + sum(m.factors[i] @ m.factors[j] for i, j in itertools.combinations(own, 2))
+        assert m.score(np.array(sorted(own), int)) == pytest.approx(1 / (1 + math.exp(-y)))
+
+
 def test_toxicity_held_out(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.op3_toxicity(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()

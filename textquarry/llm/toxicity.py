@@ -3,7 +3,8 @@
 Terms are a text's different words and the prefixes of its longer words, hashed
 to BUCKETS. Training takes a bounded sample of the labelled rows (MAX_TRAIN, by
 digest of the id). From it the buckets whose share differs most between the two
-labels are kept (a two-proportion z of at least MIN_Z, MAX_TERMS at most); on
+labels are kept (a two-proportion z of at least MIN_Z, MAX_TERMS at most), and
+further those of pairs of terms that tell nothing alone but together; on
 them the machine learns a bias, a weight for each term and a factor vector for
 each term, whose inner products are the weights of pairs. So two terms that are
 harmless alone can count together. Terms count once a text, and a term that tells
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, free, read, remainder, written
 
 BUCKETS = 1 << 20
+#: Of the commonest PAIR_TERMS terms that tell nothing alone, those in at least PAIR_ROWS rows: pairs from PAIR_Z on, MAX_PAIRS at most.
+PAIR_TERMS, PAIR_ROWS, PAIR_Z, MAX_PAIRS = 1000, 20, 6.0, 128
 MAX_TRAIN, MAX_TERMS, MIN_Z = 16_000, 1024, 4.0
 FACTORS, EPOCHS, BATCH, RATE, L2 = 8, 40, 256, 0.1, 1e-5
 THRESHOLD = 0.7
@@ -84,8 +87,33 @@ def chosen(rows: DataFrame, min_z: float = MIN_Z, most: int = MAX_TERMS) -> np.n
     sums = rows.select("tq_label", "tq_terms").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     share = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n0 + 1 / n1))
-    best = sums.where("n0 + n1 >= 3").withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "bucket").limit(most).collect()
-    return np.array(sorted(r.bucket for r in best), np.int32)
+    sums = sums.where("n0 + n1 >= 3").withColumn("z", z)
+    best = {r.bucket for r in sums.where(F.col("z") >= min_z).orderBy(F.desc("z"), "bucket").limit(most).collect()}
+    plain = sums.where((F.col("z") < min_z) & (F.col("n0") + F.col("n1") >= PAIR_ROWS)).orderBy(F.desc(F.col("n0") + F.col("n1")), "bucket").limit(PAIR_TERMS).collect()
+    plain = np.array(sorted(r.bucket for r in plain), np.int32)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        together = np.zeros((2, len(plain), len(plain)), np.float32)  # exact up to 2 ** 24 rows
+        for batch in batches:
+            x = np.zeros((batch.num_rows, len(plain)), np.float32)
+            for i, packed in enumerate(batch.column(1).to_pylist()):
+                x[i, np.flatnonzero(np.isin(plain, np.frombuffer(packed, np.int32), assume_unique=True))] = 1
+            labels = batch.column(0).to_numpy()
+            for y in (0, 1):
+                together[y] += x[labels == y].T @ x[labels == y]
+        a, b = np.triu_indices(len(plain), 1)
+        c0, c1 = together[0][a, b], together[1][a, b]
+        share = np.clip((c0 + c1) / (n0 + n1), 1e-12, 1 - 1e-12)
+        z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
+        z[c0 + c1 < PAIR_ROWS] = 0
+        top = np.argsort(-z, kind="stable")[:MAX_PAIRS]
+        top = top[z[top] >= PAIR_Z]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.append(plain[a[top]], plain[b[top]])).astype(np.int64))], ["bucket"])
+
+    # The sample is bounded, so one task can hold it; of the pairs only their terms come to the driver.
+    if len(plain) > 1:
+        best |= {r.bucket for r in rows.select("tq_label", "tq_terms").coalesce(1).mapInArrow(pairs, "bucket long").collect()}
+    return np.array(sorted(best), np.int32)
 
 
 def trained(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, seed: int = 7) -> Machine:
