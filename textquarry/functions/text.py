@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space of Unicode strings, inside a character class.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same characters as a string. Trimming looks at a text's ends alone, where a pattern would be tried at each character.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -26,11 +28,11 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), rf"\A[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
+    return F.btrim(_col(text), F.lit(BLANKS))
 
 
 def lstrip(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), rf"\A[{WS}]++", "")
+    return F.ltrim(_col(text), F.lit(BLANKS))
 
 
 def lines(text: Column | str) -> Column:
