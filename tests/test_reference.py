@@ -187,10 +187,10 @@ def test_ingest_of_a_file_goes_on_after_its_cursor(spark, tmp_path):
     file, mark = tmp_path / "a.jsonl", str(tmp_path / "cursor")
     s = store.Store(spark, "file://" + str(tmp_path / "t"), buckets=4).init()
     file.write_text(line(1) + "not json\n" + line(2))
-    assert ingest_file(s, str(file), mark, lambda: embed.HashingEmbedder(8)) == {"records": 2, "unusable": 1}
-    assert ingest_file(s, str(file), mark) == {"records": 0, "unusable": 0}
+    assert ingest_file(s, str(file), mark, lambda: embed.HashingEmbedder(8)) == {"records": 2, "unusable": 1, "chunks": 4, "rejected": 0}
+    assert ingest_file(s, str(file), mark) == {"records": 0, "unusable": 0, "chunks": 0, "rejected": 0}
     file.write_text(line(1) + line(2) + line(3))
-    assert ingest_file(s, str(file), mark, lambda: embed.HashingEmbedder(8)) == {"records": 1, "unusable": 0}
+    assert ingest_file(s, str(file), mark, lambda: embed.HashingEmbedder(8)) == {"records": 1, "unusable": 0, "chunks": 2, "rejected": 0}
     assert {r.case_no for r in s.read("decisions").collect()} == {f"G.R. No. {i}" for i in (1, 2, 3)} and embed.pending(s.read("decision_chunks")).count() == 0
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text(line(1) + line(1) + line(2))
@@ -334,3 +334,68 @@ def test_crawl(spark):
     stored = first.where("url like '%1'")
     again = crawl(pages.where("url not like '%/d/2'"), root, root, done=stored.select("url"), cache=cache_of(first.where("url like '%2'")), stored=stored)
     assert rows(again) == every
+
+
+def test_crawl_of_a_site(spark, tmp_path):
+    """A server on this machine: sessions, tries, what is kept between crawls."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    from textquarry.operators.crawl import crawl_site
+
+    asked, down = [], {"/d/3"}
+    site = {
+        "/": '<div id="content"><h3>1996</h3><a href="/m/1">Jan</a><a href="/m/2">Feb</a></div>',
+        "/m/1": '<body><a href="/d/1">G.R. No. 1</a><a href="/d/2">G.R. No. 2</a><a href="/d/3">G.R. No. 3</a></body>',
+        "/m/2": '<body><a href="/d/4">A.M. No. 4</a></body>',
+    } | {f"/d/{i}": f"<title>t{i}</title><body><article>té {i}</article></body>" for i in (1, 2, 3, 4)}
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, self.headers["User-Agent"]))
+            self.send_response(500 if self.path in down else 200)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(site[self.path].encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        root, folder = f"http://127.0.0.1:{server.server_port}/", "file://" + str(tmp_path / "crawl")
+        fetch = lambda a: records.fetched(a, tasks=3, make=lambda: records.Session(tries=2, delay=0, backoff=0, agent="a test"))
+        rows = lambda df: sorted((r.year, r.month, r.title, r.url[-1], r.text) for r in df.collect())
+        every = [("1996", "Feb", "t4", "4", "té 4"), ("1996", "Jan", "t1", "1", "té 1"), ("1996", "Jan", "t2", "2", "té 2"), ("1996", "Jan", "t3", "3", "té 3")]
+        assert rows(crawl_site(spark, root, root, folder, fetch, commits=2)) == every[:3]
+        assert sorted(p for p, _ in asked) == sorted([*site, "/d/3"]) and {a for _, a in asked} == {"a test"}
+        assert [(r.url[-1], "500" in r.error) for r in spark.read.json(f"{folder}/failed").collect()] == [("3", True)]
+        asked.clear(), down.clear()
+        assert rows(crawl_site(spark, root, root, folder, fetch)) == every
+        assert sorted(p for p, _ in asked) == ["/", "/d/3", "/m/1", "/m/2"]
+        assert sorted(r.url[-1] for r in records.read_urls(spark, f"{folder}/done").collect()) == ["1", "2", "3", "4"]
+        down.add("/m/1")
+        with pytest.raises(Exception, match="no page at"):
+            crawl_site(spark, root, root, folder, fetch)
+    finally:
+        server.shutdown()
+
+
+def test_store_refuses_vectors_of_another_model(spark, tmp_path):
+    from textquarry.service import SearchService
+    from textquarry.streaming.ingest import ingest
+
+    path = "file://" + str(tmp_path / "t")
+    rows = spark.createDataFrame([("t", "u", "x\nFIRST DIVISION\n[ G.R. No. 7 ]\nFACTS\nIt was so.")], "title string, url string, text string").withColumn("year", F.lit("")).withColumn("month", F.lit(""))
+    s = store.Store(spark, path, buckets=4, model="m", dimension=8).init()
+    with pytest.raises(Exception, match="a vector of 4 elements where 8"):
+        ingest(s, rows, lambda: embed.HashingEmbedder(4))
+    assert ingest(s, rows, lambda: embed.HashingEmbedder(8)) == {"chunks": 2, "rejected": 0}
+    assert store.Store(spark, path).init().dimension == 8
+    for other in ({"model": "n"}, {"dimension": 4}):
+        with pytest.raises(ValueError, match="the store's"):
+            store.Store(spark, path, **other).init()
+    with pytest.raises(ValueError, match="8 elements"):
+        SearchService(spark, s.read("decision_chunks"), embed.HashingEmbedder(4))
+    assert SearchService(spark, s.read("decision_chunks"), embed.HashingEmbedder(8)).search("so", 1)["results"]

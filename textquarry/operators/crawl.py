@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import text_of, url_key
+from ..sources.records import fetched, read_urls
+from ..sources.tables import written_table
 from .links import decision_links, fan_out, month_links
 from .resume import skip_done
 
 RECORD = ["year", "month", "title", "url", "text"]
+CACHE = ", ".join(f"{c} string" for c in ["url_key", *RECORD])
+log = logging.getLogger(__name__)
 
 
 def frontier(pages: DataFrame, index_url: str, root: str, most: int | None = None) -> DataFrame:
@@ -20,6 +28,12 @@ def frontier(pages: DataFrame, index_url: str, root: str, most: int | None = Non
     return fan_out(months, found, most)
 
 
+def crawled(todo: DataFrame, pages: DataFrame) -> DataFrame:
+    """Records of the addresses (year, month, url) whose page is there."""
+    fresh = todo.select("year", "month", "url").join(pages.select("url", "html").where("html is not null"), "url").withColumn("p", text_of("html"))
+    return fresh.select("year", "month", F.col("p.title").alias("title"), "url", F.col("p.text").alias("text"))
+
+
 def crawl(pages: DataFrame, index_url: str, root: str, done: DataFrame | None = None, cache: DataFrame | None = None, stored: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Records (year, month, title, url, text) of the decisions, and those stored before.
 
@@ -35,8 +49,7 @@ def crawl(pages: DataFrame, index_url: str, root: str, done: DataFrame | None =
         keyed = todo.withColumn("url_key", url_key("url"))
         known = keyed.select("url_key").join(cache.dropDuplicates(["url_key"]), "url_key").select(RECORD)
         todo = keyed.join(cache.select("url_key"), "url_key", "left_anti")
-    fresh = todo.select("year", "month", "url").join(pages.where("html is not null"), "url").withColumn("p", text_of("html"))
-    out = fresh.select("year", "month", F.col("p.title").alias("title"), "url", F.col("p.text").alias("text"))
+    out = crawled(todo, pages)
     for more in (known, stored):
         out = out if more is None else out.unionByName(more.select(RECORD))
     return out
@@ -44,3 +57,52 @@ def crawl(pages: DataFrame, index_url: str, root: str, done: DataFrame | None =
 
 def cache_of(records: DataFrame) -> DataFrame:
     return records.select(url_key("url").alias("url_key"), *RECORD)
+
+
+def _there(pages: DataFrame) -> DataFrame:
+    """pages whose absence ends the crawl, written once."""
+    told = F.raise_error(F.concat(F.lit("no page at "), "url", F.lit(": "), "error")).cast("string")
+    return written_table(pages.select("url", F.when(F.col("error").isNull(), F.col("html")).otherwise(told).alias("html")), "crawl-pages")
+
+
+def _stored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(cache, done) of a crawl's folder, empty where it has none."""
+    try:
+        cache = spark.read.schema(CACHE).parquet(f"{folder}/cache")
+    except AnalysisException:
+        cache = spark.createDataFrame([], CACHE)
+    try:
+        done = read_urls(spark, f"{folder}/done")
+        done.schema  # noqa: B018
+    except AnalysisException:
+        done = spark.createDataFrame([], "url string")
+    return cache, done
+
+
+def crawl_site(spark: SparkSession, index_url: str, root: str, folder: str, fetch: Callable[[DataFrame], DataFrame] = fetched, most: int | None = None, commits: int = 1) -> DataFrame:
+    """Records of a site's decisions, of this crawl and of earlier ones in the same folder. Fetches only what it hasn't yet.
+
+    folder/cache keeps the records, folder/done their addresses, folder/failed what
+    couldn't be had (url, error), which the next crawl tries again. An index or
+    month page that can't be had is an error. Pages are committed in `commits`
+    parts by address, so that a crawl that ends early keeps those before.
+    """
+    index = _there(fetch(spark.createDataFrame([(index_url,)], "url string")))
+    months = written_table(month_links(index, "url", "html", root).select("month_key", "url"), "crawl-months")
+    listed = decision_links(_there(fetch(months.select("url"))), "url", "html", root)
+    every = written_table(fan_out(months, listed, most), "crawl-todo")
+    for r in every.groupBy("year", "month").count().orderBy("year", "month").toLocalIterator():
+        log.info("%s %s: %d candidates", r.year, r.month, r["count"])
+    for part in range(commits):
+        cache, done = _stored(spark, folder)
+        todo = every.where(F.pmod(F.xxhash64("url"), F.lit(commits)) == part)
+        todo = skip_done(skip_done(todo, done), cache)
+        # One address met in several months is one record, of its first month.
+        todo = todo.groupBy("url").agg(F.min(F.struct("year", "month")).alias("at")).select("url", "at.*")
+        pages = written_table(fetch(todo), "crawl-pages")
+        cache_of(crawled(todo, pages)).write.mode("append").parquet(f"{folder}/cache")
+        pages.where("html is null").select("url", "error").write.mode("append" if part else "overwrite").json(f"{folder}/failed")
+        cache, done = _stored(spark, folder)
+        skip_done(cache.select("url"), done).write.mode("append").text(f"{folder}/done")
+        log.info("part %d of %d: %d pages, %d failed", part + 1, commits, *pages.agg(F.count("html"), F.count("error")).first())
+    return _stored(spark, folder)[0].select(RECORD)

@@ -70,6 +70,14 @@ def embedded(text: Column | str, make: Callable[[], Embedder], prefix: str = PAS
     return run(F.col(text) if isinstance(text, str) else text)
 
 
+def of_size(vector: Column, dimension: int | None) -> Column:
+    """vector; an error where it hasn't `dimension` elements."""
+    if dimension is None:
+        return vector
+    told = F.raise_error(F.concat(F.lit("a vector of "), F.size(vector).cast("string"), F.lit(f" elements where {dimension} are stored"))).cast("array<float>")
+    return F.when(vector.isNull() | (F.size(vector) == dimension), vector).otherwise(told)
+
+
 def pending(chunks: DataFrame) -> DataFrame:
     return chunks.where("embedding is null").select("id", "text")
 
@@ -88,9 +96,9 @@ def apply_embeddings(chunks: DataFrame, new: DataFrame, now: Column | None = Non
     return chunks.join(new, "id", "left").select(*(changed[c].alias(c) if changed.get(c) is not None else F.col(c) for c in chunks.columns))
 
 
-def embed_in_place(chunks: DataFrame, make: Callable[[], Embedder], tokens: Callable[[Column], Column] = word_count, now: Column | None = None) -> DataFrame:
-    """chunks with vectors where they had none, in one pass: the model sees only the texts without one."""
+def embed_in_place(chunks: DataFrame, make: Callable[[], Embedder], tokens: Callable[[Column], Column] = word_count, now: Column | None = None, dimension: int | None = None) -> DataFrame:
+    """chunks with vectors where they had none, in one pass: the model sees only the texts without one. A vector of another size than `dimension` is an error."""
     now = F.current_timestamp() if now is None else now
     new, rows = F.col("tq_new"), chunks.withColumn("tq_new", embedded(F.when(F.col("embedding").isNull(), F.col("text")), make))
-    changed = {"embedding": F.coalesce("embedding", new), "token_count": F.when(new.isNotNull(), tokens(F.col("text")).cast("int")).otherwise(F.col("token_count")), "updated_at": F.when(new.isNotNull(), now).otherwise(F.col("updated_at"))}
+    changed = {"embedding": F.coalesce(F.col("embedding"), of_size(new, dimension)), "token_count": F.when(new.isNotNull(), tokens(F.col("text")).cast("int")).otherwise(F.col("token_count")), "updated_at": F.when(new.isNotNull(), now).otherwise(F.col("updated_at"))}
     return rows.select(*(changed.get(c, F.col(c)).alias(c) for c in chunks.columns))

@@ -97,13 +97,14 @@ class Store:
     manifest is what is current, so the tables change together or not at all,
     and a reader keeps the files that its manifest names until `vacuum`. Within a
     bucket rows stand by case number and chunk, so that a look-up reads one bucket
-    and few row groups.
+    and few row groups. The model's name and the size of its vectors, where given,
+    are kept in the manifest: another model's vectors are refused.
     """
 
     TABLES = {"decisions": (DECISIONS, ["case_no"]), "decision_chunks": (CHUNKS, ["case_no", "chunk_index"])}
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, model: str | None = None, dimension: int | None = None):
+        self.spark, self.path, self.buckets, self.model, self.dimension = spark, path.rstrip("/"), buckets, model, dimension
         jvm = spark.sparkContext._jvm
         self.Path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -125,7 +126,13 @@ class Store:
         """Tables that are there stay, with the number of buckets that they were made with."""
         if not self._manifests():
             self._commit({}, [])
-        self.buckets = self._manifest()["buckets"]
+        kept = self._manifest()
+        self.buckets = kept["buckets"]
+        for name in ("model", "dimension"):
+            asked, stored = getattr(self, name), kept.get(name)
+            if None not in (asked, stored) and asked != stored:
+                raise ValueError(f"the store's {name} is {stored}, not {asked}")
+            setattr(self, name, stored if asked is None else asked)
         return self
 
     def bucket(self, case_no: Column | str = "case_no") -> Column:
@@ -155,7 +162,8 @@ class Store:
             rows.write.mode("overwrite").partitionBy("bucket").parquet(top)
             written = {f.getPath().getName().removeprefix("bucket=") for f in self.fs.listStatus(self.Path(top))}
             versions[name] = {b: v for b, v in versions[name].items() if int(b) not in touched} | {b: number for b in written if b.isdigit()}
-        text = json.dumps({"number": number, "buckets": now["buckets"], "tables": versions})
+        kept = {n: now.get(n) if getattr(self, n) is None else getattr(self, n) for n in ("model", "dimension")}
+        text = json.dumps({"number": number, "buckets": now["buckets"], **kept, "tables": versions})
         part, whole = self.Path(f"{self.path}/manifests/.{number}-{uuid.uuid4().hex}"), self.Path(f"{self.path}/manifests/{number}.json")
         out = self.fs.create(part)
         out.write(bytearray(text.encode()))
@@ -173,14 +181,14 @@ class Store:
         decisions = upsert_decisions(self.read("decisions", touched, now), decisions_of(good, seq))
         ids = good.select("case_no").distinct().withColumn("id", decision_id("case_no"))
         rows = insert_chunks(self.read("decision_chunks", touched, now), first_chunks(good, seq, on_duplicate), ids)
-        self._commit({"decisions": decisions, "decision_chunks": embed_in_place(rows, make) if make else rows}, touched)
+        self._commit({"decisions": decisions, "decision_chunks": embed_in_place(rows, make, dimension=self.dimension) if make else rows}, touched)
 
     def embed(self, make: Callable[[], Embedder]) -> None:
         """Vectors for all chunks that have none, as after a model failed; only their buckets are written."""
         rows = self.read("decision_chunks")
         touched = [r.b for r in rows.where("embedding is null").select(self.bucket().alias("b")).distinct().collect()]
         if touched:
-            self._commit({"decision_chunks": embed_in_place(self.read("decision_chunks", touched), make)}, touched)
+            self._commit({"decision_chunks": embed_in_place(self.read("decision_chunks", touched), make, dimension=self.dimension)}, touched)
 
     def delete(self, case_nos: DataFrame) -> None:
         touched = [r.b for r in case_nos.select(self.bucket().alias("b")).distinct().collect()]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators.embed import QUERY, Embedder
 from .operators.search import K, exact, response
@@ -29,6 +30,9 @@ class SearchService:
     def __init__(self, spark: SparkSession, chunks: DataFrame, embedder: Embedder):
         if chunks is None:
             raise RuntimeError("no chunks to search")
+        one = chunks.where("embedding is not null").select(F.size("embedding").alias("n")).first()
+        if one and one.n != embedder.dimension:
+            raise ValueError(f"the chunks' vectors have {one.n} elements, the embedder's {embedder.dimension}")
         self.spark, self.chunks, self.embedder = spark, chunks, embedder
 
     def health(self) -> dict[str, str]:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import time
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +46,55 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("url")).where("url <> ''")
 
 
+class Session:
+    """One opener for all pages of a task, with its cookies and agent. A page has `tries` tries; after try i it waits `backoff` * i seconds, after a page `delay`."""
+
+    def __init__(self, tries: int = 3, timeout: float = 20.0, delay: float = 1.0, backoff: float = 1.5, agent: str = "textquarry"):
+        self.tries, self.timeout, self.delay, self.backoff = tries, timeout, delay, backoff
+        self.opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor())
+        self.opener.addheaders = [("User-Agent", agent)]
+
+    def fetch(self, url: str) -> str:
+        error: Exception = ValueError("no try")
+        for i in range(1, self.tries + 1):
+            try:
+                with self.opener.open(url, timeout=self.timeout) as got:
+                    page = got.read().decode(got.headers.get_content_charset() or "utf-8", "replace")
+                time.sleep(self.delay)
+                return page
+            except Exception as e:
+                error = e
+                time.sleep(self.backoff * i)
+        raise error
+
+    def row(self, url: str) -> tuple[str, str | None, str | None]:
+        try:
+            return url, self.fetch(url), None
+        except Exception as e:
+            return url, None, str(e) or type(e).__name__
+
+
+def fetched(addresses: DataFrame, url: str = "url", tasks: int | None = None, make: Callable[[], Session] = Session) -> DataFrame:
+    """(url, html, error) of the addresses of a DataFrame, each once; html is null where all tries failed.
+
+    Addresses are dealt by digest over `tasks` tasks (one a core by default), each
+    with a session of its own, and a page leaves its task as soon as it is there.
+    A lost task fetches its own addresses again and no others.
+    """
+    tasks = tasks or addresses.sparkSession.sparkContext.defaultParallelism
+    rows = addresses.select(F.col(url).alias("url")).where("url <> ''").repartition(tasks, "url").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session = make()
+        for batch in batches:
+            for address in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in session.row(address)], ["url", "html", "error"])
+
+    return rows.mapInArrow(run, "url string, html string, error string")
+
+
 class PageSource(DataSource):
-    """`spark.read.format("pages").option("urls", "...")`: (url, html, error) of pages, some addresses to a task.
+    """`spark.read.format("pages").option("urls", "...")`: (url, html, error) of a few pages, some addresses to a task. `fetched` takes a DataFrame of them.
 
     Options: urls (one a line), tries (3), timeout (20 s), delay (1 s after each
     page), backoff (1.5 s times the try), perTask (50), agent.
@@ -72,29 +120,13 @@ class PageReader(DataSourceReader):
     def __init__(self, options: dict):
         get = lambda k, d: options.get(k, options.get(k.lower(), d))
         self.urls = [u for u in get("urls", "").split("\n") if u]
-        self.tries, self.timeout, self.delay, self.backoff = int(get("tries", 3)), float(get("timeout", 20)), float(get("delay", 1)), float(get("backoff", 1.5))
-        self.per_task, self.agent = int(get("perTask", 50)), get("agent", "textquarry")
+        self.how = {"tries": int(get("tries", 3)), "timeout": float(get("timeout", 20)), "delay": float(get("delay", 1)), "backoff": float(get("backoff", 1.5)), "agent": get("agent", "textquarry")}
+        self.per_task = int(get("perTask", 50))
 
     def partitions(self) -> list[Urls]:
         return [Urls(self.urls[i : i + self.per_task]) for i in range(0, len(self.urls), self.per_task)] or [Urls([])]
 
     def read(self, partition: Urls) -> Iterator[tuple]:
+        session = Session(**self.how)
         for url in partition.urls:
-            try:
-                yield url, self.fetch(url), None
-            except Exception as e:
-                yield url, None, str(e)
-
-    def fetch(self, url: str) -> str:
-        error: Exception = ValueError("no try")
-        for i in range(self.tries):
-            try:
-                request = urllib.request.Request(url, headers={"User-Agent": self.agent})
-                with urllib.request.urlopen(request, timeout=self.timeout) as got:
-                    data = got.read().decode(got.headers.get_content_charset() or "utf-8", "replace")
-                time.sleep(self.delay)
-                return data
-            except Exception as e:
-                error = e
-                time.sleep(self.backoff * (i + 1))
-        raise error
+            yield session.row(url)

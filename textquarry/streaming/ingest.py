@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from ..operators.resume import cursor, resume_after, write_cursor
 from ..operators.store import Store, rejects
 from ..sources.records import CORRUPT, RECORD, read_jsonl, usable
 
+log = logging.getLogger(__name__)
+
 
 def stored_chunks(records: DataFrame, clean: bool = True) -> DataFrame:
     """Chunks of records with their ingest order `seq`: that of the records (their seq, else their address), section, chunk."""
@@ -23,13 +26,16 @@ def stored_chunks(records: DataFrame, clean: bool = True) -> DataFrame:
     return rows.withColumn("seq", F.struct("record", "section_pos", "chunk_index"))
 
 
-def ingest(store: Store, records: DataFrame, make: Callable[[], Embedder] | None = None, rejected: str | None = None) -> None:
-    """One batch. Documents without a case number go to `rejected`, where they can be taken up again."""
+def ingest(store: Store, records: DataFrame, make: Callable[[], Embedder] | None = None, rejected: str | None = None) -> dict[str, int]:
+    """One batch. Documents without a case number go to `rejected`, where they can be taken up again. Returns the numbers of chunks and of those without a case number."""
     chunks = stored_chunks(usable(records)).persist()
     try:
         store.ingest(chunks, make=make)
         if rejected:
             rejects(chunks).select("url").distinct().write.mode("append").json(rejected)
+        n = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("case_no").isNull()).alias("rejected")).first().asDict()
+        log.info("%(chunks)d chunks, %(rejected)d of them without a case number", n)
+        return n
     finally:
         chunks.unpersist()
 
@@ -39,7 +45,7 @@ def ingest_file(store: Store, path: str, cursor_path: str, make: Callable[[], Em
 
     Records follow each other as they lie in the file. A run that failed changes
     nothing before the commit, and runs again from the same cursor; what is stored
-    already stays as it is. Returns the numbers of records and of unusable lines.
+    already stays as it is. Returns the numbers of records, unusable lines, chunks and chunks without a case number.
     """
     spark = store.spark
     place = ("_metadata.file_path", "_metadata.file_block_start")
@@ -49,10 +55,12 @@ def ingest_file(store: Store, path: str, cursor_path: str, make: Callable[[], Em
         bad = rows.where(F.col(CORRUPT).isNotNull()).count()
         good = rows.where(F.col(CORRUPT).isNull())
         end = good.agg(F.count(F.lit(1)).alias("n"), F.max_by("url", "seq").alias("url")).first()
+        done = {"chunks": 0, "rejected": 0}
         if end.n:
-            ingest(store, good, make, rejected)
+            done = ingest(store, good, make, rejected)
             write_cursor(spark, cursor_path, end.url)
-        return {"records": end.n, "unusable": bad}
+        log.info("%d records, %d unusable lines", end.n, bad)
+        return {"records": end.n, "unusable": bad} | done
     finally:
         rows.unpersist()
 
@@ -64,7 +72,7 @@ def stream(spark: SparkSession, source: str, store: Store, checkpoint: str, make
     """
     records = spark.readStream.schema(RECORD).json(source)
     write = records.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    return write.foreachBatch(lambda batch, _: ingest(store, batch, make, rejected)).start()
+    return write.foreachBatch(lambda batch, _: ingest(store, batch, make, rejected) and None).start()
 
 
 def new_urls(spark: SparkSession, source: str, watermark: str | None = None) -> DataFrame:
