@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontam, mixing, neardup, pii, pitmanyor, quality, secrets, sortmeans, toxicity, unitdedup, warc
+from . import decontam, lexical, mixing, neardup, pii, pitmanyor, quality, secrets, sortmeans, toxicity, unitdedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,10 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_pitmanyor": pitmanyor.op9_pitmanyor,
         "op10_warc": warc.op10_warc,
+        "op11_lexical": lexical.op11_lexical,
         "op13_sortmeans": sortmeans.op13_sortmeans,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.SQL, "op4_neardup": neardup.SQL, "op6_decontamination": decontam.SQL, "op8_mixing": mixing.SQL, "op10_warc": warc.SQL, "op13_sortmeans": sortmeans.SQL}
+    return {"op1_quality": quality.SQL, "op4_neardup": neardup.SQL, "op6_decontamination": decontam.SQL, "op8_mixing": mixing.SQL, "op10_warc": warc.SQL, "op11_lexical": lexical.SQL, "op13_sortmeans": sortmeans.SQL}
