@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontam, lexical, mixing, neardup, pii, pitmanyor, quality, secrets, sortmeans, toxicity, unitdedup, warc
+from . import decontam, lexical, mixing, neardup, pii, pitmanyor, quality, secrets, sortmeans, tokenids, toxicity, unitdedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pitmanyor": pitmanyor.op9_pitmanyor,
         "op10_warc": warc.op10_warc,
         "op11_lexical": lexical.op11_lexical,
+        "op12_tokenids": tokenids.op12_tokenids,
         "op13_sortmeans": sortmeans.op13_sortmeans,
         "pipeline": corpus_pipeline.run,
     }
