@@ -1,10 +1,11 @@
 """Token ids of a corpus in binary files, by the range coder of `rangecoder`.
 
 Texts are encoded with a public tokenizer and end with an end id. A text is cut
-before every space that follows something other than white space: a byte-level
-tokenizer's own pattern ends a piece there whatever stands around, so ids of pieces
-joined are ids of the text, and pieces that repeat are looked up (`pieces=False` for
-tokenizers of which that isn't true). Rows go to files by ranges of ids, each
+before white space that follows something else, and between a Latin letter and an
+ASCII character that is none: a byte-level tokenizer's own pattern ends a piece
+there whatever stands around, so ids of pieces joined are ids of the text, and
+pieces that repeat are looked up (`pieces=False` for tokenizers of which that
+isn't true). Rows go to files by ranges of ids, each
 sorted; files by number hold the corpus in ascending order of ids, null ids first.
 Rows with equal ids are separate documents, ordered by a digest of what they hold.
 
@@ -30,8 +31,10 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +52,12 @@ END = 2
 GROUP = 2048 * rangecoder.BLOCK
 #: Ids of a file, about.
 FILE = 2 * GROUP
-#: Pieces that a task remembers.
+#: Types of `array` with the sizes of the ids' types. Arrays, numpy and the files are little-endian on all that Spark runs on.
+CODE = {"<u2": "H", "<u4": "I"}
+#: Pieces that a worker process remembers.
 REMEMBERED = 1_000_000
-BLANK = re.compile(r"(?<=\S)(?= )")
-BEFORE_BLANK = re.compile(r"\s ")
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+PIECE = re.compile(rf"\s*(?:[{LATIN}]+(?=[\x00-@\[-`{{-\x7f]|\Z)|\S+)|\s+")
 
 
 @lru_cache(maxsize=2)
@@ -64,31 +69,28 @@ def tokenizer(path: str):
 
 
 def pieces_of(text: str) -> list[str]:
-    """text cut before each space that follows something other than white space."""
-    if text[:1] == " " or BEFORE_BLANK.search(text):
-        return BLANK.split(text)
-    first, *others = text.split(" ")
-    return [first, *(" " + p for p in others)]
+    """text cut where a piece of the tokenizer's ends in any case."""
+    return PIECE.findall(text)
 
 
-class Pieces:
-    """Ids of texts as bytes, each different piece encoded once as long as it is remembered."""
+@lru_cache(maxsize=2)
+def remembered(path: str, kind: str) -> dict[str, bytes]:
+    """Ids of pieces; a worker process keeps them for its next tasks."""
+    return {}
 
-    def __init__(self, path: str, kind: str, cut: bool = True, most: int = REMEMBERED):
-        self.tokens, self.kind, self.cut, self.most, self.known = tokenizer(path), kind, cut, most, {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces_of(t) if self.cut else [t] for t in texts]
-        new = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, set().union(*cut)
-        new = list(new)
-        for piece, made in zip(new, self.tokens.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = np.array(made.ids, self.kind).tobytes()
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        if not self.cut:
-            self.known = {}
-        return out
+def encode(texts: list[str], path: str, kind: str, cut: bool = True, most: int = REMEMBERED) -> list[bytes]:
+    """Ids of texts as bytes, each different piece encoded once as long as it is remembered."""
+    known = remembered(path, kind) if cut else {}
+    pieces = [pieces_of(t) if cut else [t] for t in texts]
+    new = {p for own in pieces for p in filterfalse(known.__contains__, own)}
+    if len(known) + len(new) > most:
+        known.clear()
+        new = set().union(*pieces)
+    listed = list(new)
+    for piece, made in zip(listed, tokenizer(path).encode_batch_fast(listed, add_special_tokens=False)):
+        known[piece] = array(CODE[kind], made.ids).tobytes()
+    return [b"".join(map(known.__getitem__, own)) for own in pieces]
 
 
 def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int | None = END, pieces: bool = True) -> tuple[DataFrame, str]:
@@ -97,14 +99,13 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     bounded_batches(docs.sparkSession)
     last = np.array([] if end is None else [end], kind).tobytes()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = Pieces(path, kind, pieces)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = by.encode([t or "" for t in batch.column(1).to_pylist()])
+            ids = encode([t or "" for t in batch.column(1).to_pylist()], path, kind, pieces)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i + last for i in ids], pa.binary())], ["doc_id", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.BinaryType())])
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(encode, schema), kind
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema), kind
 
 
 def packed(docs: pa.Array, sizes: list[int], open_: bool, ids: np.ndarray) -> bytes:
