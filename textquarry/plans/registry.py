@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunker, embed, links, resume, search, sections, store
+from ..operators import chunker, embed, links, resume, search, sections, splitter, store
 from ..sources import records
 from ..sources.tables import scratch_path
-from . import oracle, synthetic
+from . import oracle, sentence_sql, synthetic
 
 SITE = "https://site.example/"
 DIMENSION = 16
@@ -165,6 +165,34 @@ def sentences_legal(spark, d):
     return rows.select("doc_id", "pos", F.md5("sentence").alias("sentence_md5"))
 
 
+def _learned(spark, d):
+    """What the decisions teach about sentence ends; all pairs and types, not those above the thresholds alone."""
+    words = splitter.tokens(decisions(spark, d))
+    types = splitter.abbreviations(words)
+    return types, splitter.contexts(words, types.where(F.col("score") >= splitter.ABBREVIATION))
+
+
+def sentence_abbreviations(spark, d):
+    return _learned(spark, d)[0].withColumn("score", F.round("score", 4) + 0.0)
+
+
+def sentence_starters(spark, d):
+    return splitter.starters(_learned(spark, d)[1]).withColumn("score", F.round("score", 4) + 0.0)
+
+
+def sentence_collocations(spark, d):
+    return splitter.collocations(_learned(spark, d)[1]).withColumn("score", F.round("score", 4) + 0.0)
+
+
+def sentences_trained(spark, d):
+    """The decisions cut by what they teach."""
+    docs = decisions(spark, d)
+    cut = splitter.trained(docs).splitter(spark)
+    rows = docs.select("doc_id", F.posexplode(cut("text")).alias("pos", "sentence"))
+    words = F.regexp_extract_all("sentence", F.lit(f"[^{T.WS}]+"), F.lit(0))
+    return rows.select("doc_id", "pos", F.size(words).cast("long").alias("n_words"), F.md5(F.array_join(words, " ")).alias("words_md5"))
+
+
 def _chunks(make):
     def run(spark, d):
         rows = read(spark, d, "documents").select("doc_id", F.posexplode(make(chunker.sentences("text"))).alias("chunk_index", "chunk"))
@@ -338,6 +366,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "result_labels": result_labels, "ivf_topk": ivf_topk, "ivf_lists": ivf_lists, "ivf_trained": ivf_trained, "scan_chunks": scan_chunks,
         "division_cut": division_cut, "meta_case_no": meta_case_no, "meta_division": meta_division, "meta_title": meta_title, "word_count": word_count,
         "heading_classify": heading_classify, "sections": section_rows, "sentences": sentences, "sentences_legal": sentences_legal,
+        "sentence_abbreviations": sentence_abbreviations, "sentence_starters": sentence_starters, "sentence_collocations": sentence_collocations, "sentences_trained": sentences_trained,
         "chunks": _chunks(chunker.chunks), "chunks_arrow": _chunks(chunker.chunks_arrow), "rag_chunks": rag_chunks,
         "decisions_upsert": decisions_upsert, "chunks_upsert": chunks_upsert, "chunk_decision_fk": chunk_decision_fk, "fk_check": fk_check, "rejects": rejects,
         "pending_embeddings": pending_embeddings, "pending_count": pending_count, "embed_passage": _embed(embed.PASSAGE), "embed_query": _embed(embed.QUERY), "token_count": token_count,
@@ -349,4 +378,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    return oracle.sql() | sentence_sql.sql()
