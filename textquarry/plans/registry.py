@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
+from ..functions import tokens
 from ..functions import vectors as V
 from ..operators import chunker, embed, links, resume, search, sections, splitter, store
 from ..sources import records
@@ -278,6 +279,13 @@ def token_count(spark, d):
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), T.word_count("text").cast("int").alias("token_count"))
 
 
+def token_count_subword(spark, d):
+    import public_tokenizers
+
+    count = tokens.subword_count(public_tokenizers.path("byte_bpe_50k.json"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), count("text").alias("token_count"))
+
+
 def embed_pending(spark, d):
     done = embed.embed_pending(partly_embedded(spark, d), lambda: embed.HashingEmbedder(DIMENSION))
     return done.select("id", "token_count", _weights("embedding")).where("weight <> 0").select("id", "token_count", "bucket", F.round(F.col("weight").cast("double"), 5).alias("weight"))
@@ -369,7 +377,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sentence_abbreviations": sentence_abbreviations, "sentence_starters": sentence_starters, "sentence_collocations": sentence_collocations, "sentences_trained": sentences_trained,
         "chunks": _chunks(chunker.chunks), "chunks_arrow": _chunks(chunker.chunks_arrow), "rag_chunks": rag_chunks,
         "decisions_upsert": decisions_upsert, "chunks_upsert": chunks_upsert, "chunk_decision_fk": chunk_decision_fk, "fk_check": fk_check, "rejects": rejects,
-        "pending_embeddings": pending_embeddings, "pending_count": pending_count, "embed_passage": _embed(embed.PASSAGE), "embed_query": _embed(embed.QUERY), "token_count": token_count,
+        "pending_embeddings": pending_embeddings, "pending_count": pending_count, "embed_passage": _embed(embed.PASSAGE), "embed_query": _embed(embed.QUERY), "token_count": token_count, "token_count_subword": token_count_subword,
         "embed_pending": embed_pending, "embed_update": embed_update,
         "html_text": html_text, "html_text_native": html_text_native, "html_title": html_title, "month_links": month_links, "decision_links": decision_links, "crawl_fanout": crawl_fanout,
         "url_join": url_join, "url_key": url_key, "skip_done": skip_done, "cache_lookup": cache_lookup, "resume_after": resume_after,
