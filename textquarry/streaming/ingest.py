@@ -15,6 +15,7 @@ from ..operators.embed import Embedder
 from ..operators.resume import cursor, resume_after, write_cursor
 from ..operators.store import Store, rejects
 from ..sources.records import CORRUPT, RECORD, read_jsonl, usable
+from ..sources.stream import RecordStream
 
 log = logging.getLogger(__name__)
 
@@ -75,6 +76,27 @@ def stream(spark: SparkSession, source: str, store: Store, checkpoint: str, make
     return write.foreachBatch(lambda batch, _: ingest(store, batch, make, rejected) and None).start()
 
 
+def stream_records(spark: SparkSession, source: str, store: Store, checkpoint: str, progress: str, make: Callable[[], Embedder] | None = None, rejected: str | None = None, unusable: str | None = None, most_bytes: int | None = None, seconds: float | None = None, growing: bool = False) -> StreamingQuery:
+    """The same from offsets in bytes: batches of at most `most_bytes`, in the order of files and lines, no record met by its address.
+
+    With `seconds` a batch starts that often until the query is stopped; without, one
+    run takes what is there (or one batch of `most_bytes`). Lines that can't be
+    used go to `unusable` as (file, at, line), a folder a batch, so that a batch that
+    runs again writes its own folder again.
+    """
+    spark.dataSource.register(RecordStream)
+    options = {"path": source, "progress": progress, "growing": str(growing).lower()} | ({"maxBytes": str(most_bytes)} if most_bytes else {})
+    rows = spark.readStream.format("record_stream").options(**options).load()
+
+    def take(batch: DataFrame, number: int) -> None:
+        if unusable:
+            batch.where(F.col(CORRUPT).isNotNull()).select("file", "at", F.col(CORRUPT).alias("line")).write.mode("overwrite").json(f"{unusable}/batch={number}")
+        ingest(store, batch.withColumn("seq", F.struct("file", "at")), make, rejected)
+
+    write = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)
+    return (write.trigger(processingTime=f"{seconds} seconds") if seconds else write.trigger(availableNow=True)).start()
+
+
 def new_urls(spark: SparkSession, source: str, watermark: str | None = None) -> DataFrame:
     """Addresses of a stream of records, each once.
 
