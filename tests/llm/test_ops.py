@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -469,6 +470,21 @@ def test_pii_base_spans(spark, odd):
     assert pii.personal_data(hard).count() == 3
 
 
+@pytest.mark.parametrize("blank", [" ", ";"])
+def test_pii_of_texts_with_very_many_spans(spark, blank):
+    """Time in proportion to the text; words that stand far off count as those that stand near."""
+    seconds = []
+    for n in (2_000, 60_000):
+        text = blank.join(f"mail u{i}@example.com XK-{i:07d}" if blank == " " else f"u{i}@example.com" for i in range(n)) + " card" + " " * 5000 + "4111 1111 1111 1111"
+        began = time.perf_counter()
+        got = pii.personal_data(docs_of(spark, [(1, text, "a")])).first()
+        seconds.append(time.perf_counter() - began)
+        assert len(got.base) == n + 1 and all(text[s.start : s.end] == s.value for s in got.base)
+        own = pii.instances(docs_of(spark, [(1, text, "a")]), "doc_id", "text").select(F.element_at("seeds", -1).alias("s")).first().s
+        assert own.value == "4111 1111 1111 1111" and "b card" in own.patterns
+    assert seconds[1] < 10 * seconds[0] + 10, seconds
+
+
 def test_pii_contexts_find_new_identifiers(spark):
     rows = [(i, f"hello memberid: user{i}@example.com and the end", "a") for i in range(6)] + [(100 + i, f"filler memberid: XK-{i}4471-77 then the word", "a") for i in range(4)]
     rows += [(200, "the AB-123456 is other", "a")] + [(300 + i, f"for u{i}@example.com only for us and for all", "a") for i in range(9)] + [(400, "for AB-99887766 it is not enough", "a")]

@@ -6,7 +6,7 @@ numbers and phone numbers. They are the seeds of a bootstrap over all documents:
 1. An instance is a string: a seed, or an identifier-like token (MIN_LENGTH
    characters with MIN_DIGITS digits) outside all base spans. Its patterns are
    lexical: the word before it, the two words before it, the word after it, and
-   the words on both sides. They stand within WITHIN characters of it.
+   the words on both sides, however far they are.
 2. A pattern's confidence is the sum of the scores over all occurrences of its
    instances, over the number of times that its words occur around anything, in
    all documents, less its occurrences at instances that are not believed yet. So
@@ -20,12 +20,19 @@ believed instance is a span of the kind `context`. Words that mostly stand aroun
 other things never become a pattern, however often they stand around a seed.
 
 Only DataFrame functions are used. Spans are code points, ends exclusive. Null
-and empty texts have none. Rows that share id and text get the same result. The
-base patterns are possessive, so that a text of one long word costs linear time.
+and empty texts have none. Rows that share id and text get the same result.
+
+Time is linear in a text but for sorting its spans: patterns are possessive, and
+every array is gone through by index. A text is cut at its words with a digit or an
+@, in one of which every span starts and ends; a word's neighbours are those of the
+pieces around it, places are prefix sums of lengths, and spans find their words by
+counts along both, sorted together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +46,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 SPACE = r"\x20\x09-\x0D"
-TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+#: A whole word with a digit or an @.
+MARKED = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+OPENING = "\"'([<"
+#: Sums are taken in runs of so many numbers, then over the runs.
+RUN = 256
 MIN_LENGTH, MIN_DIGITS = 6, 3
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE = 4, 0.6, 0.6
-#: A pattern's words stand within so many characters of an instance.
-WITHIN = 100
 #: Patterns that are sent to every task at most (a few MB).
 MAX_SENT = 100_000
 #: Kinds of patterns by first letter: the word before, the two before, the word after, and those on both sides.
@@ -53,20 +62,43 @@ SPAN = "struct<start:int,end:int,kind:int,value:string>"
 NONE = f"array<{SPAN}>"
 
 
-def places(text: Column, pattern: str, kind: int) -> Column:
-    """All matches with their places: lengths of what stands between them, and of themselves, are summed up."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.zip_with(matches, F.split(text, pattern, -1), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("spans"))
+def summed(rows: DataFrame, **numbers: Column) -> DataFrame:
+    """rows with the running sums of arrays of int as further columns.
+
+    A fold copies its result at each step, so it runs over short parts, then over
+    their ends. Steps are selections of their own, in which an array is a column.
+    """
+
+    def running(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.array_append(acc["out"], acc["s"] + v).alias("out")), lambda acc: acc["out"])
+
+    def parts(k: str) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(k) - 1, F.lit(0)), F.lit(RUN))
+        return F.transform(starts, lambda at: running(F.slice(k, at + 1, F.lit(RUN))))
+
+    rest, names = rows.columns, list(numbers)
+    rows = rows.select(*rest, *(v.alias(k) for k, v in numbers.items()))
+    rows = rows.select(*rest, *(parts(k).alias(k) for k in names))
+    rows = rows.select(*rest, *names, *(running(F.transform(k, lambda p: F.try_element_at(p, F.lit(-1)))).alias(f"{k}_end") for k in names))
+    # What a lambda takes from a column named once would be computed for each element, since Spark puts the column's expression in; so arrays are zipped.
+    first = lambda k: F.concat(F.array(F.lit(0)), F.slice(f"{k}_end", F.lit(1), F.size(k) - 1))
+    shifted = lambda k: F.flatten(F.zip_with(k, first(k), lambda p, before: F.transform(p, lambda v: v + before)))
+    return rows.select(*rest, *(shifted(k).alias(k) for k in names))
+
 
-    def add(acc, x):
-        a = acc["at"] + F.length(x["p"])
-        b = a + F.length(x["m"])
-        span = F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.array_append(acc["spans"], span).alias("spans")))
+def counted(rows: DataFrame, **asked: tuple[Column, Column, bool]) -> DataFrame:
+    """rows with, for each query, how many of some places are less, or equal too: name=(places, queries, equal), arrays of int."""
 
-    # The split comes only where something matched.
-    return F.when(F.size(matches) > 0, F.aggregate(between, start, add, lambda acc: acc["spans"])).otherwise(F.array().cast(NONE))
+    def merged(places: Column, queries: Column, equal: bool) -> Column:
+        own = F.transform(places, lambda p: F.struct(p.alias("at"), F.lit(0 if equal else 1).alias("side"), F.lit(-1).alias("i")))
+        return F.array_sort(F.concat(own, F.transform(queries, lambda q, i: F.struct(q.alias("at"), F.lit(1 if equal else 0).alias("side"), i.alias("i")))))
+
+    rest, names = rows.columns, list(asked)
+    rows = rows.select(*rest, *(merged(*v).alias(f"{k}_both") for k, v in asked.items()))
+    rows = summed(rows, **{k: F.transform(f"{k}_both", lambda x: (x["i"] < 0).cast("int")) for k in names})
+    told = lambda k: F.transform(F.array_sort(F.filter(F.zip_with(f"{k}_both", k, lambda x, n: F.struct(x["i"].alias("i"), n.alias("n"))), lambda x: x["i"] >= 0)), lambda x: x["n"])
+    return rows.select(*rest, *(told(k).alias(k) for k in names))
 
 
 def digits(value: Column) -> Column:
@@ -78,63 +110,103 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.filter(backwards, lambda v: v.isNotNull()), F.lit(0), lambda n, v: n + F.when(v > 9, v - 9).otherwise(v)) % 10 == 0
 
 
-def base(text: Column) -> Column:
-    """The base spans in order."""
-    some = F.contains(text, F.lit("@"))
+def matched(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, base, m, p, e) of rows (doc_id, tq_text): the base spans in order; the marked words, the pieces around them, and their ends."""
+    text, strings, ints = F.col("tq_text"), F.array().cast("array<string>"), F.array().cast("array<int>")
     number = text.rlike("[0-9]")
-    none = F.array().cast(NONE)
-    email = F.when(some, places(text, EMAIL, 0)).otherwise(none)
-    ip = F.filter(F.when(number, places(text, IP, 1)).otherwise(none), lambda s: s["value"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"))
-    card = F.filter(F.when(number, places(text, CARD, 2)).otherwise(none), lambda s: F.length(digits(s["value"])).between(14, 19) & luhn(digits(s["value"])))
-    phone = F.filter(F.when(F.contains(text, F.lit("+")), places(text, PHONE, 3)).otherwise(none), lambda s: F.length(digits(s["value"])).between(10, 15))
-    return F.array_sort(F.concat(email, ip, card, phone))
-
-
-def patterns_of(text: Column, start: Column, end: Column, value: Column) -> Column:
-    """The patterns of an instance at [start, end)."""
-    at = F.greatest(start - WITHIN, F.lit(0))
-    # A word that the window cuts has no blank before (or after) it and doesn't match.
-    left = F.concat(F.when(at == 0, " ").otherwise(""), F.substring(text, at + 1, start - at))
-    right = F.concat(F.substring(text, end + 1, F.lit(WITHIN)), F.when(F.length(text) <= end + WITHIN, " ").otherwise(""))
-    last = rf"[{SPACE}]([^{SPACE}]++)[{SPACE}]++[\"'(\[<]*+\z"
-    two = rf"[{SPACE}]([^{SPACE}]++)[{SPACE}]++[^{SPACE}]++[{SPACE}]++[\"'(\[<]*+\z"
-    # A match of nothing is an empty text here.
-    one = lambda pattern, where: F.lower(F.regexp_extract(where, pattern, 1))
-
-    def made(words: Column) -> Column:
-        b, t, a = words["b"], words["t"], words["a"]
-        return F.array(
-            F.when(b != "", F.concat(F.lit(BEFORE + " "), b)),
-            F.when((b != "") & (t != ""), F.concat(F.lit(TWO + " "), t, F.lit(" "), b)),
-            F.when(a != "", F.concat(F.lit(AFTER + " "), a)),
-            F.when((b != "") & (a != "") & ~value.rlike(f"[{SPACE}]"), F.concat(F.lit(AROUND + " "), b, F.lit(" "), a)),
-        )
-
-    words = F.struct(one(last, left).alias("b"), one(two, left).alias("t"), one(rf"\A[^{SPACE}]*+[{SPACE}]++([^{SPACE}]++)[{SPACE}]", right).alias("a"))
-    return F.filter(F.flatten(F.transform(F.array(words), made)), lambda p: p.isNotNull())
-
-
-def seeds(text: Column, spans: Column) -> Column:
+    kinds = {"k0": (EMAIL, F.contains(text, F.lit("@"))), "k1": (IP, number), "k2": (CARD, number), "k3": (PHONE, F.contains(text, F.lit("+"))), "m": (MARKED, F.lit(True))}
+    found = rows.select("doc_id", F.xxhash64("tq_text").alias("key"), "tq_text", *(F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(strings).alias(k) for k, (pattern, some) in kinds.items()))
+    # Texts are split only where something matched.
+    between = lambda k: F.when(F.size(k) > 0, F.split(text, kinds[k][0], -1))
+    lengths = [F.coalesce(F.transform(between(k), F.length), ints).alias(f"{k}_between") for k in kinds if k != "m"]
+    found = found.select("doc_id", "key", *kinds, *lengths, F.coalesce(between("m"), strings).alias("p"))
+    found = found.withColumn("m_between", F.transform("p", F.length))
+    ends = {f"{k}_ends": F.zip_with(k, F.slice(f"{k}_between", F.lit(1), F.size(k)), lambda m, n: F.length(m) + n) for k in kinds}
+    found = summed(found, **ends)
+    spans = [F.zip_with(f"k{i}", f"k{i}_ends", lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), F.lit(i).alias("kind"), m.alias("value"))) for i in range(4)]
+    kept = (
+        lambda s: F.lit(True),
+        lambda s: s["value"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"),
+        lambda s: F.length(digits(s["value"])).between(14, 19) & luhn(digits(s["value"])),
+        lambda s: F.length(digits(s["value"])).between(10, 15),
+    )
+    base = F.array_sort(F.concat(*(F.filter(x, k) for x, k in zip(spans, kept))))
+    return found.select("doc_id", "key", base.alias("base"), "m", "p", F.col("m_ends").alias("e"))
+
+
+def marked_words(rows: DataFrame) -> DataFrame:
+    """rows of `matched` with `words`: (start, end, value, opening, before, two, after) of each marked word.
+
+    opening: how many of its characters open a bracket or quote before anything
+    else. The other words of the text stand in the pieces between marked ones.
+    """
+    rest = ["doc_id", "key", "base"]
+    word, blank = rf"(?<![^{SPACE}])([^{SPACE}]++)", f"[{SPACE}]"
+    ends = lambda x: F.struct(F.regexp_extract(x, rf"{word}{blank}*+\z", 1).alias("last"), F.regexp_extract(x, rf"{word}{blank}++[^{SPACE}]++{blank}*+\z", 1).alias("second"), F.regexp_extract(x, rf"\A{blank}*+([^{SPACE}]++)", 1).alias("first"))
+    rows = rows.select(*rest, "m", F.transform("p", ends).alias("t"), "e")
+    m, t = F.col("m"), F.col("t")
+    # The words before the k-th marked one: of the piece before it, else the marked one before.
+    before = F.transform(m, lambda w, k: F.when(t[k]["last"] != "", t[k]["last"]).otherwise(F.get(m, k - 1)))
+    rows = rows.select(*rest, "m", "t", "e", before.alias("b"))
+    two = lambda k: F.when(t[k]["second"] != "", t[k]["second"]).when(t[k]["last"] != "", F.get(m, k - 1)).otherwise(F.get(F.col("b"), k - 1))
+    after = lambda k: F.when(t[k + 1]["first"] != "", t[k + 1]["first"]).otherwise(F.get(m, k + 1))
+
+    def told(w, k):
+        end = F.col("e")[k]
+        return F.struct((end - F.length(w)).alias("start"), end.alias("end"), w.alias("value"), (F.length(w) - F.length(F.ltrim(w, F.lit(OPENING)))).alias("opening"), F.lower(F.col("b")[k]).alias("before"), F.lower(two(k)).alias("two"), F.lower(after(k)).alias("after"))
+
+    return rows.select(*rest, F.transform(m, told).alias("words"))
+
+
+def patterns_of(start: Column, value: Column, first: Column, last: Column) -> Column:
+    """The patterns of an instance that starts in the marked word `first` and ends in `last`. Within its word only opening marks may stand before it."""
+    led = start - first["start"] <= first["opening"]
+    b, t, a = F.when(led, first["before"]), F.when(led, first["two"]), last["after"]
+    made = F.array(
+        F.concat(F.lit(BEFORE + " "), b),
+        F.concat(F.lit(TWO + " "), t, F.lit(" "), b),
+        F.concat(F.lit(AFTER + " "), a),
+        F.when(~value.rlike(f"[{SPACE}]"), F.concat(F.lit(AROUND + " "), b, F.lit(" "), a)),
+    )
+    return F.array_compact(made)  # of a word that isn't there there is no pattern
+
+
+def seeds(base: Column, words: Column, at: Column, to: Column) -> Column:
     """(patterns, value, n) of each span. n is 0 where the span before starts at the same place, which is one occurrence."""
-    def one(s, i):
-        again = F.coalesce(F.get(spans, i - 1)["start"] == s["start"], F.lit(False))
-        return F.struct(patterns_of(text, s["start"], s["end"], s["value"]).alias("patterns"), s["value"].alias("value"), F.when(again, 0).otherwise(1).alias("n"))
 
-    return F.transform(spans, one)
+    numbered = F.zip_with(base, F.zip_with(at, to, lambda a, t: F.struct(a.alias("at"), t.alias("to"))), lambda s, x: F.struct(s.alias("s"), x["at"].alias("at"), x["to"].alias("to")))
+
+    def one(x, i):
+        s = x["s"]
+        again = F.coalesce(F.get(base, i - 1)["start"] == s["start"], F.lit(False))
+        return F.struct(patterns_of(s["start"], s["value"], F.get(words, x["at"] - 1), F.get(words, x["to"])).alias("patterns"), s["value"].alias("value"), F.when(again, 0).otherwise(1).alias("n"))
+
+    return F.transform(numbered, one)
 
 
-def tokens(text: Column, spans: Column) -> Column:
-    """(patterns, value, start, end) of the identifier-like tokens outside the base spans."""
-    def core(s):
-        start = s["end"] - F.length(F.regexp_replace(s["value"], r"^[^A-Za-z0-9]*+", ""))
-        value = F.regexp_extract(s["value"], r"^[^A-Za-z0-9]*+(.*[A-Za-z0-9])[^A-Za-z0-9]*$", 1)
-        return F.struct(value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end"))
+def cores(words: Column) -> Column:
+    """(value, start, end, k) of the identifier-like cores of the marked words, k being the word's number."""
 
-    def taken(x):
-        return (F.length(x["value"]) >= MIN_LENGTH) & (F.length(digits(x["value"])) >= MIN_DIGITS) & ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
+    def core(w, k):
+        start = w["end"] - F.length(F.regexp_replace(w["value"], r"^[^A-Za-z0-9]*+", ""))
+        value = F.regexp_extract(w["value"], r"^[^A-Za-z0-9]*+(.*[A-Za-z0-9])[^A-Za-z0-9]*$", 1)
+        return F.struct(value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end"), k.alias("k"))
 
-    found = F.filter(F.transform(places(text, TOKEN, 4), core), taken)
-    return F.transform(found, lambda x: F.struct(patterns_of(text, x["start"], x["end"], x["value"]).alias("patterns"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.filter(F.transform(words, core), lambda x: (F.length(x["value"]) >= MIN_LENGTH) & (F.length(digits(x["value"])) >= MIN_DIGITS))
+
+
+def instances(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, key, base, seeds, tokens) of each row: its base spans, those with their patterns, and the identifier-like tokens outside them."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("tq_text"))
+    rows = marked_words(matched(own))
+    rows = rows.select("*", cores(F.col("words")).alias("cores"))
+    span, word, core = F.col("base"), F.col("words"), F.col("cores")
+    # Spans find the marked words that they start and end in. A core meets a span where more spans start before its end than end before its start.
+    rows = counted(rows, at=(word["start"], span["start"], True), to=(word["end"], span["end"], False), begun=(span["start"], core["end"], False), over=(span["end"], core["start"], True))
+    rows = rows.select("doc_id", "key", "base", "words", "cores", seeds(span, word, F.col("at"), F.col("to")).alias("seeds"), F.zip_with("begun", "over", lambda a, b: a > b).alias("met"))
+    free = F.filter(F.zip_with(core, "met", lambda x, m: F.struct(x.alias("x"), m.alias("m"))), lambda y: ~y["m"])
+    tokens = F.transform(free, lambda y: F.struct(patterns_of(y["x"]["start"], y["x"]["value"], F.get(word, y["x"]["k"]), F.get(word, y["x"]["k"])).alias("patterns"), y["x"]["value"].alias("value"), y["x"]["start"].alias("start"), y["x"]["end"].alias("end")))
+    return rows.select("doc_id", "key", "base", "seeds", tokens.alias("tokens"))
 
 
 def occurrences(texts: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
@@ -190,11 +262,7 @@ def believed(found: DataFrame, texts: DataFrame, text: str, temp: Scratch) -> Da
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, spans): arrays of spans of each row, without and with those found by context."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("tq_text"))
-    rows = own.withColumn("base", base(F.col("tq_text")))
-    rows = rows.select("doc_id", F.xxhash64("tq_text").alias("key"), "base",
-                       seeds(F.col("tq_text"), F.col("base")).alias("seeds"),
-                       F.when(F.col("tq_text").rlike("[0-9]"), tokens(F.col("tq_text"), F.col("base"))).alias("tokens"))
+    rows = instances(docs, doc_id, text)
     rows = written(rows, "pii")
     with Scratch(docs.sparkSession) as temp:
         known = rows.select(F.explode("seeds").alias("x")).select(F.explode("x.patterns").alias("pattern"), "x.value", F.lit(True).alias("seed"), "x.n")
