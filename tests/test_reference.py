@@ -342,6 +342,7 @@ def test_crawl_of_a_site(spark, tmp_path):
     from threading import Thread
 
     from textquarry.operators.crawl import crawl_site
+    from textquarry.sources.sink import CrawlLog
 
     asked, down = [], {"/d/3"}
     site = {
@@ -370,11 +371,11 @@ def test_crawl_of_a_site(spark, tmp_path):
         every = [("1996", "Feb", "t4", "4", "té 4"), ("1996", "Jan", "t1", "1", "té 1"), ("1996", "Jan", "t2", "2", "té 2"), ("1996", "Jan", "t3", "3", "té 3")]
         assert rows(crawl_site(spark, root, root, folder, fetch, commits=2)) == every[:3]
         assert sorted(p for p, _ in asked) == sorted([*site, "/d/3"]) and {a for _, a in asked} == {"a test"}
-        assert [(r.url[-1], "500" in r.error) for r in spark.read.json(f"{folder}/failed").collect()] == [("3", True)]
+        assert [(r.url[-1], "500" in r.error) for r in CrawlLog(spark, folder).failed.collect()] == [("3", True)]
         asked.clear(), down.clear()
         assert rows(crawl_site(spark, root, root, folder, fetch)) == every
         assert sorted(p for p, _ in asked) == ["/", "/d/3", "/m/1", "/m/2"]
-        assert sorted(r.url[-1] for r in records.read_urls(spark, f"{folder}/done").collect()) == ["1", "2", "3", "4"]
+        assert sorted(r.url[-1] for r in CrawlLog(spark, folder).done.collect()) == ["1", "2", "3", "4"] and CrawlLog(spark, folder).failed.isEmpty()
         down.add("/m/1")
         with pytest.raises(Exception, match="no page at"):
             crawl_site(spark, root, root, folder, fetch)

@@ -5,18 +5,17 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import text_of, url_key
-from ..sources.records import fetched, read_urls
+from ..sources.records import fetched
+from ..sources.sink import CrawlLog, committed
 from ..sources.tables import written_table
 from .links import decision_links, fan_out, month_links
 from .resume import skip_done
 
 RECORD = ["year", "month", "title", "url", "text"]
-CACHE = ", ".join(f"{c} string" for c in ["url_key", *RECORD])
 log = logging.getLogger(__name__)
 
 
@@ -65,26 +64,12 @@ def _there(pages: DataFrame) -> DataFrame:
     return written_table(pages.select("url", F.when(F.col("error").isNull(), F.col("html")).otherwise(told).alias("html")), "crawl-pages")
 
 
-def _stored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(cache, done) of a crawl's folder, empty where it has none."""
-    try:
-        cache = spark.read.schema(CACHE).parquet(f"{folder}/cache")
-    except AnalysisException:
-        cache = spark.createDataFrame([], CACHE)
-    try:
-        done = read_urls(spark, f"{folder}/done")
-        done.schema  # noqa: B018
-    except AnalysisException:
-        done = spark.createDataFrame([], "url string")
-    return cache, done
-
-
 def crawl_site(spark: SparkSession, index_url: str, root: str, folder: str, fetch: Callable[[DataFrame], DataFrame] = fetched, most: int | None = None, commits: int = 1) -> DataFrame:
     """Records of a site's decisions, of this crawl and of earlier ones in the same folder. Fetches only what it hasn't yet.
 
-    folder/cache keeps the records, folder/done their addresses, folder/failed what
-    couldn't be had (url, error), which the next crawl tries again. An index or
-    month page that can't be had is an error. Pages are committed in `commits`
+    The folder is a `CrawlLog`: what a part of the crawl had and what it couldn't
+    have are committed together, and the next crawl tries the latter again. An index
+    or month page that can't be had is an error. Pages are committed in `commits`
     parts by address, so that a crawl that ends early keeps those before.
     """
     index = _there(fetch(spark.createDataFrame([(index_url,)], "url string")))
@@ -93,16 +78,13 @@ def crawl_site(spark: SparkSession, index_url: str, root: str, folder: str, fetc
     every = written_table(fan_out(months, listed, most), "crawl-todo")
     for r in every.groupBy("year", "month").count().orderBy("year", "month").toLocalIterator():
         log.info("%s %s: %d candidates", r.year, r.month, r["count"])
+    log_ = CrawlLog(spark, folder)
     for part in range(commits):
-        cache, done = _stored(spark, folder)
-        todo = every.where(F.pmod(F.xxhash64("url"), F.lit(commits)) == part)
-        todo = skip_done(skip_done(todo, done), cache)
+        todo = skip_done(every.where(F.pmod(F.xxhash64("url"), F.lit(commits)) == part), log_.done)
         # One address met in several months is one record, of its first month.
         todo = todo.groupBy("url").agg(F.min(F.struct("year", "month")).alias("at")).select("url", "at.*")
         pages = written_table(fetch(todo), "crawl-pages")
-        cache_of(crawled(todo, pages)).write.mode("append").parquet(f"{folder}/cache")
-        pages.where("html is null").select("url", "error").write.mode("append" if part else "overwrite").json(f"{folder}/failed")
-        cache, done = _stored(spark, folder)
-        skip_done(cache.select("url"), done).write.mode("append").text(f"{folder}/done")
+        lost = pages.where("html is null").select(*(F.col(c) if c == "url" else F.lit(None).cast("string").alias(c) for c in RECORD), F.coalesce("error", F.lit("no page")).alias("error"))
+        log_ = committed(crawled(todo, pages).withColumn("error", F.lit(None).cast("string")).unionByName(lost), folder)
         log.info("part %d of %d: %d pages, %d failed", part + 1, commits, *pages.agg(F.count("html"), F.count("error")).first())
-    return _stored(spark, folder)[0].select(RECORD)
+    return log_.records.select(RECORD)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import time
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
+from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -46,49 +49,75 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("url")).where("url <> ''")
 
 
+def host(url: Column | str) -> Column:
+    """The server of an address, in small letters; what stands before @ is left out."""
+    return F.lower(F.regexp_extract(F.col(url) if isinstance(url, str) else url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
+
+
 class Session:
-    """One opener for all pages of a task, with its cookies and agent. A page has `tries` tries; after try i it waits `backoff` * i seconds, after a page `delay`."""
+    """One opener for all pages of a task, with its cookies and agent, and one pace for each host.
+
+    A page has `tries` tries. A host is left alone for `delay` seconds after a page,
+    `backoff` * i after try i has failed, or as long as it asks for (Retry-After, no
+    longer than `patience`). Meanwhile the pages of other hosts have their turn.
+    """
 
-    def __init__(self, tries: int = 3, timeout: float = 20.0, delay: float = 1.0, backoff: float = 1.5, agent: str = "textquarry"):
-        self.tries, self.timeout, self.delay, self.backoff = tries, timeout, delay, backoff
+    def __init__(self, tries: int = 3, timeout: float = 20.0, delay: float = 1.0, backoff: float = 1.5, agent: str = "textquarry", patience: float = 600.0):
+        self.tries, self.timeout, self.delay, self.backoff, self.patience = tries, timeout, delay, backoff, patience
         self.opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor())
         self.opener.addheaders = [("User-Agent", agent)]
+        self.ready: dict[str, float] = {}
 
-    def fetch(self, url: str) -> str:
-        error: Exception = ValueError("no try")
-        for i in range(1, self.tries + 1):
-            try:
-                with self.opener.open(url, timeout=self.timeout) as got:
-                    page = got.read().decode(got.headers.get_content_charset() or "utf-8", "replace")
-                time.sleep(self.delay)
-                return page
-            except Exception as e:
-                error = e
-                time.sleep(self.backoff * i)
-        raise error
-
-    def row(self, url: str) -> tuple[str, str | None, str | None]:
+    def once(self, url: str, server: str, n: int) -> tuple[str | None, Exception | None]:
+        """(page, error) of the n-th try, when the host is ready for it."""
+        time.sleep(max(0.0, self.ready.get(server, 0.0) - time.monotonic()))
+        pause = self.delay
         try:
-            return url, self.fetch(url), None
+            with self.opener.open(url, timeout=self.timeout) as got:
+                return got.read().decode(got.headers.get_content_charset() or "utf-8", "replace"), None
         except Exception as e:
-            return url, None, str(e) or type(e).__name__
+            asked = getattr(e, "headers", None) and e.headers.get("Retry-After")
+            pause = min(self.patience, float(asked)) if asked and asked.strip().isdigit() else self.backoff * n
+            return None, e
+        finally:
+            self.ready[server] = time.monotonic() + pause
+
+    def rows(self, urls: Iterable[str]) -> Iterator[tuple[str, str | None, str | None]]:
+        """(url, page, error) of each address, in the order in which hosts are ready."""
+        queues: dict[str, deque] = {}
+        for url in urls:
+            queues.setdefault(urlsplit(url).netloc.rpartition("@")[2].lower(), deque()).append((url, 1))
+        turns = [(self.ready.get(h, 0.0), h) for h in queues]
+        heapify(turns)
+        while turns:
+            _, h = heappop(turns)
+            url, n = queues[h].popleft()
+            page, error = self.once(url, h, n)
+            if error is not None and n < self.tries:
+                queues[h].appendleft((url, n + 1))
+            else:
+                yield url, page, None if error is None else str(error) or type(error).__name__
+            if queues[h]:
+                heappush(turns, (self.ready[h], h))
 
 
 def fetched(addresses: DataFrame, url: str = "url", tasks: int | None = None, make: Callable[[], Session] = Session) -> DataFrame:
     """(url, html, error) of the addresses of a DataFrame, each once; html is null where all tries failed.
 
-    Addresses are dealt by digest over `tasks` tasks (one a core by default), each
-    with a session of its own, and a page leaves its task as soon as it is there.
-    A lost task fetches its own addresses again and no others.
+    Addresses are dealt by host over `tasks` tasks (one a core by default), so that
+    one task keeps a host's pace whatever their number, and mixed within the task, so
+    that its hosts take turns. Each has a session of its own, and a page leaves its
+    task as soon as it is there. A lost task fetches its own addresses again and no others.
     """
     tasks = tasks or addresses.sparkSession.sparkContext.defaultParallelism
-    rows = addresses.select(F.col(url).alias("url")).where("url <> ''").repartition(tasks, "url").distinct()
+    rows = addresses.select(F.col(url).alias("url")).where("url <> ''").distinct()
+    rows = rows.repartition(tasks, host("url")).sortWithinPartitions(F.xxhash64("url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session = make()
         for batch in batches:
-            for address in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in session.row(address)], ["url", "html", "error"])
+            for row in session.rows(batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], ["url", "html", "error"])
 
     return rows.mapInArrow(run, "url string, html string, error string")
 
@@ -127,6 +156,4 @@ class PageReader(DataSourceReader):
         return [Urls(self.urls[i : i + self.per_task]) for i in range(0, len(self.urls), self.per_task)] or [Urls([])]
 
     def read(self, partition: Urls) -> Iterator[tuple]:
-        session = Session(**self.how)
-        for url in partition.urls:
-            yield session.row(url)
+        yield from Session(**self.how).rows(partition.urls)
