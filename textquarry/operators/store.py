@@ -1,7 +1,7 @@
 """Decision and chunk tables: upsert, first write wins, keys, and versions of a table on files.
 
-Spark tables on plain files have no keys, triggers or updates, so each write is
-a functional merge: read, join, write the next version, then name it current.
+Spark tables on plain files have no keys, triggers or updates. The functions here are
+the merges themselves; `Store` appends what a batch brings and merges when it is read.
 """
 
 from __future__ import annotations
@@ -90,25 +90,40 @@ def delete_decisions(decisions: DataFrame, chunks: DataFrame, case_nos: DataFram
 
 
 class Store:
-    """Both tables as Parquet in buckets of case numbers, under manifests.
-
-    A commit writes the buckets that it touches as files of a new version, then one
-    manifest that names the version of every bucket of both tables. The last
-    manifest is what is current, so the tables change together or not at all,
-    and a reader keeps the files that its manifest names until `vacuum`. Within a
-    bucket rows stand by case number and chunk, so that a look-up reads one bucket
-    and few row groups. The model's name and the size of its vectors, where given,
-    are kept in the manifest: another model's vectors are refused.
+    """Both tables as Parquet in buckets of case numbers, merged on read, under manifests.
+
+    A commit appends a folder of its own for each table, in proportion to what it
+    brings, and one manifest that names, for every bucket, its folders in the order of
+    their commits. What a reader sees of a bucket follows from that order: of a case
+    the last values that aren't null, of chunks with one key the first, of a chunk
+    the last vector written, and nothing that was there before its case was deleted.
+    `compact` writes buckets of several folders anew as one; a bucket of one folder is
+    read as it lies. The last manifest is current, so both tables change together
+    or not at all, and a reader keeps the files that its manifest names until `vacuum`.
+
+    Folders have names that nobody else has, and the manifest's name is taken by a
+    rename: of two commits at once one gets it, and the other lists its folders after
+    those of the first, since appending doesn't depend on what is there. Only a
+    compaction of buckets that were compacted meanwhile fails; nobody's files change.
+
+    Ids of cases are digests from which buckets are dealt, and rows lie by id within
+    bounded row groups, whose least and greatest ids Parquet keeps: a look-up by id
+    reads one bucket's few row groups. The model's name and the size of its vectors, where given, are kept in the
+    manifest: another model's vectors are refused.
     """
 
-    TABLES = {"decisions": (DECISIONS, ["case_no"]), "decision_chunks": (CHUNKS, ["case_no", "chunk_index"])}
+    TABLES = {"decisions": (DECISIONS, ["id"]), "decision_chunks": (CHUNKS, ["decision_id", "section", "chunk_index"])}
+    #: Commits that meet another try again so often.
+    TRIES = 20
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, model: str | None = None, dimension: int | None = None):
-        self.spark, self.path, self.buckets, self.model, self.dimension = spark, path.rstrip("/"), buckets, model, dimension
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, model: str | None = None, dimension: int | None = None, group_bytes: int = 16 << 20):
+        self.spark, self.path, self.buckets, self.model, self.dimension, self.group_bytes = spark, path.rstrip("/"), buckets, model, dimension, group_bytes
         jvm = spark.sparkContext._jvm
         self.Path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    # Manifests
+
     def _manifests(self) -> list[int]:
         top = self.Path(f"{self.path}/manifests")
         names = [f.getPath().getName() for f in self.fs.listStatus(top)] if self.fs.exists(top) else []
@@ -125,7 +140,7 @@ class Store:
     def init(self) -> "Store":
         """Tables that are there stay, with the number of buckets that they were made with."""
         if not self._manifests():
-            self._commit({}, [])
+            self._named(lambda now: now["tables"])
         kept = self._manifest()
         self.buckets = kept["buckets"]
         for name in ("model", "dimension"):
@@ -135,78 +150,177 @@ class Store:
             setattr(self, name, stored if asked is None else asked)
         return self
 
+    def _named(self, change: Callable[[dict], dict]) -> None:
+        """The next manifest, with the tables as `change` makes them of the current one; again from the new one where another commit was first."""
+        for _ in range(self.TRIES):
+            now = self._manifest()
+            number = now["number"] + 1
+            kept = {n: now.get(n) if getattr(self, n) is None else getattr(self, n) for n in ("model", "dimension")}
+            text = json.dumps({"number": number, "buckets": now["buckets"], **kept, "tables": change(now)})
+            part, whole = self.Path(f"{self.path}/manifests/.{number}-{uuid.uuid4().hex}"), self.Path(f"{self.path}/manifests/{number}.json")
+            out = self.fs.create(part)
+            out.write(bytearray(text.encode()))
+            out.close()
+            if not self.fs.exists(whole) and self.fs.rename(part, whole):
+                return
+            self.fs.delete(part, False)
+        raise RuntimeError(f"{self.TRIES} other commits were first")
+
+    def _appended(self, parts: list[tuple[str, str, DataFrame]]) -> None:
+        """One commit of (table, kind, rows): a folder for each, listed behind those that are there."""
+        new = [(name, folder, kind, self._write(name, folder, rows)) for name, kind, rows in parts for folder in [uuid.uuid4().hex]]
+
+        def change(now: dict) -> dict:
+            tables = {t: {b: list(v) for b, v in buckets.items()} for t, buckets in now["tables"].items()}
+            for name, folder, kind, buckets in new:
+                for b in buckets:
+                    tables[name].setdefault(b, []).append([folder, kind, now["number"] + 1])
+            return tables
+
+        if any(buckets for *_, buckets in new):
+            self._named(change)
+
+    def _write(self, name: str, folder: str, rows: DataFrame, spread: int | None = None) -> list[str]:
+        """rows as a folder; the buckets that it has."""
+        order = [c for c in self.TABLES[name][1] if c in rows.columns]
+        top = f"{self.path}/{name}/v={folder}"
+        rows = rows.withColumn("bucket", self.bucket()).repartition(min(self.buckets, spread or self.buckets), "bucket").sortWithinPartitions("bucket", *order)
+        rows.write.partitionBy("bucket").option("parquet.block.size", self.group_bytes).parquet(top)
+        return sorted(f.getPath().getName().removeprefix("bucket=") for f in self.fs.listStatus(self.Path(top)) if f.getPath().getName().startswith("bucket="))
+
+    # Reading
+
     def bucket(self, case_no: Column | str = "case_no") -> Column:
-        return F.pmod(F.xxhash64(case_no), F.lit(self.buckets)).cast("int")
+        return F.pmod(decision_id(case_no), F.lit(self.buckets)).cast("int")
+
+    def _lists(self, name: str, buckets: list[int] | None, manifest: dict | None) -> dict[str, list]:
+        return {b: v for b, v in (manifest or self._manifest())["tables"][name].items() if v and (buckets is None or int(b) in buckets)}
+
+    def _scan(self, name: str, lists: dict[str, list], *kinds: str) -> DataFrame | None:
+        """Rows of the folders of some kinds, with the number of their commit."""
+        schema, _ = self.TABLES[name]
+        paths = [f"{self.path}/{name}/v={f}/bucket={b}" for b, v in lists.items() for f, kind, _ in v if kind in kinds]
+        if not paths:
+            return None
+        numbers = {f: n for v in lists.values() for f, _, n in v}
+        known = F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair))
+        fields = [T.StructField(f.name, f.dataType) for f in schema]
+        folder = F.regexp_extract(F.col("_metadata.file_path"), r"/v=([^/]+)/bucket=", 1)
+        return self.spark.read.schema(T.StructType(fields)).parquet(*paths).select("*", known[folder].alias("tq_seq"))
 
     def read(self, name: str, buckets: list[int] | None = None, manifest: dict | None = None) -> DataFrame:
         """The table, or some of its buckets."""
         schema, _ = self.TABLES[name]
-        versions = (manifest or self._manifest())["tables"][name]
-        paths = [f"{self.path}/{name}/v={v}/bucket={b}" for b, v in versions.items() if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        lists = self._lists(name, buckets, manifest)
+        whole = {b: v for b, v in lists.items() if len(v) == 1 and v[0][1] == "rows"}
+        out = self._scan(name, whole, "rows")
+        out = out.select(schema.names) if out is not None else None
+        merged = self._merged(name, {b: v for b, v in lists.items() if b not in whole})
+        both = [df for df in (out, merged) if df is not None]
+        return both[0].unionByName(both[1]) if len(both) == 2 else both[0] if both else self.spark.createDataFrame([], schema)
+
+    def _merged(self, name: str, lists: dict[str, list]) -> DataFrame | None:
+        rows = self._scan(name, lists, "rows")
+        if rows is None:
+            return None
+        gone = self._scan(name, lists, "gone")
+        gone = None if gone is None else gone.groupBy("case_no").agg(F.max("tq_seq").alias("tq_gone"))
+
+        def left(df: DataFrame) -> DataFrame:
+            """df without what was there before its case was deleted."""
+            return df if gone is None else df.join(gone, "case_no", "left").where("tq_gone is null or tq_seq > tq_gone").drop("tq_gone")
+
+        rows = left(rows)
+        seq = F.col("tq_seq")
+        if name == "decisions":
+            last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), seq)).alias(c)
+            return rows.groupBy("id", "case_no").agg(last("division"), last("title"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+        names = CHUNKS.names
+        rows = rows.groupBy("id").agg(F.min_by(F.struct(*names[1:]), seq).alias("r")).select("id", "r.*")
+        vectors = self._scan(name, lists, "vectors")
+        if vectors is None:
+            return rows
+        vectors = left(vectors).groupBy("id").agg(F.max_by(F.struct("embedding", "token_count", "updated_at"), seq).alias("tq_v"))
+        new = lambda c: F.coalesce(F.col(f"tq_v.{c}"), F.col(c)).alias(c) if c in ("embedding", "token_count", "updated_at") else F.col(c)
+        return rows.join(vectors, "id", "left").select(*(new(c) for c in names))
+
+    def by_decision(self, name: str, decision: int) -> DataFrame:
+        """A decision's rows by its id, from the one bucket that may have them."""
+        return self.read(name, [decision % self.buckets]).where(F.col("id" if name == "decisions" else "decision_id") == decision)
 
     def case(self, name: str, case_no: str) -> DataFrame:
-        """A case's rows, from the one bucket that may have them."""
-        own = self.spark.range(1).select(self.bucket(F.lit(case_no)).alias("b")).first().b
-        return self.read(name, [own]).where(F.col("case_no") == case_no)
+        """A case's rows."""
+        own = self.spark.range(1).select(decision_id(F.lit(case_no)).alias("id")).first().id
+        return self.by_decision(name, own).where(F.col("case_no") == case_no)
 
-    def _commit(self, tables: dict[str, DataFrame], touched: list[int]) -> None:
-        """The touched buckets of the tables as they are to be; a commit that loses a race for its number fails."""
-        now = self._manifest()
-        number = now["number"] + 1
-        versions = {t: dict(v) for t, v in now["tables"].items()}
-        for name, df in tables.items():
-            _, order = self.TABLES[name]
-            top = f"{self.path}/{name}/v={number}"
-            rows = df.withColumn("bucket", self.bucket()).repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", *order)
-            rows.write.mode("overwrite").partitionBy("bucket").parquet(top)
-            written = {f.getPath().getName().removeprefix("bucket=") for f in self.fs.listStatus(self.Path(top))}
-            versions[name] = {b: v for b, v in versions[name].items() if int(b) not in touched} | {b: number for b in written if b.isdigit()}
-        kept = {n: now.get(n) if getattr(self, n) is None else getattr(self, n) for n in ("model", "dimension")}
-        text = json.dumps({"number": number, "buckets": now["buckets"], **kept, "tables": versions})
-        part, whole = self.Path(f"{self.path}/manifests/.{number}-{uuid.uuid4().hex}"), self.Path(f"{self.path}/manifests/{number}.json")
-        out = self.fs.create(part)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self.fs.exists(whole) or not self.fs.rename(part, whole):
-            raise RuntimeError(f"another commit took number {number}")
+    # Changes
 
     def ingest(self, chunks: DataFrame, seq: str | list[str] = "seq", on_duplicate: str = "keep_first", make: Callable[[], Embedder] | None = None) -> None:
-        """Decisions and chunks of one batch, and with `make` the vectors that its buckets lack. Only buckets of the batch's cases are read and written."""
-        good = chunks.where("case_no is not null")
-        touched = [r.b for r in good.select(self.bucket().alias("b")).distinct().collect()]  # no more than there are buckets
-        if not touched:
-            return
-        now = self._manifest()
-        decisions = upsert_decisions(self.read("decisions", touched, now), decisions_of(good, seq))
-        ids = good.select("case_no").distinct().withColumn("id", decision_id("case_no"))
-        rows = insert_chunks(self.read("decision_chunks", touched, now), first_chunks(good, seq, on_duplicate), ids)
-        self._commit({"decisions": decisions, "decision_chunks": embed_in_place(rows, make, dimension=self.dimension) if make else rows}, touched)
+        """Decisions and chunks of one batch, and with `make` vectors for them and for what its cases lack. Bytes written are in proportion to the batch."""
+        good, now = chunks.where("case_no is not null"), F.current_timestamp()
+        cases = decisions_of(good, seq).select(decision_id("case_no").alias("id"), "case_no", "division", "title", now.alias("created_at"), now.alias("updated_at"))
+        # A null section equals none other, so such chunks have an id of their own.
+        fresh = F.when(F.col("section").isNull(), F.xxhash64("case_no", "chunk_index", F.uuid())).otherwise(chunk_id())
+        rows = first_chunks(good, seq, on_duplicate).select(
+            fresh.alias("id"), decision_id("case_no").alias("decision_id"), "case_no", "section", F.col("chunk_index").cast("int").alias("chunk_index"), "text",
+            F.lit(None).cast("int").alias("token_count"), F.lit(None).cast("array<float>").alias("embedding"), now.alias("created_at"), now.alias("updated_at"))
+        parts = [("decisions", "rows", cases), ("decision_chunks", "rows", rows)]
+        if make:
+            touched = [r.b for r in good.select(self.bucket().alias("b")).distinct().collect()]  # no more than there are buckets
+            stored = self.read("decision_chunks", touched) if touched else self.read("decision_chunks").limit(0)
+            stored = stored.join(good.select("case_no").distinct(), "case_no", "left_semi")
+            rows = embed_in_place(rows.join(stored.select("id"), "id", "left_anti").select(CHUNKS.names), make, dimension=self.dimension)
+            parts = [parts[0], ("decision_chunks", "rows", rows), ("decision_chunks", "vectors", self._vectors(stored, make))]
+        self._appended(parts)
+
+    def _vectors(self, chunks: DataFrame, make: Callable[[], Embedder]) -> DataFrame:
+        """Vectors of the chunks that have none and could be encoded."""
+        rows = embed_in_place(chunks.where("embedding is null"), make, dimension=self.dimension).where("embedding is not null")
+        return rows.select("id", "case_no", "token_count", "embedding", "updated_at")
 
     def embed(self, make: Callable[[], Embedder]) -> None:
-        """Vectors for all chunks that have none, as after a model failed; only their buckets are written."""
-        rows = self.read("decision_chunks")
-        touched = [r.b for r in rows.where("embedding is null").select(self.bucket().alias("b")).distinct().collect()]
-        if touched:
-            self._commit({"decision_chunks": embed_in_place(self.read("decision_chunks", touched), make, dimension=self.dimension)}, touched)
+        """Vectors for all chunks that have none, as after a model failed; they alone are written."""
+        self._appended([("decision_chunks", "vectors", self._vectors(self.read("decision_chunks"), make))])
 
     def delete(self, case_nos: DataFrame) -> None:
-        touched = [r.b for r in case_nos.select(self.bucket().alias("b")).distinct().collect()]
-        if touched:
-            decisions, chunks = delete_decisions(self.read("decisions", touched), self.read("decision_chunks", touched), case_nos)
-            self._commit({"decisions": decisions, "decision_chunks": chunks}, touched)
+        """Cases and their chunks; a line for each is written."""
+        rows = case_nos.select("case_no").where("case_no is not null").distinct()
+        self._appended([(name, "gone", rows) for name in self.TABLES])
+
+    def compact(self, most: int = 8) -> int:
+        """Buckets of more than `most` folders are written anew as one; how many there were."""
+        now = self._manifest()
+        todo = {t: {b: v for b, v in buckets.items() if len(v) > most} for t, buckets in now["tables"].items()}
+        todo = {t: v for t, v in todo.items() if v}
+        if not todo:
+            return 0
+        new = {t: uuid.uuid4().hex for t in todo}
+        there = {t: self._write(t, new[t], self.read(t, [int(b) for b in todo[t]], now), len(todo[t])) for t in todo}
+
+        def change(now: dict) -> dict:
+            tables = {t: dict(v) for t, v in now["tables"].items()}
+            for t, buckets in todo.items():
+                for b, old in buckets.items():
+                    current = tables[t].get(b, [])
+                    if current[: len(old)] != old:
+                        raise RuntimeError(f"bucket {b} of {t} was compacted by another")
+                    tables[t][b] = ([[new[t], "rows", old[-1][2]]] if b in there[t] else []) + current[len(old) :]
+            return tables
+
+        self._named(change)
+        return sum(map(len, todo.values()))
 
     def vacuum(self, keep: int = 2) -> None:
         """Removes the files that none of the last `keep` manifests names. No commit may run meanwhile."""
         numbers = self._manifests()
-        named = {(t, str(b), v) for n in numbers[-keep:] for t, versions in self._manifest(n)["tables"].items() for b, v in versions.items()}
+        named = {(t, str(b), f) for n in numbers[-keep:] for t, buckets in self._manifest(n)["tables"].items() for b, v in buckets.items() for f, *_ in v}
         for n in numbers[:-keep]:
             self.fs.delete(self.Path(f"{self.path}/manifests/{n}.json"), False)
         for name in self.TABLES:
             top = self.Path(f"{self.path}/{name}")
-            for version in self.fs.listStatus(top) if self.fs.exists(top) else []:
-                v = int(version.getPath().getName().removeprefix("v="))
-                for f in self.fs.listStatus(version.getPath()):
-                    b = f.getPath().getName()
-                    if b.startswith("bucket=") and (name, b.removeprefix("bucket="), v) not in named:
-                        self.fs.delete(f.getPath(), True)
+            for folder in self.fs.listStatus(top) if self.fs.exists(top) else []:
+                f = folder.getPath().getName().removeprefix("v=")
+                for file in self.fs.listStatus(folder.getPath()):
+                    b = file.getPath().getName()
+                    if b.startswith("bucket=") and (name, b.removeprefix("bucket="), f) not in named:
+                        self.fs.delete(file.getPath(), True)
