@@ -6,7 +6,6 @@ the merges themselves; `Store` appends what a batch brings and merges when it is
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .embed import Embedder, embed_in_place
+from .manifest import Manifested
 
 DECISIONS = T.StructType([T.StructField(n, t, null) for n, t, null in (
     ("id", T.LongType(), False), ("case_no", T.StringType(), False), ("division", T.StringType(), True), ("title", T.StringType(), True),
@@ -89,7 +89,7 @@ def delete_decisions(decisions: DataFrame, chunks: DataFrame, case_nos: DataFram
     return left, chunks.join(left.select(F.col("id").alias("decision_id")), "decision_id", "left_semi")
 
 
-class Store:
+class Store(Manifested):
     """Both tables as Parquet in buckets of case numbers, merged on read, under manifests.
 
     A commit appends a folder of its own for each table, in proportion to what it
@@ -113,34 +113,18 @@ class Store:
     """
 
     TABLES = {"decisions": (DECISIONS, ["id"]), "decision_chunks": (CHUNKS, ["decision_id", "section", "chunk_index"])}
-    #: Commits that meet another try again so often.
-    TRIES = 20
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, model: str | None = None, dimension: int | None = None, group_bytes: int = 16 << 20):
-        self.spark, self.path, self.buckets, self.model, self.dimension, self.group_bytes = spark, path.rstrip("/"), buckets, model, dimension, group_bytes
-        jvm = spark.sparkContext._jvm
-        self.Path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # Manifests
-
-    def _manifests(self) -> list[int]:
-        top = self.Path(f"{self.path}/manifests")
-        names = [f.getPath().getName() for f in self.fs.listStatus(top)] if self.fs.exists(top) else []
-        return sorted(int(n.removesuffix(".json")) for n in names if n[0].isdigit())
-
-    def _manifest(self, number: int | None = None) -> dict:
-        """The current manifest, or that of a number; an empty one if there is none."""
-        known = self._manifests()
-        if number is None and not known:
-            return {"number": -1, "buckets": self.buckets, "tables": {t: {} for t in self.TABLES}}
-        number = known[-1] if number is None else number
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/manifests/{number}.json").first()[0])
+        super().__init__(spark, path)
+        self.buckets, self.model, self.dimension, self.group_bytes = buckets, model, dimension, group_bytes
+
+    def _empty(self) -> dict:
+        return {"buckets": self.buckets, "tables": {t: {} for t in self.TABLES}}
 
     def init(self) -> "Store":
         """Tables that are there stay, with the number of buckets that they were made with."""
         if not self._manifests():
-            self._named(lambda now: now["tables"])
+            self._listed(lambda now: now["tables"])
         kept = self._manifest()
         self.buckets = kept["buckets"]
         for name in ("model", "dimension"):
@@ -150,21 +134,10 @@ class Store:
             setattr(self, name, stored if asked is None else asked)
         return self
 
-    def _named(self, change: Callable[[dict], dict]) -> None:
-        """The next manifest, with the tables as `change` makes them of the current one; again from the new one where another commit was first."""
-        for _ in range(self.TRIES):
-            now = self._manifest()
-            number = now["number"] + 1
-            kept = {n: now.get(n) if getattr(self, n) is None else getattr(self, n) for n in ("model", "dimension")}
-            text = json.dumps({"number": number, "buckets": now["buckets"], **kept, "tables": change(now)})
-            part, whole = self.Path(f"{self.path}/manifests/.{number}-{uuid.uuid4().hex}"), self.Path(f"{self.path}/manifests/{number}.json")
-            out = self.fs.create(part)
-            out.write(bytearray(text.encode()))
-            out.close()
-            if not self.fs.exists(whole) and self.fs.rename(part, whole):
-                return
-            self.fs.delete(part, False)
-        raise RuntimeError(f"{self.TRIES} other commits were first")
+    def _listed(self, change: Callable[[dict], dict]) -> None:
+        """A commit of the tables as `change` makes them."""
+        kept = lambda now: {n: now.get(n) if getattr(self, n) is None else getattr(self, n) for n in ("model", "dimension")}
+        self._named(lambda now: {**kept(now), "tables": change(now)})
 
     def _appended(self, parts: list[tuple[str, str, DataFrame]]) -> None:
         """One commit of (table, kind, rows): a folder for each, listed behind those that are there."""
@@ -178,7 +151,7 @@ class Store:
             return tables
 
         if any(buckets for *_, buckets in new):
-            self._named(change)
+            self._listed(change)
 
     def _write(self, name: str, folder: str, rows: DataFrame, spread: int | None = None) -> list[str]:
         """rows as a folder; the buckets that it has."""
@@ -307,7 +280,7 @@ class Store:
                     tables[t][b] = ([[new[t], "rows", old[-1][2]]] if b in there[t] else []) + current[len(old) :]
             return tables
 
-        self._named(change)
+        self._listed(change)
         return sum(map(len, todo.values()))
 
     def vacuum(self, keep: int = 2) -> None:

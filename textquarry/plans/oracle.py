@@ -112,6 +112,7 @@ def sql() -> dict[str, str]:
         "result_labels": f"with {TOP} select id, row_number() over (order by distance, id)::int as rank, printf('%.3f', similarity) as similarity_label, printf('%.4f', distance) as distance_label from top10",
         "ivf_lists": f"with {EMB}, {_LISTS} select id, list_id from own",
         "ivf_topk": f"with {EMB}, {_LISTS}, probes as (select list_id from cents, q order by round(greatest(list_cosine_distance(q, c), 0.0), 9), list_id limit 8) select id, list_id, distance, similarity from dist join own using (id) where list_id in (select list_id from probes) order by raw, id limit 10",
+        "index_topk": f"with {EMB} select query_id, id, rank::int as rank, round(raw, 6) as distance from (select a.id as query_id, b.id, greatest(list_cosine_distance(b.e, a.e), 0.0) as raw, row_number() over (partition by a.id order by greatest(list_cosine_distance(b.e, a.e), 0.0), b.id) as rank from emb a, emb b where a.id % 20 = 0) where rank <= 10",
         "scan_chunks": f"with {EMB} select id, case_no, section, chunk_index, text from emb",
         "division_cut": rf"with {DECISIONS} select doc_id, md5(case when regexp_matches(text, '\n[A-Z ]+DIVISION\n') then ltrim(regexp_extract(text, '(?s)\n([A-Z ]+DIVISION\n.*)$', 1)) else text end) as text_md5 from decisions",
         "meta_case_no": f"with {DECISIONS} select doc_id, {CASE_NO} as case_no from decisions",

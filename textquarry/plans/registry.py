@@ -11,7 +11,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import tokens
 from ..functions import vectors as V
-from ..operators import chunker, embed, links, resume, search, sections, splitter, store
+from ..operators import chunker, embed, index, links, resume, search, sections, splitter, store
 from ..sources import records
 from ..sources.tables import scratch_path
 from . import oracle, sentence_sql, synthetic
@@ -119,6 +119,18 @@ def ivf_trained(spark, d):
     return rounded(found, "distance").select("query_id", "id", "rank", "distance")
 
 
+def index_topk(spark, d):
+    """An index fed in ten batches, a tenth of which is replaced later, with long lists split: all lists together give what a search of all rows gives."""
+    rows = embeddings(spark, d).select("id", "embedding")
+    made = index.VectorIndex(spark, scratch_path(spark, "vector-index")).create(rows.where("id % 10 = 0"), 20)
+    for part in range(1, 10):
+        made.add(rows.where(F.col("id") % 10 == part))
+    made.add(rows.where("id % 10 = 5"), replace=True)
+    made.split(times=1, least=1)
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return rounded(made.search_many(queries, 10, 1000), "distance").select("query_id", "id", "rank", "distance")
+
+
 def scan_chunks(spark, d):
     return embeddings(spark, d).select("id", "case_no", "section", "chunk_index", "text")
 
@@ -371,7 +383,7 @@ def jsonl_scan(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "cosine_topk": cosine_topk, "cosine_distance": cosine_distance, "similarity": similarity, "search_response": search_response, "result_table": result_table,
-        "result_labels": result_labels, "ivf_topk": ivf_topk, "ivf_lists": ivf_lists, "ivf_trained": ivf_trained, "scan_chunks": scan_chunks,
+        "result_labels": result_labels, "ivf_topk": ivf_topk, "ivf_lists": ivf_lists, "ivf_trained": ivf_trained, "index_topk": index_topk, "scan_chunks": scan_chunks,
         "division_cut": division_cut, "meta_case_no": meta_case_no, "meta_division": meta_division, "meta_title": meta_title, "word_count": word_count,
         "heading_classify": heading_classify, "sections": section_rows, "sentences": sentences, "sentences_legal": sentences_legal,
         "sentence_abbreviations": sentence_abbreviations, "sentence_starters": sentence_starters, "sentence_collocations": sentence_collocations, "sentences_trained": sentences_trained,

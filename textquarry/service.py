@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.embed import QUERY, Embedder
+from .operators.index import VectorIndex
 from .operators.search import K, exact, response
 
 
@@ -27,13 +28,16 @@ class ChunkResult:
 
 
 class SearchService:
-    def __init__(self, spark: SparkSession, chunks: DataFrame, embedder: Embedder):
+    """Searches the chunks exactly, or through an index of them where one is given."""
+
+    def __init__(self, spark: SparkSession, chunks: DataFrame | None, embedder: Embedder, index: VectorIndex | None = None):
+        chunks = index.rows() if chunks is None and index is not None else chunks
         if chunks is None:
             raise RuntimeError("no chunks to search")
         one = chunks.where("embedding is not null").select(F.size("embedding").alias("n")).first()
         if one and one.n != embedder.dimension:
             raise ValueError(f"the chunks' vectors have {one.n} elements, the embedder's {embedder.dimension}")
-        self.spark, self.chunks, self.embedder = spark, chunks, embedder
+        self.spark, self.chunks, self.embedder, self.index = spark, chunks, embedder, index
 
     def health(self) -> dict[str, str]:
         return {"status": "ok"}
@@ -46,8 +50,9 @@ class SearchService:
         vector = self.embedder.encode([QUERY + query])[0]
         if vector is None or k < 1:
             return {"results": []}
-        rows = response(exact(self.chunks, vector, k)).collect()
+        found = exact(self.chunks, vector, k) if self.index is None else self.index.search(vector, k)
+        rows = response(found).collect()
         return {"results": [asdict(ChunkResult(**r.asDict())) for r in rows]}
 
     def close(self) -> None:
-        self.chunks = None
+        self.chunks = self.index = None
