@@ -131,6 +131,10 @@ def sql() -> dict[str, str]:
         "chunk_decision_fk": f"{RAG} select case_no as decision_case_no, count(*) as n_chunks from stored join cases using (case_no) group by case_no",
         "fk_check": f"{RAG} select count(*) as n_orphans from stored where case_no not in (select case_no from cases)",
         "rejects": f"{RAG} select distinct doc_id from rag where case_no is null",
+        "store_decisions": f"{RAG}, kept as (select * from rag where case_no is not null and not (doc_id % 2 = 0 and case_no like '%7')) select case_no, arg_max(division, (doc_id % 2, doc_id, section_pos, chunk_index)) filter (where division is not null) as division, arg_max(title, (doc_id % 2, doc_id, section_pos, chunk_index)) filter (where title is not null) as title from kept group by case_no",
+        "store_chunks": f"{RAG}, kept as (select *, row_number() over (partition by case_no, section, chunk_index order by doc_id % 2, doc_id, section_pos) as rn from rag where case_no is not null and not (doc_id % 2 = 0 and case_no like '%7')) select case_no, section, chunk_index::int as chunk_index, md5(text) as text_md5 from kept where rn = 1",
+        "stream_records": "select case when page_id % 9 <> 0 then 't' || page_id end as title, case when page_id % 9 <> 0 then url end as url, case when page_id % 9 <> 0 then md5(html) end as text_md5, case when page_id % 9 = 0 then '{page ' || page_id end as unusable from pages",
+        "crawl_commits": "select url, case when page_id % 10 <> 0 then md5(html) end as text, case when page_id % 10 = 0 then '503' end as error from pages",
         "pending_embeddings": f"with {PART} select id, text from part where embedding is null",
         "pending_count": f"with {PART} select count(*) as n_pending from part where embedding is null",
         "embed_passage": f"with src as (select doc_id as id, 'passage: ' || text as t from documents), {BUCKETS} select id as doc_id, bucket, weight from vec",

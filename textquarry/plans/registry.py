@@ -12,8 +12,8 @@ from ..functions import text as T
 from ..functions import tokens
 from ..functions import vectors as V
 from ..operators import chunker, embed, index, links, resume, search, sections, splitter, store
-from ..sources import records
-from ..sources.tables import scratch_path
+from ..sources import records, sink, stream
+from ..sources.tables import scratch_path, written_table
 from . import oracle, sentence_sql, synthetic
 
 SITE = "https://site.example/"
@@ -264,6 +264,25 @@ def rejects(spark, d):
     return store.rejects(chunk_rows(spark, d)).select("doc_id").distinct()
 
 
+def _two_batches(spark, d):
+    """A store that took the chunks of even documents, then those of odd ones, lost a tenth of the cases in between, and was compacted."""
+    rows = written_table(chunk_rows(spark, d), "chunk-rows")
+    made = store.Store(spark, scratch_path(spark, "store"), buckets=8).init()
+    made.ingest(rows.where("doc_id % 2 = 0"))
+    made.delete(rows.select("case_no").where("case_no like '%7'"))
+    made.ingest(rows.where("doc_id % 2 = 1"))
+    made.compact(most=2)
+    return made
+
+
+def store_decisions(spark, d):
+    return _two_batches(spark, d).read("decisions").select("case_no", "division", "title")
+
+
+def store_chunks(spark, d):
+    return _two_batches(spark, d).read("decision_chunks").select("case_no", "section", "chunk_index", F.md5("text").alias("text_md5"))
+
+
 # ---- embeddings ----
 
 
@@ -380,6 +399,29 @@ def jsonl_scan(spark, d):
     return parsed.where(F.col(records.CORRUPT).isNull()).select("page_id", "year", F.coalesce("month", F.lit("")).alias("month"), "title", "url", "text")
 
 
+def stream_records(spark, d):
+    """The pages as JSON lines, some of them broken, read by the stream in two runs of which the first is bounded."""
+    folder = scratch_path(spark, "stream")
+    lines = read(spark, d, "pages").select(F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("{page "), "page_id")).otherwise(F.to_json(F.struct(F.lit("1996").alias("year"), F.concat(F.lit("t"), "page_id").alias("title"), "url", F.col("html").alias("text")))).alias("value"))
+    lines.write.text(f"{folder}/in")
+    spark.dataSource.register(stream.RecordStream)
+    for options in ({"maxBytes": "200000"}, {}):
+        rows = spark.readStream.format("record_stream").options(path=f"{folder}/in", progress=f"{folder}/progress", **options).load()
+        rows = rows.select("title", "url", F.md5("text").alias("text_md5"), F.col(records.CORRUPT).alias("unusable"))
+        rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def crawl_commits(spark, d):
+    """The pages as two crawls: every fifth fails at first, half of these again; what the log holds of both."""
+    folder = scratch_path(spark, "crawl")
+    pages = read(spark, d, "pages").select(F.lit("1996").alias("year"), F.lit("Jan").alias("month"), F.col("page_id").cast("string").alias("title"), "url", F.md5("html").alias("text"), "page_id")
+    failed = lambda rows, when: rows.withColumn("error", F.when(when, F.lit("503")))
+    sink.committed(failed(pages, F.col("page_id") % 5 == 0), folder)
+    log = sink.committed(failed(pages.where("page_id % 5 = 0"), F.col("page_id") % 10 == 0), folder)
+    return log.records.select("url", "text", F.lit(None).cast("string").alias("error")).unionByName(log.failed.select("url", F.lit(None).cast("string").alias("text"), "error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "cosine_topk": cosine_topk, "cosine_distance": cosine_distance, "similarity": similarity, "search_response": search_response, "result_table": result_table,
@@ -388,12 +430,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "heading_classify": heading_classify, "sections": section_rows, "sentences": sentences, "sentences_legal": sentences_legal,
         "sentence_abbreviations": sentence_abbreviations, "sentence_starters": sentence_starters, "sentence_collocations": sentence_collocations, "sentences_trained": sentences_trained,
         "chunks": _chunks(chunker.chunks), "chunks_arrow": _chunks(chunker.chunks_arrow), "rag_chunks": rag_chunks,
-        "decisions_upsert": decisions_upsert, "chunks_upsert": chunks_upsert, "chunk_decision_fk": chunk_decision_fk, "fk_check": fk_check, "rejects": rejects,
+        "decisions_upsert": decisions_upsert, "chunks_upsert": chunks_upsert, "chunk_decision_fk": chunk_decision_fk, "fk_check": fk_check, "rejects": rejects, "store_decisions": store_decisions, "store_chunks": store_chunks,
         "pending_embeddings": pending_embeddings, "pending_count": pending_count, "embed_passage": _embed(embed.PASSAGE), "embed_query": _embed(embed.QUERY), "token_count": token_count, "token_count_subword": token_count_subword,
         "embed_pending": embed_pending, "embed_update": embed_update,
         "html_text": html_text, "html_text_native": html_text_native, "html_title": html_title, "month_links": month_links, "decision_links": decision_links, "crawl_fanout": crawl_fanout,
         "url_join": url_join, "url_key": url_key, "skip_done": skip_done, "cache_lookup": cache_lookup, "resume_after": resume_after,
-        "ordered_distinct": ordered_distinct, "cap_per_month": cap_per_month, "jsonl_scan": jsonl_scan,
+        "ordered_distinct": ordered_distinct, "cap_per_month": cap_per_month, "jsonl_scan": jsonl_scan, "stream_records": stream_records, "crawl_commits": crawl_commits,
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -27,3 +27,27 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Observed:
+    """df written once to a scratch path, with figures that Spark gathers while it writes; `with` deletes the table at its end.
+
+    What a step needs several times is computed once, its lineage ends, and no
+    executor's memory holds it.
+    """
+
+    def __init__(self, df: DataFrame, name: str, **figures: Column):
+        from pyspark.sql import Observation
+
+        self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, name)
+        seen = Observation(name)
+        df.observe(seen, *(v.alias(k) for k, v in figures.items())).write.parquet(self.path)
+        self.figures = seen.get
+        self.table = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def __enter__(self) -> "Observed":
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,6 +16,7 @@ from ..operators.resume import cursor, resume_after, write_cursor
 from ..operators.store import Store, rejects
 from ..sources.records import CORRUPT, RECORD, read_jsonl, usable
 from ..sources.stream import RecordStream
+from ..sources.tables import Observed
 
 log = logging.getLogger(__name__)
 
@@ -29,16 +30,13 @@ def stored_chunks(records: DataFrame, clean: bool = True) -> DataFrame:
 
 def ingest(store: Store, records: DataFrame, make: Callable[[], Embedder] | None = None, rejected: str | None = None) -> dict[str, int]:
     """One batch. Documents without a case number go to `rejected`, where they can be taken up again. Returns the numbers of chunks and of those without a case number."""
-    chunks = stored_chunks(usable(records)).persist()
-    try:
-        store.ingest(chunks, make=make)
-        if rejected:
-            rejects(chunks).select("url").distinct().write.mode("append").json(rejected)
-        n = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("case_no").isNull()).alias("rejected")).first().asDict()
-        log.info("%(chunks)d chunks, %(rejected)d of them without a case number", n)
-        return n
-    finally:
-        chunks.unpersist()
+    figures = {"chunks": F.count(F.lit(1)), "rejected": F.count_if(F.col("case_no").isNull())}
+    with Observed(stored_chunks(usable(records)), "chunks", **figures) as done:
+        store.ingest(done.table, make=make)
+        if rejected and done.figures["rejected"]:
+            rejects(done.table).select("url").distinct().write.mode("append").json(rejected)
+        log.info("%(chunks)d chunks, %(rejected)d of them without a case number", done.figures)
+        return done.figures
 
 
 def ingest_file(store: Store, path: str, cursor_path: str, make: Callable[[], Embedder] | None = None, rejected: str | None = None) -> dict[str, int]:
@@ -51,19 +49,16 @@ def ingest_file(store: Store, path: str, cursor_path: str, make: Callable[[], Em
     spark = store.spark
     place = ("_metadata.file_path", "_metadata.file_block_start")
     rows = read_jsonl(spark, path).select("*", F.struct(*(F.col(c) for c in place), F.monotonically_increasing_id().alias("at")).alias("seq"))
-    rows = resume_after(rows, cursor(spark, cursor_path)).persist()
-    try:
-        bad = rows.where(F.col(CORRUPT).isNotNull()).count()
-        good = rows.where(F.col(CORRUPT).isNull())
-        end = good.agg(F.count(F.lit(1)).alias("n"), F.max_by("url", "seq").alias("url")).first()
+    good = F.col(CORRUPT).isNull()
+    figures = {"records": F.count_if(good), "unusable": F.count_if(~good), "url": F.max_by("url", F.when(good, F.col("seq")))}
+    with Observed(resume_after(rows, cursor(spark, cursor_path)), "records", **figures) as read:
+        url, told = read.figures.pop("url"), read.figures
         done = {"chunks": 0, "rejected": 0}
-        if end.n:
-            done = ingest(store, good, make, rejected)
-            write_cursor(spark, cursor_path, end.url)
-        log.info("%d records, %d unusable lines", end.n, bad)
-        return {"records": end.n, "unusable": bad} | done
-    finally:
-        rows.unpersist()
+        if told["records"]:
+            done = ingest(store, read.table.where(good), make, rejected)
+            write_cursor(spark, cursor_path, url)
+        log.info("%(records)d records, %(unusable)d unusable lines", told)
+        return told | done
 
 
 def stream(spark: SparkSession, source: str, store: Store, checkpoint: str, make: Callable[[], Embedder] | None = None, rejected: str | None = None) -> StreamingQuery:
