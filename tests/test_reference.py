@@ -90,6 +90,20 @@ def test_metadata(spark):
     assert [tuple(x) for x in got] == [("G. R. Nos. 12-3", "EN BANC", "En Banc"), (None, None, "g.r. no. 5"), (None, None, "A.M. No. 5"), (None, None, None), (None, "THIRD DIVISION", "a")]
 
 
+def test_title_of_long_texts(spark):
+    """Against a plain version: lines that end around the first characters looked at, many blank ones, boilerplate all through."""
+    rng = random.Random(8)
+
+    def plain(text):
+        some = [x.strip() for x in text.splitlines() if x.strip()][: T.TITLE_LINES]
+        return next((x for x in some if not re.search(T.NO_TITLE.removeprefix("(?iu)"), x, re.I)), None)
+
+    boiler = ["Republic of the Philippines", "SUPREME COURT of it", "", "  "]
+    cases = ["\n".join(rng.choice(boiler) for _ in range(rng.randrange(30))) + rng.choice(["\n", "\r\n", "\x85"]) * rng.randrange(1, 3) + "x" * rng.randrange(2100) + rng.choice(["", "\n", "\r\nnext"]) for _ in range(150)]
+    cases += ["\n" * n + "T" * m + "\nU" for n in (0, 1, 1998, 1999, 2000, 2001) for m in (1, 2, 1999, 2000, 2001)]
+    assert column(spark, cases, T.title) == [plain(c) for c in cases]
+
+
 def test_white_space_is_pythons(spark):
     cases = ["\x1c a b 　", " x ", "a\x85", "", " \t "]
     assert column(spark, cases, T.strip) == [c.strip() for c in cases]

@@ -21,6 +21,8 @@ DIVISION = rf"(?iuU)\b(FIRST|SECOND|THIRD)[{WS}]+DIVISION\b|\bEN[{WS}]+BANC\b"
 NO_TITLE = r"(?iu)Republic of the Philippines|Supreme Court"
 DIVISION_HEADING = r"(?s)\n([A-Z ]+DIVISION\n.*)\z"
 TITLE_LINES = 20
+#: Characters in which a title is looked for first.
+TITLE_CHARS = 2000
 
 
 def _col(c: Column | str) -> Column:
@@ -59,12 +61,24 @@ def division(text: Column | str) -> Column:
     return F.upper(F.regexp_substr(_col(text), F.lit(DIVISION)))
 
 
-def title(text: Column | str) -> Column:
-    """The first of the first non-blank lines that isn't boilerplate, else null. No more of the text than these lines is taken apart."""
-    head = F.regexp_extract(_col(text), rf"\A(?:[{WS}]*+[^{ENDS}]++){{0,{TITLE_LINES}}}", 0)
-    found = F.filter(F.transform(lines(head), strip), lambda line: line != "")
+def _first_title(some_lines: Column) -> Column:
+    """The first of the first non-blank lines that isn't boilerplate, else null."""
+    found = F.filter(F.transform(some_lines, strip), lambda line: line != "")
     return F.try_element_at(F.filter(F.slice(found, 1, TITLE_LINES), lambda line: ~line.rlike(NO_TITLE)), F.lit(1))
 
 
+def title(text: Column | str) -> Column:
+    """The first of the first non-blank lines that isn't boilerplate, else null.
+
+    Mostly it is among the whole lines of the first characters; only where it isn't
+    is more of the text taken apart, and no more than these lines.
+    """
+    text = _col(text)
+    start = lines(F.substring(text, 1, TITLE_CHARS))
+    whole = F.when(F.length(text) > TITLE_CHARS, F.slice(start, F.lit(1), F.size(start) - 1)).otherwise(start)
+    head = F.regexp_extract(text, rf"\A(?:[{WS}]*+[^{ENDS}]++){{0,{TITLE_LINES}}}", 0)
+    return F.coalesce(_first_title(whole), _first_title(lines(head)))
+
+
 def metadata(text: Column | str) -> Column:
     return F.struct(case_no(text).alias("case_no"), division(text).alias("division"), title(text).alias("title"))
