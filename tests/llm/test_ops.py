@@ -376,6 +376,58 @@ def test_units_against_plain_grouping(spark, odd, monkeypatch, hot):
     assert ids(unitdedup.deduplicated(odd)) == ids(odd)
 
 
+def units_by_rule(text, least):
+    """(words, start, end) of all units: runs that reach `least` words, and don't without their last piece or without their first."""
+    pieces, at = [], 0
+    for line in text.split("\n"):
+        cuts, i = [], 0
+        while i < len(line):
+            j = i
+            while j < len(line) and line[j] in ".!?…":
+                j += 1
+            if j > i:
+                while j < len(line) and line[j] in "\"')]»”":
+                    j += 1
+                cuts += [j] if line[j : j + 1] and line[j] in " \t\x0b\x0c\r" else []
+            i = max(j, i + 1)
+        for a, b in zip([0, *cuts], [*cuts, len(line)]):
+            found = list(re.finditer(r"[^ \t\x0b\x0c\r]+", line[a:b]))
+            if found:
+                pieces.append((at + a + found[0].start(), at + a + found[-1].end(), [m[0].lower() for m in found]))
+        at += len(line) + 1
+    out, first = [], {}
+    words = lambda i, j: [w for p in pieces[i : j + 1] for w in p[2]]
+    for i in range(len(pieces)):
+        for j in range(i, len(pieces)):
+            if len(words(i, j)) >= least and (len(words(i, j - 1)) < least or len(words(i + 1, j)) < least):
+                k, end = first.setdefault(tuple(words(i, j)), (i, j))
+                a = k if k < i <= end else i
+                out.append((" ".join(words(a, j)), pieces[a][0], pieces[j][1]))
+    return sorted(out, key=lambda u: u[1:])
+
+
+@pytest.mark.parametrize("least", [1, 3, 8])
+def test_units_are_cut_as_the_rule_says(least):
+    rng = random.Random(30 + least)
+    parts = ["a", "B", "la la", "word", ". ", "! ", '." ', ".) ", "...", "…\t", "?", "\n", "\n\n", " ", "\r\n", "é😀", "x.y", "one two three four five", ".)! "]
+    for _ in range(800):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        want = units_by_rule(text, least)
+        got = unitdedup.units(text, least)
+        assert [u[1:] for u in got] == [u[1:] for u in want], repr(text)
+        same = {}  # equal words have equal digests, and others have others
+        for (digest, *_), (words, *_) in zip(got, want):
+            assert same.setdefault(words, digest) == digest
+        assert len(set(same.values())) == len(same)
+
+
+def test_units_of_a_short_footer(spark):
+    """With a unit of one word a line that ends every document stays in the first alone."""
+    rows = [(i, f"Document {i} says this.\nSubscribe to our newsletter today", "a") for i in range(5)]
+    got = {r.doc_id: r.text for r in unitdedup.deduplicated(docs_of(spark, rows), min_words=1).collect()}
+    assert got == {0: rows[0][1]} | {i: f"Document {i} says this." for i in range(1, 5)}
+
+
 def test_units_keep_offsets_and_the_first(spark):
     passage = "One passage of many words that stands in several documents. It has a second sentence of eight or more words."
     rows = [(2, f"Own line here.\n{passage}\nEnd of two", "a"), (1, passage, "a"), (3, f"A lead sentence of this one document and nobody else. {passage}", "a"), (4, None, "a")]

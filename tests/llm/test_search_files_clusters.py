@@ -160,6 +160,15 @@ def test_token_files_round_trip(spark, odd, group, file):
     assert narrow.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and sorted(map(tuple, narrow.collect()), key=str) == sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=str)
 
 
+def test_token_query_against_whole_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    want, start = [], 0
+    for d, ids in files_by_rule([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]):
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, tokenids.op12_tokenids(spark, sf).collect())) == want
+
+
 def test_token_files_of_nothing_and_cut_short(spark, odd, tmp_path):
     assert tokenids.read_back(spark, tokenids.write(odd.limit(0), scratch(spark, "tokens"), PATH)).count() == 0
     path = tmp_path / "x"
