@@ -135,3 +135,21 @@ def test_host_of_an_address(spark):
     want = {"http://A.example:80/x": "a.example:80", "https://u:p@b.example?q": "b.example", "/d/1": "", "mailto:x@y": ""}
     df = spark.createDataFrame([(u,) for u in want], "u string")
     assert {r.u: r.h for r in df.select("u", records.host("u").alias("h")).collect()} == want
+
+
+def test_pages_that_share_an_address_stay_apart_by_a_key(spark, tmp_path):
+    folder, key = f"file://{tmp_path}/crawl", ("title", "url")
+    pages = spark.createDataFrame([("1996", "Jan", t, "same", f"x{t}", e) for t, e in (("1", None), ("2", None), ("3", "503"), ("4", "503"))], ROWS)
+    committed(pages, folder, key)
+    log = committed(pages.where("title = '3'").withColumn("error", F.lit(None).cast("string")), folder, key)
+    assert sorted(r.text for r in log.records.collect()) == ["x1", "x2", "x3"] and log.done.count() == 3
+    assert [tuple(r) for r in log.failed.collect()] == [("4", "same", "503")]
+    assert seen(CrawlLog(spark, folder)) == (["same"], ["same"], [])  # without a key an address is one entry
+
+
+def test_crawl_commits_keeps_each_page_of_an_address(spark, tmp_path):
+    from textquarry.plans import registry
+
+    spark.createDataFrame([(i, "https://a.example/x" if i < 6 else f"https://a.example/{i}", f"<p>{i}") for i in range(12)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.crawl_commits(spark, str(tmp_path)).collect()
+    assert len(got) == 12 and sum(r.url.endswith("/x") for r in got) == 6 and sum(r.error == "503" for r in got) == 2

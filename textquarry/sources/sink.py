@@ -108,10 +108,14 @@ def _names(folder: str, part: str) -> list[str]:
 
 
 class CrawlLog:
-    """What the commits of a folder hold, as of now."""
+    """What the commits of a folder hold, as of now.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.folder = folder.rstrip("/")
+    An entry is one address; where one address may stand for several pages, `key`
+    names the columns that tell entries apart.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: tuple[str, ...] = ("url",)):
+        self.folder, self.key = folder.rstrip("/"), key
         commits = [f"{self.folder}/commits/{n}" for n in _names(folder, "commits")]
         # No more names than there were tasks.
         self.files = [r.f for r in spark.read.schema("files array<string>").json(commits).select(F.explode("files").alias("f")).collect()] if commits else []
@@ -119,19 +123,19 @@ class CrawlLog:
 
     @property
     def records(self) -> DataFrame:
-        """Each address once, as it was had first."""
+        """Each entry once, as it was had first."""
         rows = self.rows.where("error is null")
-        return rows.groupBy("url").agg(F.min_by(F.struct(*COLUMNS), "tried").alias("r")).select("r.*")
+        return rows.groupBy(*self.key).agg(F.min_by(F.struct(*COLUMNS), "tried").alias("r")).select("r.*")
 
     @property
     def done(self) -> DataFrame:
-        return self.rows.where("error is null").select("url").distinct()
+        return self.rows.where("error is null").select(*self.key).distinct()
 
     @property
     def failed(self) -> DataFrame:
-        """(url, error): the last error of each address that was never had."""
-        last = self.rows.groupBy("url").agg(F.count_if(F.col("error").isNull()).alias("had"), F.max_by("error", "tried").alias("error"))
-        return last.where("had = 0").select("url", "error")
+        """(url, error): the last error of each entry that was never had."""
+        last = self.rows.groupBy(*self.key).agg(F.count_if(F.col("error").isNull()).alias("had"), F.max_by("error", "tried").alias("error"))
+        return last.where("had = 0").select(*self.key, "error")
 
     def leftovers(self, delete: bool = False) -> list[str]:
         """Files that no commit names; they may be deleted while no write runs."""
@@ -142,8 +146,8 @@ class CrawlLog:
         return found
 
 
-def committed(rows: DataFrame, folder: str) -> CrawlLog:
+def committed(rows: DataFrame, folder: str, key: tuple[str, ...] = ("url",)) -> CrawlLog:
     """rows written to the folder under one commit, and the log with it."""
     rows.sparkSession.dataSource.register(CrawlSink)
     rows.select(*COLUMNS, "error").write.format("crawl_commit").option("folder", folder).mode("append").save()
-    return CrawlLog(rows.sparkSession, folder)
+    return CrawlLog(rows.sparkSession, folder, key)
