@@ -419,3 +419,10 @@ def test_store_refuses_vectors_of_another_model(spark, tmp_path):
 def test_named_references_end_with_a_semicolon():
     assert H.page_text("<p>a&amp;&amp</p><p>&lt;b &copy 1 &notit; &#65 R&D</p>")[1] == "a&&amp\n<b &copy 1 &notit; A R&D"
     assert H.anchors('<a href="/x?a=1&copy=2&amp;b">t</a>', ("body",), "") == [(0, "a", "t", "/x?a=1&copy=2&b")]
+
+
+def test_labels_round_the_exact_binary_value(spark):
+    values = [0.12345, 0.5125, 0.0625, 0.00005, 1.00045, 0.1235, -0.00001]
+    found = spark.createDataFrame([(i, v, v) for i, v in enumerate([*values, None])], "id long, distance double, similarity double")
+    got = {r.id: (r.similarity_label, r.distance_label) for r in search.result_labels(found).collect()}
+    assert got == {i: (f"{v:.3f}", f"{v:.4f}") for i, v in enumerate(values)} | {len(values): (None, None)}

@@ -173,7 +173,18 @@ def result_table(found: DataFrame) -> DataFrame:
     return found.select(*(F.col(c) for c in order if c in found.columns))
 
 
+def digits(x: Column | str, n: int) -> Column:
+    """x with n digits, rounded from its exact binary value; Java's formatter rounds the shortest decimal form, so that halves differ."""
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if v is None else f"{v:.{n}f}" for v in batch.to_pylist()], pa.string())
+
+    return run((F.col(x) if isinstance(x, str) else x).cast("double"))
+
+
 def result_labels(found: DataFrame, key: str = "id") -> DataFrame:
     """(rank from 1, label): similarity with three and distance with four digits. found is a result of k rows."""
     rank = F.row_number().over(Window.orderBy(F.col("distance").asc_nulls_last(), key))
-    return found.select(key, rank.alias("rank"), F.format_string("%.3f", F.col("similarity")).alias("similarity_label"), F.format_string("%.4f", F.col("distance")).alias("distance_label"))
+    return found.select(key, rank.alias("rank"), digits("similarity", 3).alias("similarity_label"), digits("distance", 4).alias("distance_label"))
