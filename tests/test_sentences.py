@@ -101,3 +101,19 @@ def test_chance_is_the_likelihood_ratio(spark):
 def test_nothing_to_learn_from(spark):
     m = splitter.trained(spark.createDataFrame([], "text string"))
     assert m == splitter.Model() and m.sentences("A boat. C dog.") == ["A boat.", "C dog."]
+
+
+def test_words_are_counted_in_one_pass_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(splitter, "HELD", 3)  # what a task holds is given on now and then
+    texts = ["to be or not to be. " * 2_000, "Be! (p.m.) \"to\" to\u2028be ...", None, "", " \n"]
+    got = splitter.tokens(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)).collect()
+    assert len(got) <= 20 and sum(r.times for r in got) == 12_000 + 6
+    before = lambda r: r.before and (r.before.type, r.before.dot, r.before.end, r.before.dots)
+    seen = {}
+    for r in got:
+        seen[before(r), r.type, r.dot] = seen.get((before(r), r.type, r.dot), 0) + r.times
+    plain = ("", False, False, False)
+    assert seen == {
+        (None, "to", False): 1, (("be", True, False, False), "to", False): 1_999, (plain, "to", False): 2_000 + 1, (plain, "be", False): 2_000 + 1, (plain, "be", True): 2_000, (plain, "or", False): 2_000, (plain, "not", False): 2_000,
+        (None, "be", False): 1, (("", False, True, False), "p.m", True): 1, (("p.m", True, False, False), "to", False): 1, (plain, "", False): 1,
+    }

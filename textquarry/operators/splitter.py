@@ -13,8 +13,8 @@ stands around it and without its final stops, all numbers being one type.
 4. Case: whether a type was seen with a small letter, at the start of a sentence
    too, and with a capital, within a sentence too.
 
-Each is an aggregate over exploded words, combined in the tasks first; the first
-needs one pass, the others a second that knows the abbreviations. What is learned
+Each is an aggregate over the different words and what stands before them, which one
+pass over the texts counts in its tasks and writes. What is learned
 comes to the driver as a `Model`: its lists hold what passes a threshold, and case
 is kept for the `vocabulary` commonest of the types that follow a doubtful stop
 (others count as unseen, which is a decision of the method's own). A text is then
@@ -24,8 +24,10 @@ cut in Arrow batches, in time linear in its length. Null texts give null.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,9 @@ MAX_SENT = 200_000
 
 # What may stand around a word, and its final stops.
 BEFORE, AFTER, STOPS = "\"'([{<", "\"')]}>,;:", ".!?"
+_FINAL, _LAST = frozenset(STOPS), frozenset(STOPS + AFTER)
+#: Different pairs of words that a task holds before it gives them on.
+HELD = 500_000
 NUMERIC = r"\A[-+]?[0-9][0-9.,-]*\z"
 
 
@@ -57,20 +62,56 @@ def _token(w: Column) -> Column:
     return F.struct(F.when(number, NUMBER).otherwise(bare).alias("type"), case.alias("case"), (core.endswith(".") & ~dots).alias("dot"), (core.endswith("!") | core.endswith("?")).alias("end"), dots.alias("dots"))
 
 
+def _stop(word: str) -> str:
+    """Of a word that something follows, what its final stop tells: the word where that is one full stop, else the stop alone, or nothing."""
+    core = word.rstrip(AFTER)
+    if core[-1:] not in _FINAL:
+        return ""
+    return core[-1] if core[-1] != "." else ".." if core.endswith("..") else word
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(p, w, times) of a task's texts: each word, what stands before it, and how often. p: null before the first, "" for a word without a final stop.
+
+    All words are counted as if such a one stood before; the few others are taken out of that count.
+    """
+
+    def part() -> pa.RecordBatch:
+        p, w, n = [""] * len(plain) + [x for x, _ in others], [*plain, *(x for _, x in others)], [*plain.values(), *others.values()]
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())], ["p", "w", "times"])
+
+    plain, others = Counter(), Counter()
+    for batch in batches:
+        for text in batch.column(0):
+            words = (text.as_py() or "").split()
+            if not words:
+                continue
+            plain.update(words)
+            pairs = [(p, w) for b, w in pairwise(words) if b[-1] in _LAST and (p := _stop(b))]
+            pairs.append((None, words[0]))
+            others.update(pairs)
+            plain.subtract(w for _, w in pairs)
+            if len(plain) + len(others) > HELD:
+                yield part()
+                plain, others = Counter(), Counter()
+    yield part()
+
+
 def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each word, with the word before it (null before the first)."""
-    words = F.regexp_extract_all(F.col(text), F.lit(f"[^{WS}]+"), F.lit(0))
-    # The words are bound once, as the element of a one-element array, and taken apart as rows, where code is generated for it.
-    pairs = F.flatten(F.transform(F.array(words), lambda ws: F.arrays_zip(ws.alias("w"), F.concat(F.array(F.lit(None).cast("string")), ws).alias("p"))))
-    # The outer form, since a filter on the size of what is exploded would compute it twice.
-    rows = docs.select(F.explode_outer(pairs).alias("x")).select("x.w", "x.p").where("w is not null")
-    return rows.select(_token(F.col("w")).alias("t"), F.when(F.col("p").isNotNull(), _token(F.col("p"))).alias("before")).select("t.*", "before")
+    """A row for each different word and what stands before it (null before the first), with how often they do.
+
+    Of a word before, only its final stop tells something, and its type only where
+    that is one full stop; the rest is left out. The texts are counted in the tasks
+    first, and read once.
+    """
+    rows = docs.select(text).mapInArrow(_pairs, "p string, w string, times long").groupBy("p", "w").agg(F.sum("times").alias("times")).where("times > 0")
+    return rows.select(_token(F.col("w")).alias("t"), F.when(F.col("p").isNotNull(), _token(F.col("p"))).alias("before"), "times").select("t.*", "before", "times")
 
 
 def abbreviations(words: DataFrame) -> DataFrame:
     """(type, stops, others, score) of all types with a letter that end in a full stop somewhere."""
     dot = F.col("dot").cast("long")
-    types = words.groupBy("type").agg(F.sum(dot).alias("stops"), F.sum(1 - dot).alias("others"))
+    types = words.groupBy("type").agg(F.sum(dot * F.col("times")).alias("stops"), F.sum((1 - dot) * F.col("times")).alias("others"))
     types = written_table(types, "sentence-types")
     return scored_abbreviations(types)
 
@@ -112,9 +153,9 @@ def contexts(words: DataFrame, known: DataFrame) -> DataFrame:
     doubtful = F.coalesce(b["dots"] | (b["dot"] & (F.col("abbreviation").isNotNull() | short)), F.lit(False))
     starts = F.coalesce((b["dot"] & F.col("abbreviation").isNull() & ~short) | b["end"], F.lit(True))  # the first word of a text too
     upper, lower = F.col("case") == "u", F.col("case") == "l"
-    rows = rows.select(F.when(doubtful, F.coalesce(F.col("b_type"), F.lit(""))).alias("before"), "type", doubtful.alias("doubtful"), starts.alias("starts"), upper.alias("upper"), lower.alias("lower"), b.isNull().alias("first"))
+    rows = rows.select(F.when(doubtful, F.coalesce(F.col("b_type"), F.lit(""))).alias("before"), "type", doubtful.alias("doubtful"), starts.alias("starts"), upper.alias("upper"), lower.alias("lower"), b.isNull().alias("first"), "times")
     flags = {"lower": F.max("lower"), "upper": F.max("upper"), "lower_at_start": F.max(F.col("lower") & F.col("starts")), "upper_within": F.max(F.col("upper") & ~F.col("starts") & ~F.col("doubtful"))}
-    return rows.groupBy("before", "type", "doubtful", "starts").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("n_first"), *(v.alias(k) for k, v in flags.items()))
+    return rows.groupBy("before", "type", "doubtful", "starts").agg(F.sum("times").alias("n"), F.sum(F.when(F.col("first"), F.col("times")).otherwise(0)).alias("n_first"), *(v.alias(k) for k, v in flags.items()))
 
 
 def starters(counted: DataFrame) -> DataFrame:
@@ -153,7 +194,7 @@ class Statistics:
 
 
 def statistics(docs: DataFrame, text: str = "text") -> Statistics:
-    words = tokens(docs, text)
+    words = written_table(tokens(docs, text), "sentence-words")
     known = written_table(abbreviations(words).where(F.col("score") >= ABBREVIATION), "abbreviations")
     counted = written_table(contexts(words, known), "sentence-contexts")
     return Statistics(known, starters(counted).where(F.col("score") >= STARTER), collocations(counted).where(F.col("score") >= COLLOCATION), cases(counted))
@@ -210,7 +251,7 @@ class Model:
         for m in _WORD.finditer(text):
             if start is None:
                 start = m.start()
-            elif _CLOSED.search(last[0]) and self.ends(last[0], m[0]):
+            elif last[0][-1] in _LAST and _CLOSED.search(last[0]) and self.ends(last[0], m[0]):
                 out.append(text[start : last.end()])
                 start = m.start()
             last = m
