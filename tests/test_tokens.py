@@ -39,3 +39,12 @@ def test_counts_go_with_the_vectors(spark, other):
     df = spark.createDataFrame([(1, "some unusual words", None), (2, "kept", [1.0])], "id long, text string, embedding array<float>")
     got = embed.embed_pending(df, lambda: embed.HashingEmbedder(8), tokens.subword_count(PATH)).collect()
     assert [(r.id, r.token_count, len(r.embedding)) for r in got] == [(1, len(other.encode_ordinary("some unusual words")), 8)]
+
+
+def test_few_texts_are_encoded_together():
+    import pyarrow as pa
+
+    texts = ["a" * 90_000, None, "b" * 90_000, "c" * 90_000, "", "d" * 500_000, "e", None]
+    runs = list(tokens.together(pa.array(texts, pa.string())))
+    assert [at for at, _ in runs] == [[0, 2, 3], [4, 5], [6]] and all(some == [texts[i] for i in at] for at, some in runs)
+    assert list(tokens.together(pa.array([None], pa.string()))) == []

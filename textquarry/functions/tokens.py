@@ -11,6 +11,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Characters of texts that are encoded together; what the tokenizer makes of them takes some hundred times that in bytes.
+TOGETHER = 200_000
+
+
+def together(batch: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
+    """(places, texts) of the texts that aren't null, in runs of about TOGETHER characters."""
+    at, texts, size = [], [], 0
+    for i, x in enumerate(batch):
+        if not x.is_valid:
+            continue
+        at.append(i)
+        texts.append(x.as_py())
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield at, texts
+            at, texts, size = [], [], 0
+    if at:
+        yield at, texts
+
+
 @lru_cache(maxsize=4)
 def loaded(path: str):
     """The tokenizer of a file; a worker process loads it once."""
@@ -30,11 +50,10 @@ def subword_count(path: str, specials: bool = True) -> Callable[[Column | str],
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = loaded(path)
         for batch in batches:
-            texts = batch.to_pylist()
-            at = [i for i, t in enumerate(texts) if t is not None]
-            out: list[int | None] = [None] * len(texts)
-            for i, made in zip(at, tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=specials)):
-                out[i] = len(made)
+            out: list[int | None] = [None] * len(batch)
+            for at, texts in together(batch):
+                for i, made in zip(at, tokenizer.encode_batch_fast(texts, add_special_tokens=specials)):
+                    out[i] = len(made)
             yield pa.array(out, pa.int32())
 
     return lambda text: count(F.col(text) if isinstance(text, str) else text)
