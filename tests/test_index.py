@@ -88,3 +88,27 @@ def test_service_searches_through_the_index(spark, tmp_path):
     with pytest.raises(RuntimeError, match="no chunks"):
         SearchService(spark, None, embed.HashingEmbedder(32))
     assert search.recall(index.search([1.0] * 32, 5, probes=4), search.exact(texts, [1.0] * 32, 5)) == 1.0
+
+
+def test_nearest_cells_are_those_of_a_full_sort():
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(50).astype(np.int64)
+    distance = rng.integers(0, 6, (40, 50)).astype(np.float64)  # many equal ones
+    distance[0, :45], distance[1, 7] = np.nan, np.nan
+    for k in (1, 10, 49, 50, 80):
+        near = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
+        at, to, both = search.nearest_cells(distance, ids, k)
+        assert (to == near.ravel()).all() and (at == np.repeat(np.arange(40), near.shape[1])).all()
+        assert np.array_equal(distance[both], np.take_along_axis(distance, near, 1).ravel(), equal_nan=True)
+
+
+def test_a_task_holds_few_distances(spark, monkeypatch):
+    monkeypatch.setattr(search, "CELLS", 64)  # some rows, and less than one where a list is long
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "id long, embedding array<double>")
+    centroids = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), (1, [-1.0, 0.0, 0.0, 0.0])], "list_id long, centroid array<double>")
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    got = {(r.query_id, r.id) for r in search.ivf_many(search.nearest_lists(rows, centroids, 1), centroids, queries, 3, 2).collect()}
+    table = np.array([r.embedding for r in rows.orderBy("id").collect()])
+    unit = table / np.linalg.norm(table, axis=1, keepdims=True)
+    assert got == {(q, int(i)) for q in range(0, 300, 20) for i in np.argsort(-(unit @ unit[q]))[:3]}

@@ -128,6 +128,20 @@ def ivf(indexed: DataFrame, centroids: DataFrame, query: DataFrame, k: int = K,
     return exact(indexed.join(F.broadcast(lists), "list_id", "left_semi"), query, k, embedding, key)
 
 
+#: Distances that a task holds at once.
+CELLS = 1_000_000
+
+
+def nearest_cells(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns, both) of the k least distances of each row, equal ones by id. Only those up to a row's k-th least are sorted."""
+    at, to = np.nonzero(~(distance > np.partition(distance, k - 1, axis=1)[:, k - 1 : k])) if k < len(ids) else (x.ravel() for x in np.indices(distance.shape))
+    order = np.lexsort((ids[to], distance[at, to], at))
+    at, to = at[order], to[order]
+    first = np.searchsorted(at, at)  # of each row's cells
+    kept = np.arange(len(at)) - first < k
+    return at[kept], to[kept], (at[kept], to[kept])
+
+
 def ivf_many(indexed: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = K, probes: int = PROBES, embedding: str = "embedding", key: str = "id", query_key: str = "query_id", part: int = 20_000) -> DataFrame:
     """(query_id, id, distance) of the k nearest rows of each query's lists, for any number of queries (query_id, embedding).
 
@@ -142,11 +156,11 @@ def ivf_many(indexed: DataFrame, centroids: DataFrame, queries: DataFrame, k: in
 
     def best(key_: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
         ids, rows, found = own.column("id").to_numpy(), _matrix(own.column("v")), []
-        for at in range(0, len(asked) if len(ids) else 0, 1024):
-            some = asked.slice(at, 1024)
+        step = max(1, CELLS // max(1, len(ids)))
+        for at in range(0, len(asked) if len(ids) else 0, step):
+            some = asked.slice(at, step)
             distance = np.maximum(1 - _matrix(some.column("q")) @ rows.T, 0.0)
-            near = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
-            found.append((np.repeat(some.column("query_id").to_numpy(), near.shape[1]), ids[near].ravel(), np.take_along_axis(distance, near, 1).ravel()))
+            found.append(tuple(x[i] for x, i in zip((some.column("query_id").to_numpy(), ids, distance), nearest_cells(distance, ids, k))))
         columns = [np.concatenate(c) for c in zip(*found)] or [[], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "distance"])
 
