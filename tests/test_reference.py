@@ -426,3 +426,17 @@ def test_labels_round_the_exact_binary_value(spark):
     found = spark.createDataFrame([(i, v, v) for i, v in enumerate([*values, None])], "id long, distance double, similarity double")
     got = {r.id: (r.similarity_label, r.distance_label) for r in search.result_labels(found).collect()}
     assert got == {i: (f"{v:.3f}", f"{v:.4f}") for i, v in enumerate(values)} | {len(values): (None, None)}
+
+
+def test_chunks_compute_their_sentences_once(spark):
+    """Sentences by an Arrow function, which can't be part of another expression's inner function."""
+    cut = F.arrow_udf(lambda v: __import__("pyarrow").array([None if t is None else t.split("|") for t in v.to_pylist()]), "array<string>")
+    texts = ["|".join(words(n) + "." for n in (200, 100, 100, 5, 340, 3)), "a|b", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: (r.a, r.b) for r in df.select("i", chunker.chunks(cut(F.col("t"))).alias("a"), chunker.chunks_arrow(cut(F.col("t"))).alias("b")).collect()}
+    assert all(a == b for a, b in got.values()) and len(got[0][0]) > 1 and got[3] == (None, None)
+
+
+def test_words_are_what_lies_between_blanks(spark):
+    odd = [chr(c) for c in [*range(1, 0x3010), 0xFEFF, 0xFFFD, 0x1F600, 0x10FFFF]]
+    assert column(spark, [f"a{c}b" for c in odd], T.word_count) == [len(f"a{c}b".split()) for c in odd]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The same characters as a string. Trimming looks at a text's ends alone, where a pattern would be tried at each character.
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: What is none, as a class. Nearly all of it is decided by the first range; the negated class alone is tried range by range.
+INK = rf"[!-~[^{WS}]]"
 ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -44,7 +46,7 @@ def lines(text: Column | str) -> Column:
 
 def word_count(text: Column | str) -> Column:
     """Runs of characters that aren't white space."""
-    return F.regexp_count(_col(text), F.lit(rf"[^{WS}]+"))
+    return F.regexp_count(_col(text), F.lit(f"{INK}+"))
 
 
 def division_cut(text: Column | str) -> Column:

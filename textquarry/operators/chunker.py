@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, metadata, word_count
-from .sections import sections
+from .sections import bound, sections
 
 MAX_WORDS, OVERLAP, TINY = 350, 2, 15
 #: What ends in a full stop without ending a sentence.
@@ -43,9 +43,11 @@ def sentences_legal(text: Column | str) -> Column:
 
 
 def chunks(sents: Column | str, max_words: int = MAX_WORDS, overlap: int = OVERLAP, tiny: int = TINY) -> Column:
-    """array<string> of chunks of a sentence array."""
-    sents = _col(sents)
-    counts = F.transform(sents, word_count)
+    """array<string> of chunks of a sentence array, which is computed once."""
+    return bound(_col(sents), lambda s: bound(F.transform(s, word_count), lambda counts: _chunks(s, counts, max_words, overlap, tiny)))
+
+
+def _chunks(sents: Column, counts: Column, max_words: int, overlap: int, tiny: int) -> Column:
     zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("start"), F.lit(0).alias("words"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
 
     def fold(whole: Column) -> Column:
@@ -63,14 +65,15 @@ def chunks(sents: Column | str, max_words: int = MAX_WORDS, overlap: int = OVERL
 
         return F.aggregate(whole, zero, step, lambda s: F.when(s["i"] > 0, F.array_append(s["out"], F.struct(s["start"].alias("a"), s["i"].alias("b")))).otherwise(s["out"]))
 
-    slices = F.flatten(F.transform(F.array(counts), fold))
-    texts = F.transform(slices, lambda x: F.array_join(F.slice(sents, x["a"] + 1, x["b"] - x["a"]), " "))
+    def part(values: Column, x: Column) -> Column:
+        return F.slice(values, x["a"] + 1, x["b"] - x["a"])
 
-    def merge(out, text):
+    def merge(out, x):
+        text, n = F.array_join(part(sents, x), " "), F.aggregate(part(counts, x), F.lit(0), lambda a, b: a + b)
         last = F.concat(F.element_at(out, -1), F.lit(" "), text)
-        return F.when((word_count(text) < tiny) & (F.size(out) > 0), F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), last)).otherwise(F.array_append(out, text))
+        return F.when((n < tiny) & (F.size(out) > 0), F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), last)).otherwise(F.array_append(out, text))
 
-    return F.aggregate(texts, F.array().cast("array<string>"), merge)
+    return F.aggregate(fold(counts), F.array().cast("array<string>"), merge)
 
 
 def slices_of(counts: list[int], max_words: int, overlap: int) -> list[tuple[int, int]]:
