@@ -114,3 +114,17 @@ def test_a_batch_writes_in_proportion_and_look_ups_read_little(spark, tmp_path):
     column = meta.schema.names.index("decision_id")
     groups = [meta.row_group(i).column(column).statistics for i in range(meta.num_row_groups)]
     assert len(groups) > 5 and sum(g.min <= decision <= g.max for g in groups) == 1
+
+
+def test_first_chunks_leave_tasks_before_the_shuffle(spark):
+    rows = spark.createDataFrame([("c", s, 0, t, q) for s, t, q in (("S", "b", 2), ("S", "a", 1), (None, "x", 1), (None, "x", 1), ("T", "d", 3))] + [(None, "S", 0, "no case", 0)], "case_no string, section string, chunk_index int, text string, seq int").repartition(3)
+    first = store.first_chunks(rows)
+    assert sorted((r.section or "", r.text) for r in first.collect()) == [("", "x"), ("", "x"), ("S", "a"), ("T", "d")] and first.columns == rows.columns
+    assert "WindowGroupLimit" in first._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merged_chunks_are_computed_once(spark):
+    from textquarry.plans import registry
+
+    for query in (registry.chunks_upsert, registry.chunk_decision_fk, registry.fk_check):
+        assert "ArrowEvalPython" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -61,8 +61,9 @@ def first_chunks(chunks: DataFrame, seq: str | list[str] = "seq", on_duplicate:
     """Of chunks with one key the first in ingest order; a null section equals none other. on_duplicate="error" fails instead."""
     rows = chunks.where("case_no is not null")
     order = [seq] if isinstance(seq, str) else seq
-    rank = F.row_number().over(Window.partitionBy(*CHUNK_KEY).orderBy(*order))
-    rows = rows.withColumn("tq_rank", F.when(F.col("section").isNull(), 1).otherwise(rank))
+    # A row of a null section is a group of its own. A plain rank, since of such a one the tasks keep the first rows alone before the shuffle.
+    rows = rows.withColumn("tq_own", F.when(F.col("section").isNull(), F.monotonically_increasing_id()))
+    rows = rows.withColumn("tq_rank", F.row_number().over(Window.partitionBy(*CHUNK_KEY, "tq_own").orderBy(*order))).drop("tq_own")
     if on_duplicate == "error":
         told = F.raise_error(F.concat(F.lit("more than one chunk for "), F.concat_ws("/", *CHUNK_KEY))).cast("int")
         return rows.withColumn("tq_rank", F.when(F.col("tq_rank") > 1, told).otherwise(F.col("tq_rank"))).where("tq_rank = 1").drop("tq_rank")
