@@ -32,10 +32,14 @@ RATE = 5
 LOW = (1 << 32) - 1
 HASH1, HASH2 = 10, 12
 SYMBOLS = CLASSES + 2
-#: What a row of shares moves towards when a symbol is coded; every symbol keeps a share of one.
-TARGET = np.array([[i if i <= s else ONE - SYMBOLS + i for i in range(SYMBOLS + 1)] for s in range(SYMBOLS)], np.int16)
-#: A row of shares as one value, which is copied whole.
-ROW = np.dtype(f"V{2 * (SYMBOLS + 1)}")
+#: What the ends of a row of shares move towards when a symbol is coded; every symbol keeps a share of one.
+TARGET = np.array([[i if i <= s else ONE - SYMBOLS + i for i in range(1, SYMBOLS + 1)] for s in range(SYMBOLS)], np.int16)
+#: Half a row, as numpy's largest type that is copied fast.
+HALF = np.complex128
+#: What a table holds where nothing followed yet: a place that no id has.
+NEVER = 1 << 18
+#: Each number below ONE, as often as a row has ends.
+REPEATED = np.repeat(np.arange(ONE, dtype=np.int16), SYMBOLS).reshape(ONE, SYMBOLS)
 
 
 @dataclass
@@ -96,35 +100,56 @@ class Shares:
 
 
 class Lanes:
-    """The predictions and the mix of n blocks."""
+    """The predictions and the mix of n blocks.
+
+    Both orders lie in one table, of place << 2 | confidence. A row of the mix is
+    the ends of its 16 shares, the last ONE.
+    """
 
     def __init__(self, n: int):
-        self.one, self.two = np.zeros(n << HASH1, np.int32), np.zeros(n << HASH2, np.int32)
-        self.mix = np.tile((np.arange(SYMBOLS + 1) * (ONE // SYMBOLS)).astype(np.int16), (n * 16, 1))
-        self.flat, self.whole = self.mix.reshape(-1), self.mix.view(ROW).reshape(-1)
-        self.base1, self.base2 = np.arange(n) << HASH1, np.arange(n) << HASH2
-        self.base_mix = np.arange(n) * 16
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.table = np.full((n << HASH1) + (n << HASH2), NEVER, np.int32)
+        self.ends = np.tile((np.arange(1, SYMBOLS + 1) * (ONE // SYMBOLS)).astype(np.int16), (n * 16, 1))
+        self.flat, self.halves = self.ends.reshape(-1), self.ends.view(HALF).reshape(-1)
+        self.base = np.array([np.arange(n) << HASH1, (n << HASH1) + (np.arange(n) << HASH2)]).reshape(2, n)
+        self.base_mix = np.arange(n, dtype=np.int32) << 4
+        self.last, self.before = np.zeros((2, n), np.uint16)  # of the last place, and of that before it times a factor
 
     def predict(self, a: int) -> None:
         """The predictions of the first a lanes."""
-        last = self.last[:a]
-        self.at1 = self.base1[:a] + (last & ((1 << HASH1) - 1))
-        self.at2 = self.base2[:a] + (((last * 40503 + self.before[:a] * 30011) >> 4) & ((1 << HASH2) - 1))
-        self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
-        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-        self.row = self.base_mix[:a] + (self.c2 << 2 | self.c1)
-        self.rows = self.whole.take(self.row).view(np.int16).reshape(a, SYMBOLS + 1)
-
-    def learn(self, a: int, x: np.ndarray, symbol: np.ndarray) -> None:
-        """x and its symbol as the next of the first a lanes."""
-        self.rows += (TARGET.take(symbol, 0) - self.rows) >> RATE
-        self.whole[self.row] = self.rows.view(ROW).reshape(-1)
-        fresh = (x << 2 | 1).astype(np.int32)
-        for table, at, e, c, p in ((self.one, self.at1, self.e1, self.c1, self.p1), (self.two, self.at2, self.e2, self.c2, self.p2)):
-            table[at] = np.where(p == x, e + (c < 3), np.where(c >= 2, e - 1, fresh))
-        self.before[:a], self.last[:a] = self.last[:a], x
+        last, self.at = self.last[:a], np.empty((2, a), np.int64)
+        np.add(self.base[0, :a], last & ((1 << HASH1) - 1), out=self.at[0])
+        np.add(self.base[1, :a], (last * 40503 + self.before[:a]) >> 4, out=self.at[1])  # the low 16 bits, of which HASH2 stay
+        self.held = self.table.take(self.at)
+        self.sure = self.held.astype(np.int8) & 3
+        self.place = self.held >> 2
+        self.row = ((self.sure[1] << 2 | self.sure[0]) + self.base_mix[:a]).astype(np.int64)
+        self.rows = self.ends.take(self.row, 0)
+
+    def shares(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, share) of symbols in the lanes' rows."""
+        cell = (self.row << 4) + symbol
+        start = self.flat.take(cell - 1) & (ONE - 1)  # before a row's first lies another's last, ONE
+        return start, self.flat.take(cell) - start
+
+    def learn(self, a: int, x: np.ndarray, symbol: np.ndarray, right: np.ndarray) -> None:
+        """x (32 bits) and its symbol as the next of the first a lanes; right: which orders predicted it."""
+        move = TARGET.take(symbol, 0)
+        move -= self.rows
+        move >>= RATE
+        self.rows += move
+        row = np.empty((a, 2), np.int64)
+        np.left_shift(self.row, 1, out=row[:, 0])
+        np.add(row[:, 0], 1, out=row[:, 1])
+        self.halves[row] = self.rows.view(HALF)
+        right, fresh = right.view(np.int8), x << 2 | 1
+        kept = right | self.sure >> 1
+        self.held += (right & (self.sure != 3)) + right - 1  # up to 3, or down
+        self.held -= fresh
+        self.held *= kept
+        self.held += fresh
+        self.table[self.at] = self.held
+        self.before[:a] = self.last[:a] * 30011
+        self.last[:a] = x
 
 
 def _lengths(n: int, block: int) -> np.ndarray:
@@ -137,10 +162,10 @@ def _lengths(n: int, block: int) -> np.ndarray:
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[Shares, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shares, ids, words and crc32 of each block, all words)."""
     shares, places = Shares.of(ids)
-    kind, start, share, _ = shares.tables()
+    kind, start, share, _ = (np.append(x, first) for x, first in zip(shares.tables(), (0, 0, ONE, 0)))  # the last is for ids of orders 1 and 2
     lengths = _lengths(len(ids), block)
     n, steps = len(lengths), min(block, len(ids))
-    x_all = np.zeros(n * block, np.int64)
+    x_all = np.zeros(n * block, np.uint16)
     x_all[: len(ids)] = places
     x_all = np.ascontiguousarray(x_all.reshape(n, block)[:, :steps].T)
     lanes, low, rng = Lanes(n), np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64)
@@ -148,19 +173,29 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[Shares, np.ndarray, np.
     out, base = np.zeros(room * n, np.uint32), np.arange(n)  # the i-th words of all blocks side by side
     for t in range(steps):
         a = n if t < lengths[-1] else n - 1
-        x = x_all[t, :a]
+        x = x_all[t, :a].astype(np.int32)
         lanes.predict(a)
-        hit2, hit1 = (lanes.p2 == x) & (lanes.c2 > 0), (lanes.p1 == x) & (lanes.c1 > 0)
-        symbol = np.where(hit2, 0, np.where(hit1, 1, kind.take(x)))
-        cell = lanes.row * (SYMBOLS + 1) + symbol
-        lo, hi = lanes.flat.take(cell), lanes.flat.take(cell + 1)
-        lanes.learn(a, x, symbol)
+        right = lanes.place == x
+        hit = right[0] | right[1]
+        own = (x + 1) * ~hit - 1  # the place, or the last
+        symbol = kind.take(own) + (right[0] > right[1])
+        lo, width = lanes.shares(symbol)
+        lanes.learn(a, x, symbol, right)
         r = rng[:a] >> BITS
-        value, width = low[:a] + r * lo, (r * (hi - lo)) >> BITS
-        hit = symbol < 2
-        low[:a] = value + width * np.where(hit, 0, start.take(x))
-        rng[:a] = width * np.where(hit, ONE, share.take(x))
-        while len(short := np.flatnonzero(rng <= LOW)):
+        value = low[:a] + r * lo
+        r *= width
+        r >>= BITS
+        low[:a] = value + r * start.take(own)
+        rng[:a] = r * share.take(own)
+        short = rng <= LOW
+        out[base] = low >> 32  # stays where the lane moves on
+        base += n * short
+        shift = short << 4
+        low &= LOW | (short - 1)
+        low <<= shift
+        rng <<= shift
+        while (rng <= LOW).any():
+            short = np.flatnonzero(rng <= LOW)
             value = low.take(short)
             at = base.take(short)
             out[at] = value >> 32
@@ -184,6 +219,7 @@ def decode(shares: Shares, lengths: np.ndarray, used: np.ndarray, crc: np.ndarra
     kind, start, share, slots = shares.tables()
     lengths = lengths.astype(np.int64)
     n, steps = len(lengths), int(lengths.max(initial=0))
+    start, share, other = np.append(start, 0), np.append(share, ONE), len(start)
     ends = np.cumsum(used.astype(np.int64) + 4)
     at = ends - used.astype(np.int64) - 4
     stream = np.zeros(int(ends[-1]) if n else 0, np.int64)
@@ -191,31 +227,43 @@ def decode(shares: Shares, lengths: np.ndarray, used: np.ndarray, crc: np.ndarra
     dif = stream.take(at) << 32 | stream.take(at + 1) << 16 | stream.take(at + 2) if n else at
     at, last_word = at + 3, ends - 1
     rng, lanes = np.full(n, 1 << 48, np.int64), Lanes(n)
-    x_all = np.empty((steps, n), np.int64)
+    x_all = np.zeros((steps, n), np.uint16)
     for t in range(steps):
         a = n if t < lengths[-1] else n - 1
         lanes.predict(a)
         d, r = dif[:a], rng[:a] >> BITS
         # Both are under 2 ** 48 and the quotient is small: the division in doubles is exact after floor.
-        v = np.minimum((d / r).astype(np.int16), ONE - 1)
-        symbol = np.bitwise_count((lanes.rows[:, 1:] <= v[:, None]).view(np.uint64))
-        symbol = symbol[:, 0].astype(np.int64) + symbol[:, 1]
-        cell = lanes.row * (SYMBOLS + 1) + symbol
-        lo, hi = lanes.flat.take(cell), lanes.flat.take(cell + 1)
-        d, width = d - r * lo, (r * (hi - lo)) >> BITS
-        v = np.minimum((d / width).astype(np.int64), ONE - 1)
+        v = np.minimum((d / r).astype(np.int64), ONE - 1)
+        symbol = np.bitwise_count(np.packbits(lanes.rows <= REPEATED.take(v, 0)).view(np.uint16)).astype(np.int64)
+        lo, width = lanes.shares(symbol)
+        d = d - r * lo
+        r *= width
+        r >>= BITS
+        v = np.minimum((d / r).astype(np.int64), ONE - 1)
         hit = symbol < 2
-        x = np.where(hit, np.where(symbol == 0, lanes.p2, lanes.p1), slots.take(np.where(hit, 0, (symbol - 2) * ONE + v)))
-        lanes.learn(a, x, symbol)
-        dif[:a] = d - width * np.where(hit, 0, start.take(x))
-        rng[:a] = width * np.where(hit, ONE, share.take(x))
+        x = slots.take(np.maximum(symbol - 2, 0) * ONE + v)
+        own = np.where(hit, other, x)
+        x = np.where(hit, np.where(symbol == 0, lanes.place[1], lanes.place[0]) & 0xFFFF, x).astype(np.int32)
+        lanes.learn(a, x, symbol, lanes.place == x)
+        dif[:a] = d - r * start.take(own)
+        rng[:a] = r * share.take(own)
         x_all[t, :a] = x
-        while len(short := np.flatnonzero(rng <= LOW)):
+        short = rng <= LOW
+        shift = short << 4
+        dif <<= shift
+        dif |= stream.take(np.minimum(at, last_word)) * short
+        at += short
+        rng <<= shift
+        while (rng <= LOW).any():
+            short = np.flatnonzero(rng <= LOW)
             place = at.take(short)
             dif[short] = dif.take(short) << 16 | stream.take(np.minimum(place, last_word.take(short)))
             at[short] = place + 1
             rng[short] <<= 16
-    ids = shares.ids.take(x_all.T.reshape(-1)[: int(lengths.sum())]) if n else np.zeros(0, np.uint32)
+    ids = np.empty((n, steps), np.uint32)
+    for i in range(0, n, 64):  # few blocks at once, whose lines stay in the cache
+        ids[i : i + 64] = shares.ids.take(x_all[:, i : i + 64]).T
+    ids = ids.reshape(-1)[: int(lengths.sum())]
     raw, ends = np.ascontiguousarray(ids, "<u4"), np.cumsum(lengths)
     for e, size, want in zip(ends.tolist(), lengths.tolist(), crc.tolist()):
         if zlib.crc32(raw[e - size : e]) != want:

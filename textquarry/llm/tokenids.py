@@ -1,11 +1,12 @@
 """Token ids of a corpus in binary files, by the range coder of `rangecoder`.
 
-Texts are encoded with a public tokenizer and end with an end id. A text is cut
-before white space that follows something else, and between a Latin letter and an
-ASCII character that is none: a byte-level tokenizer's own pattern ends a piece
-there whatever stands around, so ids of pieces joined are ids of the text, and
-pieces that repeat are looked up (`pieces=False` for tokenizers of which that
-isn't true). Rows go to files by ranges of ids, each
+Texts are encoded with a public tokenizer and end with an end id. Texts are cut
+before white space that follows something else, and between letters (ASCII, or Latin
+before an ASCII character), digits and other ASCII signs, though not after an
+apostrophe: a byte-level tokenizer's own pattern ends a piece there whatever stands
+around, so ids of pieces joined are ids of the text. An Arrow batch's different pieces
+are looked up among those met before, and new ones encoded, joined where the rule
+holds (`pieces=False` for tokenizers of which that isn't true). Rows go to files by ranges of ids, each
 sorted; files by number hold the corpus in ascending order of ids, null ids first.
 Rows with equal ids are separate documents, ordered by a digest of what they hold.
 
@@ -28,13 +29,11 @@ driver holds names and sizes of files.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +51,20 @@ END = 2
 GROUP = 2048 * rangecoder.BLOCK
 #: Ids of a file, about.
 FILE = 2 * GROUP
-#: Types of `array` with the sizes of the ids' types. Arrays, numpy and the files are little-endian on all that Spark runs on.
-CODE = {"<u2": "H", "<u4": "I"}
-#: Pieces that a worker process remembers.
-REMEMBERED = 1_000_000
-LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-PIECE = re.compile(rf"\s*(?:[{LATIN}]+(?=[\x00-@\[-`{{-\x7f]|\Z)|\S+)|\s+")
+#: Pieces that a worker process remembers, and ids of theirs.
+REMEMBERED, REMEMBERED_IDS = 1_000_000, 1 << 24
+#: Bytes of texts whose pieces are looked up together, about: they share more of them.
+RUN = 10 << 20
+#: Pieces whose ids are put in their places at once, so that these lie in a core's cache.
+PLACED = 1 << 15
+#: New pieces that the library gets as one text; it takes long for each text, and for long ones.
+TOGETHER = 500
+#: Classes of bytes: 1 white space, 2 letters, 3 digits, 4 other ASCII signs, 5 apostrophes, 6 bytes of longer characters, 0 all else.
+CLASS = np.array([6 if b > 127 else 1 if b == 32 or 9 <= b <= 13 else 2 if chr(b).isalpha() else 3 if chr(b).isdigit() else 5 if b == 39 else 4 if 32 < b < 127 else 0 for b in range(256)], np.uint8)
+#: By 8 * class before + class: 1 where a piece starts, 2 where it may, by the character before.
+START = np.zeros(64, np.uint8)
+START[[8 * i + j for i, after in {2: (1, 3, 4, 5), 3: (1, 2, 4, 5), 4: (1, 2, 3), 5: (1, 3)}.items() for j in after]] = 1
+START[[8 * 6 + j for j in (1, 3, 4, 5)]] = 2
 
 
 @lru_cache(maxsize=2)
@@ -68,41 +75,161 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def pieces_of(text: str) -> list[str]:
-    """text cut where a piece of the tokenizer's ends in any case."""
-    return PIECE.findall(text)
+def starts(data: np.ndarray) -> np.ndarray:
+    """Of each byte of UTF-8 after the first, whether a piece of the tokenizer starts there in any case."""
+    kind = CLASS.take(data)
+    cut = START.take((kind[:-1] << 3) | kind[1:])
+    doubtful = np.flatnonzero(cut == 2)
+    if len(doubtful):
+        one, two, three = (data.take(np.maximum(doubtful - i, 0)) for i in range(3))  # from the last byte of the character before backwards
+        pair = (two >= 0xC3) & (two <= 0xDF)
+        letter = pair & (two <= 0xC9) & ((two != 0xC3) | ((one != 0x97) & (one != 0xB7)))
+        # No white space is among these; U+1680, U+180E, U+2000 to U+207F and U+3000 to U+303F are left out.
+        longer = (two < 0xC0) & ~((three == 0xE1) & ((two == 0x9A) | (two == 0xA0)) | (three == 0xE2) & (two < 0x82) | (three == 0xE3) & (two == 0x80))
+        cut[doubtful] = letter | ((kind.take(doubtful + 1) == 1) & (pair | longer))
+    return cut.view(bool)
+
+
+class Pieces:
+    """Ids of pieces that a worker process has met, one after the other; the end id is number 0."""
+
+    def __init__(self, path: str, kind: str, end: int | None):
+        self.of = tokenizer(path)
+        added = self.of.get_added_tokens_decoder()
+        self.added = [t.content.encode() for t in added.values() if t.content]
+        # A byte-level token has a character for each byte.
+        self.bytes = np.zeros(1 + max(self.of.get_vocab().values(), default=0), np.int64)
+        for token, i in self.of.get_vocab().items():
+            self.bytes[i] = len(added[i].content.encode() if i in added else token)
+        self.first = np.array([] if end is None else [end], kind)
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.ids, self.at, self.length = self.first, np.zeros(1, np.int64), np.array([len(self.first)])
+
+    def made(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each piece has, the ids of all). They are joined where the joint is a start by the rule."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = b"".join(pieces)
+        at, data = np.cumsum(size), np.frombuffer(raw, np.uint8)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[pieces_at(data, np.zeros(0, np.int64), self.added)] = True
+        broken = ~cut[at]
+        broken[TOGETHER - 1 :: TOGETHER] = broken[-1] = True
+        breaks = at[broken].tolist()
+        texts = [raw[i:j].decode() for i, j in zip([0] + breaks, breaks)]
+        each = [e.ids for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(each), self.ids.dtype, sum(map(len, each)))
+        ends = np.searchsorted(done := np.cumsum(self.bytes.take(ids)), at, "right")
+        if len(done) == 0 or done[-1] != len(raw) or (done.take(ends - 1) != at).any():
+            raise ValueError("the tokenizer's tokens aren't the bytes of the text: use pieces=False")
+        return np.diff(ends, prepend=0), ids
+
+    def numbered(self, pieces: list[bytes], most: int, joined: bool) -> np.ndarray:
+        """The number of each piece; new ones are encoded."""
+        if not joined or len(self.numbers) > most or len(self.ids) > REMEMBERED_IDS:
+            self.clear()
+        numbers = np.fromiter(map(self.numbers.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            new = [pieces[i] for i in unknown.tolist()]
+            if joined:
+                # Most start with white space, and can be joined.
+                order = np.argsort(np.fromiter((p[0] > 32 for p in new), bool, len(new)), kind="stable")
+                new, unknown = [new[i] for i in order.tolist()], unknown.take(order)
+                length, ids = self.made(new)
+            else:
+                each = [e.ids for e in self.of.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
+                length = np.fromiter(map(len, each), np.int64, len(each))
+                ids = np.fromiter(chain.from_iterable(each), self.ids.dtype, int(length.sum()))
+            numbers[unknown] = np.arange(len(self.at), len(self.at) + len(new))
+            self.numbers.update(zip(new, numbers[unknown].tolist()))
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.ids = np.concatenate([self.ids, ids])
+        return numbers
 
 
 @lru_cache(maxsize=2)
-def remembered(path: str, kind: str) -> dict[str, bytes]:
-    """Ids of pieces; a worker process keeps them for its next tasks."""
-    return {}
+def remembered(path: str, kind: str, end: int | None) -> Pieces:
+    """A worker process keeps its pieces for its next tasks."""
+    return Pieces(path, kind, end)
+
+
+def pieces_at(data: np.ndarray, ends: np.ndarray, added: list[bytes]) -> np.ndarray:
+    """Where pieces start in data, texts that end at ends."""
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = starts(data) if len(data) else False
+    raw = data.tobytes() if added else b""
+    for token in added:
+        at = raw.find(token)
+        while at >= 0:
+            cut[at + 1 : at + len(token)] = False  # the tokenizer takes it whole before it looks for pieces
+            at = raw.find(token, at + 1)
+    cut[0] = True
+    cut[ends] = True
+    return np.flatnonzero(cut[:-1])
+
+
+def encoded_array(texts: pa.Array, known: Pieces, cut: bool = True, most: int = REMEMBERED) -> pa.BinaryArray:
+    """Ids of texts as bytes, each with the end id. Each different piece is encoded once as long as it is remembered."""
+    texts = pa.array(texts, pa.string()).fill_null("")
+    n, edges = len(texts), np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = (edges - edges[0]).astype(np.int64)
+    at = pieces_at(data, edges[1:], known.added) if cut and len(data) else np.unique(edges[:-1][np.diff(edges) > 0])
+    bounds = pa.py_buffer(np.append(at, len(data)).astype(np.int32))
+    listed = pa.Array.from_buffers(pa.binary(), len(at), [None, bounds, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    _, edge, raw = listed.dictionary.buffers()
+    edge, raw = np.frombuffer(edge, np.int32)[: len(listed.dictionary) + 1].tolist(), raw.to_pybytes() if raw else b""
+    number = known.numbered([raw[i:j] for i, j in zip(edge, edge[1:])], most, cut).take(listed.indices.to_numpy())
+    number = np.insert(number, np.searchsorted(at, edges[1:]), 0)  # each text's end
+    after = np.cumsum(known.length.take(number))
+    ids = np.empty(after[-1] if n else 0, known.ids.dtype)
+    for i in range(0, len(number), PLACED):
+        own, begun = number[i : i + PLACED], after[i - 1] if i else 0
+        length, done = known.length.take(own), after[i : i + PLACED] - begun
+        ids[begun : begun + done[-1]] = known.ids.take(np.repeat(known.at.take(own) - done + length, length) + np.arange(done[-1]))
+    last = np.searchsorted(at, edges[1:]) + np.arange(n)
+    sizes = np.append(0, after.take(last)) * ids.itemsize
+    if sizes[-1] >= 1 << 31:
+        raise ValueError("a batch's ids don't fit one Arrow array of 2 GB")
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(ids)])
+
+
+def pieces_of(text: str) -> list[str]:
+    """text cut where a piece of the tokenizer's ends in any case."""
+    data = text.encode()
+    at = pieces_at(np.frombuffer(data, np.uint8), np.array([len(data)]), []).tolist() if data else []
+    return [data[a:b].decode() for a, b in zip(at, at[1:] + [len(data)])]
 
 
 def encode(texts: list[str], path: str, kind: str, cut: bool = True, most: int = REMEMBERED) -> list[bytes]:
-    """Ids of texts as bytes, each different piece encoded once as long as it is remembered."""
-    known = remembered(path, kind) if cut else {}
-    pieces = [pieces_of(t) if cut else [t] for t in texts]
-    new = {p for own in pieces for p in filterfalse(known.__contains__, own)}
-    if len(known) + len(new) > most:
-        known.clear()
-        new = set().union(*pieces)
-    listed = list(new)
-    for piece, made in zip(listed, tokenizer(path).encode_batch_fast(listed, add_special_tokens=False)):
-        known[piece] = array(CODE[kind], made.ids).tobytes()
-    return [b"".join(map(known.__getitem__, own)) for own in pieces]
+    """Ids of texts as bytes, without an end id."""
+    return encoded_array(pa.array(texts, pa.string()), remembered(path, kind, None), cut, most).to_pylist()
 
 
 def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int | None = END, pieces: bool = True) -> tuple[DataFrame, str]:
     """((doc_id, ids) of each row, numpy type of the ids): ids as bytes, with the end id; null texts are empty."""
     kind = "<u2" if max(tokenizer(path).get_vocab_size(), end or 0) <= 1 << 16 else "<u4"
     bounded_batches(docs.sparkSession)
-    last = np.array([] if end is None else [end], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, size = remembered(path, kind, end), [], 0
+
+        def flush() -> pa.RecordBatch:
+            ids, texts = (pa.concat_arrays([b.column(i) for b in held]) for i in range(2))
+            return pa.RecordBatch.from_arrays([ids, encoded_array(texts, known, pieces)], ["doc_id", "ids"])
+
         for batch in batches:
-            ids = encode([t or "" for t in batch.column(1).to_pylist()], path, kind, pieces)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i + last for i in ids], pa.binary())], ["doc_id", "ids"])
+            if held and size + batch.nbytes > RUN:
+                yield flush()
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield flush()
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.BinaryType())])
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema), kind
