@@ -117,3 +117,20 @@ def test_words_are_counted_in_one_pass_of_the_texts(spark, monkeypatch):
         (None, "to", False): 1, (("be", True, False, False), "to", False): 1_999, (plain, "to", False): 2_000 + 1, (plain, "be", False): 2_000 + 1, (plain, "be", True): 2_000, (plain, "or", False): 2_000, (plain, "not", False): 2_000,
         (None, "be", False): 1, (("", False, True, False), "p.m", True): 1, (("p.m", True, False, False), "to", False): 1, (plain, "", False): 1,
     }
+
+
+@pytest.mark.parametrize("vocabulary", [0, 3])
+def test_case_beyond_the_vocabulary_is_looked_up(spark, model, monkeypatch, vocabulary):
+    monkeypatch.setattr(splitter, "FILED", 4, raising=False)  # several files
+    rng = random.Random(7)
+    learned = [prose(rng) for _ in range(400)]
+    few = splitter.trained(spark.createDataFrame([(t,) for t in learned], "text string").repartition(3), vocabulary=vocabulary)
+    texts = [*learned, "He came at 9 p.m. Hall closed. It is 5. Ñu ran... river", "", None]
+    want = [None if t is None else model.sentences(t) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    got = {r.i: r.s for r in rows.select("i", few.splitter(spark)("text").alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert few.sentences(texts[0]) == want[0] and len(few.cases) == vocabulary < len(model.cases)
+    for kind in model.cases:
+        for word in ("p.m.", "5.", "J."):
+            assert few.ends(word, kind.capitalize()) is model.ends(word, kind.capitalize())

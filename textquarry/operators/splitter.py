@@ -15,18 +15,19 @@ stands around it and without its final stops, all numbers being one type.
 
 Each is an aggregate over the different words and what stands before them, which one
 pass over the texts counts in its tasks and writes. What is learned
-comes to the driver as a `Model`: its lists hold what passes a threshold, and case
-is kept for the `vocabulary` commonest of the types that follow a doubtful stop
-(others count as unseen, which is a decision of the method's own). A text is then
-cut in Arrow batches, in time linear in its length. Null texts give null.
+comes to the driver as a `Model`: its lists hold what passes a threshold, and the
+case of the `vocabulary` commonest of the types that follow a doubtful stop. The case
+of all others lies in files, from which a task takes what its batch asks for. A text
+is then cut in Arrow batches, in time linear in its length. Null texts give null.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+import zlib
+from collections import ChainMap, Counter
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass, field, replace
 from itertools import pairwise
 
 import pyarrow as pa
@@ -34,15 +35,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS
-from ..sources.tables import written_table
+from ..sources.stream import opened
+from ..sources.tables import scratch_path, written_table
 
 # Fixed values of the method: thresholds of its scores.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 NUMBER = "##"
-VOCABULARY = 200_000
+#: Types whose case is sent to every task; that of more lies in files of about so many types each.
+VOCABULARY, FILED = 200_000, 50_000
 #: Abbreviations that are sent to every task at most; more are joined by a shuffle.
 MAX_SENT = 200_000
 
+#: What is known of a type's case.
+FLAGS = ("lower", "upper", "lower_at_start", "upper_within")
+Case = tuple[bool, bool, bool, bool]
+
 # What may stand around a word, and its final stops.
 BEFORE, AFTER, STOPS = "\"'([{<", "\"')]}>,;:", ".!?"
 _FINAL, _LAST = frozenset(STOPS), frozenset(STOPS + AFTER)
@@ -178,8 +185,7 @@ def collocations(counted: DataFrame) -> DataFrame:
 
 def cases(counted: DataFrame) -> DataFrame:
     """(type, n, lower, upper, lower_at_start, upper_within) of the types that follow a doubtful stop somewhere."""
-    flags = ("lower", "upper", "lower_at_start", "upper_within")
-    rows = counted.groupBy("type").agg(F.sum(F.when(F.col("doubtful"), F.col("n")).otherwise(0)).alias("n"), *(F.max(f).alias(f) for f in flags))
+    rows = counted.groupBy("type").agg(F.sum(F.when(F.col("doubtful"), F.col("n")).otherwise(0)).alias("n"), *(F.max(f).alias(f) for f in FLAGS))
     return rows.where("n > 0")
 
 
@@ -205,33 +211,98 @@ _CLOSED = re.compile(r"[.!?][\"')\]}>]*\Z")
 _NUMERIC = re.compile(r"\A[-+]?[0-9][0-9.,-]*\Z")
 
 
+@dataclass
+class Filed:
+    """Case of types in files of the shared folder, dealt by the types' crc32."""
+
+    path: str
+    parts: int
+
+    @staticmethod
+    def write(cases: DataFrame) -> "Filed":
+        filed = Filed(scratch_path(cases.sparkSession, "sentence-cases"), -(-cases.count() // FILED))
+        rows = cases.select("type", *FLAGS, (F.crc32(F.col("type").cast("binary")) % filed.parts).cast("int").alias("part"))
+        rows.repartition(filed.parts, "part").write.partitionBy("part").parquet(filed.path)
+        return filed
+
+    def find(self, types: Iterable[str]) -> dict[str, Case]:
+        """Of the types, those that are in the files. One part is held at a time."""
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSelector
+
+        parts, found = {}, {}
+        for t in types:
+            parts.setdefault(zlib.crc32(t.encode()) % self.parts, []).append(t)
+        fs, root = opened(self.path)
+        for part, asked in parts.items():
+            for info in fs.get_file_info(FileSelector(f"{root}/part={part}", allow_not_found=True)):
+                if info.base_name.endswith(".parquet"):
+                    with fs.open_input_file(info.path) as file:
+                        rows = pq.read_table(file)
+                    rows = rows.filter(pc.is_in(rows["type"], value_set=pa.array(asked, pa.string())))
+                    found.update(zip(rows["type"].to_pylist(), zip(*(rows[f].to_pylist() for f in FLAGS))))
+        return found
+
+
 @dataclass
 class Model:
+    """What was learned. rest: the case of types that `cases` doesn't hold, where there are more."""
+
     abbreviations: set[str] = field(default_factory=set)
     starters: set[str] = field(default_factory=set)
     collocations: set[tuple[str, str]] = field(default_factory=set)
-    cases: dict[str, tuple[bool, bool, bool, bool]] = field(default_factory=dict)
+    cases: Mapping[str, Case] = field(default_factory=dict)
+    rest: Filed | None = None
 
     @staticmethod
     def of(s: Statistics, vocabulary: int = VOCABULARY) -> "Model":
-        common = s.cases.orderBy(F.col("n").desc(), "type").limit(vocabulary)
+        rows = s.cases.orderBy(F.col("n").desc(), "type").limit(vocabulary + 1).collect()
+        common, rest = rows[:vocabulary], None
+        if len(rows) > vocabulary:
+            n, kind = F.col("n"), F.col("type")
+            rest = Filed.write(s.cases.where((n < common[-1].n) | ((n == common[-1].n) & (kind > common[-1].type))) if common else s.cases)
         return Model({r.type for r in s.abbreviations.select("type").collect()}, {r.type for r in s.starters.select("type").collect()},
-                     {(r.before, r.type) for r in s.collocations.select("before", "type").collect()}, {r[0]: tuple(r[1:]) for r in common.drop("n").collect()})
+                     {(r.before, r.type) for r in s.collocations.select("before", "type").collect()}, {r.type: tuple(r[f] for f in FLAGS) for r in common}, rest)
 
-    def ends(self, word: str, following: str) -> bool:
-        """Whether a sentence ends between two words, the first of which ends in . ! or ? (and closing marks)."""
+    def _doubt(self, word: str) -> tuple[str, bool, bool, bool] | None:
+        """(type, whether it is a number, listed, ends in more stops) of a word whose stop is doubtful, else None."""
         core = word.lstrip(BEFORE).rstrip(AFTER)
         if core[-1:] in "!?":
-            return True
+            return None
         bare = core.rstrip(STOPS).lower()
         number = bool(_NUMERIC.match(bare))
         kind = NUMBER if number else bare
         listed, dots, short = kind in self.abbreviations, core.endswith(".."), number or len(kind) == 1
-        if not (listed or dots or short):
-            return True
+        return (kind, number, listed, dots) if listed or dots or short else None
+
+    @staticmethod
+    def _after(following: str) -> tuple[str, str]:
+        """(core, type) of the word after a stop."""
         after = following.lstrip(BEFORE).rstrip(AFTER)
         then = after.rstrip(STOPS).lower()
-        then = NUMBER if _NUMERIC.match(then) else then
+        return after, NUMBER if _NUMERIC.match(then) else then
+
+    def holding(self, texts: Iterable[str]) -> "Model":
+        """The same with the case of all types that the texts ask for."""
+        if self.rest is None:
+            return self
+        asked = set()
+        for text in texts:
+            for word, following in pairwise(_WORD.findall(text)):
+                if word[-1] in _LAST and _CLOSED.search(word) and self._doubt(word) and (then := self._after(following)[1]) not in self.cases:
+                    asked.add(then)
+        return replace(self, cases=ChainMap(self.rest.find(asked), self.cases), rest=None)
+
+    def ends(self, word: str, following: str) -> bool:
+        """Whether a sentence ends between two words, the first of which ends in . ! or ? (and closing marks)."""
+        if self.rest is not None:
+            return self.holding([f"{word} {following}"]).ends(word, following)
+        doubt = self._doubt(word)
+        if doubt is None:
+            return True
+        kind, number, listed, dots = doubt
+        after, then = self._after(following)
         if (kind, then) in self.collocations and not dots:
             return False
         first = after[:1]
@@ -247,6 +318,8 @@ class Model:
 
     def sentences(self, text: str) -> list[str]:
         """text in sentences, white space between them left out."""
+        if self.rest is not None:
+            return self.holding([text]).sentences(text)
         out, start, last = [], None, None
         for m in _WORD.finditer(text):
             if start is None:
@@ -265,7 +338,9 @@ class Model:
         def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = shipped.value
             for batch in batches:
-                yield pa.array([None if t is None else model.sentences(t) for t in batch.to_pylist()], pa.list_(pa.string()))
+                texts = batch.to_pylist()
+                held = model.holding(t for t in texts if t is not None)
+                yield pa.array([None if t is None else held.sentences(t) for t in texts], pa.list_(pa.string()))
 
         return lambda text: cut(F.col(text) if isinstance(text, str) else text)
 
