@@ -245,6 +245,18 @@ class Filed:
         return found
 
 
+class Asked:
+    """Known case that notes which other types it is asked for."""
+
+    def __init__(self, known: Mapping[str, Case]):
+        self.known, self.asked = known, set()
+
+    def get(self, kind: str, default: Case) -> Case:
+        if kind not in self.known:
+            self.asked.add(kind)
+        return self.known.get(kind, default)
+
+
 @dataclass
 class Model:
     """What was learned. rest: the case of types that `cases` doesn't hold, where there are more."""
@@ -265,44 +277,32 @@ class Model:
         return Model({r.type for r in s.abbreviations.select("type").collect()}, {r.type for r in s.starters.select("type").collect()},
                      {(r.before, r.type) for r in s.collocations.select("before", "type").collect()}, {r.type: tuple(r[f] for f in FLAGS) for r in common}, rest)
 
-    def _doubt(self, word: str) -> tuple[str, bool, bool, bool] | None:
-        """(type, whether it is a number, listed, ends in more stops) of a word whose stop is doubtful, else None."""
-        core = word.lstrip(BEFORE).rstrip(AFTER)
-        if core[-1:] in "!?":
-            return None
-        bare = core.rstrip(STOPS).lower()
-        number = bool(_NUMERIC.match(bare))
-        kind = NUMBER if number else bare
-        listed, dots, short = kind in self.abbreviations, core.endswith(".."), number or len(kind) == 1
-        return (kind, number, listed, dots) if listed or dots or short else None
-
-    @staticmethod
-    def _after(following: str) -> tuple[str, str]:
-        """(core, type) of the word after a stop."""
-        after = following.lstrip(BEFORE).rstrip(AFTER)
-        then = after.rstrip(STOPS).lower()
-        return after, NUMBER if _NUMERIC.match(then) else then
-
     def holding(self, texts: Iterable[str]) -> "Model":
-        """The same with the case of all types that the texts ask for."""
+        """The same with the case of all types that the texts ask for: they are cut once to see which."""
         if self.rest is None:
             return self
-        asked = set()
+        seen = Asked(self.cases)
+        trial = replace(self, cases=seen, rest=None)
         for text in texts:
-            for word, following in pairwise(_WORD.findall(text)):
-                if word[-1] in _LAST and _CLOSED.search(word) and self._doubt(word) and (then := self._after(following)[1]) not in self.cases:
-                    asked.add(then)
-        return replace(self, cases=ChainMap(self.rest.find(asked), self.cases), rest=None)
+            trial.sentences(text)
+        return replace(self, cases=ChainMap(self.rest.find(seen.asked), self.cases), rest=None)
 
     def ends(self, word: str, following: str) -> bool:
         """Whether a sentence ends between two words, the first of which ends in . ! or ? (and closing marks)."""
         if self.rest is not None:
             return self.holding([f"{word} {following}"]).ends(word, following)
-        doubt = self._doubt(word)
-        if doubt is None:
+        core = word.lstrip(BEFORE).rstrip(AFTER)
+        if core[-1:] in "!?":
+            return True
+        bare = core.rstrip(STOPS).lower()
+        number = bool(_NUMERIC.match(bare))
+        kind = NUMBER if number else bare
+        listed, dots, short = kind in self.abbreviations, core.endswith(".."), number or len(kind) == 1
+        if not (listed or dots or short):
             return True
-        kind, number, listed, dots = doubt
-        after, then = self._after(following)
+        after = following.lstrip(BEFORE).rstrip(AFTER)
+        then = after.rstrip(STOPS).lower()
+        then = NUMBER if _NUMERIC.match(then) else then
         if (kind, then) in self.collocations and not dots:
             return False
         first = after[:1]
